@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import langid, mixing, quality_fm, sharding
+from wayfare.llm import bpe, langid, matroska, mixing, quality_fm, repair, sharding
 from wayfare.llm.common import documents
 
 
@@ -16,12 +17,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(documents(spark, sf_dir))
 
 
+def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids start, and their digest, decoded from the compressed files."""
+    files = repair.write_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return repair.read_shards(files)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every document, read back from its media file."""
+    return matroska.read_back(matroska.store_texts(documents(spark, sf_dir)))
+
+
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_fm.quality_of(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,13 +44,14 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op10_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document."""
+    return bpe.tokenize(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_language_id": op1_language_id,
-        "op3_source_mix": op3_source_mix,
-        "op7_quality_fm": op7_quality_fm,
-        "op9_hash_tree": op9_hash_tree,
-    }
+    found = [op1_language_id, op2_repair_ids, op3_source_mix, op4_matroska, op7_quality_fm, op9_hash_tree, op10_backtracking_bpe]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
