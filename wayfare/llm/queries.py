@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, langid, matroska, mixing, quality_fm, repair, sharding
+from wayfare.llm import bpe, fingerprint, langid, licenses, matroska, mixing, quality_fm, repair, sharding
 from wayfare.llm.common import documents
 
 
@@ -34,6 +34,16 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.store_texts(documents(spark, sf_dir)))
 
 
+def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of every document."""
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
+def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.edited_pairs(documents(spark, sf_dir))
+
+
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_fm.quality_of(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -50,7 +60,7 @@ def op10_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_repair_ids, op3_source_mix, op4_matroska, op7_quality_fm, op9_hash_tree, op10_backtracking_bpe]
+    found = [op1_language_id, op2_repair_ids, op3_source_mix, op4_matroska, op5_license_rules, op6_canonical_digest, op7_quality_fm, op9_hash_tree, op10_backtracking_bpe]
     return {f.__name__: f for f in found}
 
 
