@@ -142,6 +142,19 @@ def predict(docs: DataFrame, model: LangIdModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {id_type}, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: LangIdModel, least: float) -> DataFrame:
+    """Rows of ``docs``, all columns, whose language is decided with a score of ``least`` or more; without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def certainty(text: pd.Series) -> pd.Series:
+        held = shared.value
+        found = [classify(t, held) for t in text]
+        return pd.Series([-1.0 if lang == UNDETERMINED else score for lang, score in found], dtype=float)
+
+    return docs.where(certainty(F.col("text")) >= least)
+
+
 def held_out(doc_id: Column) -> Column:
     """Fifth of the ids that is never learned from; null ids belong to it."""
     return F.coalesce(F.pmod(id_crc(doc_id), F.lit(5)) == 0, F.lit(True))

@@ -221,6 +221,18 @@ def score(docs: DataFrame, model: FmModel) -> DataFrame:
     return docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).mapInPandas(run, f"doc_id {id_type}, score double")
 
 
+def accept(docs: DataFrame, model: FmModel) -> DataFrame:
+    """Rows of ``docs``, all columns, that score at least 0.5; one pass, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series, declared: pd.Series) -> pd.Series:
+        held = shared.value
+        return pd.Series(_sigmoid(np.array([raw_score(*features(t, n, held.params), held) for t, n in zip(text, declared)], dtype=float)))
+
+    return docs.where(scored(F.col("text"), F.col("n_chars").cast("double")) >= 0.5)
+
+
 def quality_of(docs: DataFrame, labels: DataFrame, params: FmParams = FmParams()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     out = score(docs, train(docs, labels, params))

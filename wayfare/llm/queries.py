@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, fingerprint, langid, licenses, matroska, mixing, quality_fm, repair, sharding
+from wayfare.llm import bpe, fingerprint, langid, licenses, matroska, minhash, mixing, quality_fm, repair, sharding
 from wayfare.llm.common import documents
 
 
@@ -49,6 +49,11 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality_of(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return minhash.link_components(documents(spark, sf_dir))
+
+
 def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.shard_documents(documents(spark, sf_dir))
@@ -60,7 +65,7 @@ def op10_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_repair_ids, op3_source_mix, op4_matroska, op5_license_rules, op6_canonical_digest, op7_quality_fm, op9_hash_tree, op10_backtracking_bpe]
+    found = [op1_language_id, op2_repair_ids, op3_source_mix, op4_matroska, op5_license_rules, op6_canonical_digest, op7_quality_fm, op8_minhash, op9_hash_tree, op10_backtracking_bpe]
     return {f.__name__: f for f in found}
 
 
