@@ -114,16 +114,15 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     bounds, _ = _ranges(docs)
     tie = F.xxhash64("text")
     if len(bounds) > 1:
-        table = F.array(*[F.lit(b) for b in bounds])
+        table, size = F.lit(bounds), F.lit(len(bounds))
         # binary search by descending steps, without a join
-        steps, step = [], 1
-        while step < len(bounds):
-            steps.append(step)
-            step *= 2
-        found = F.lit(1)
-        for step in reversed(steps):
-            to = found + step
-            found = F.when((to <= len(bounds)) & (F.element_at(table, F.least(to, F.lit(len(bounds)))) <= F.col("doc_id")), to).otherwise(found)
+        steps = F.lit([1 << i for i in reversed(range(len(bounds).bit_length()))])
+
+        def step(at: Column, width: Column) -> Column:
+            to = at + width
+            return F.when((to <= size) & (F.element_at(table, F.least(to, size)) <= F.col("doc_id")), to).otherwise(at)
+
+        found = F.aggregate(steps, F.lit(1), step)
         home = F.coalesce(found, F.lit(1))
         cut = F.coalesce(F.element_at(table, home) == F.col("doc_id"), F.lit(False)) & (home > 1)
     else:
