@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import materialize
+from wayfare.llm.hashing import BASE, mix, span_hashes
 
 SHINGLE = 5
 
@@ -45,7 +46,8 @@ class MinHashParams:
 
     ``slack`` standard deviations of the estimate below the threshold are still
     confirmed.  ``broadcast_rows`` is the most node ids sent to every executor;
-    beyond it the same join is shuffled.  ``block`` nodes a side are compared at once.
+    beyond it the same join is shuffled.  ``block`` nodes a side are compared at once;
+    buckets of more than ``small`` nodes are confirmed within their blocks.
     """
 
     percent: int = 85
@@ -54,6 +56,7 @@ class MinHashParams:
     slack: float = 4.5
     broadcast_rows: int = 1_000_000
     block: int = 256
+    small: int = 64
 
     @property
     def hashes(self) -> int:
@@ -71,41 +74,16 @@ class MinHashParams:
 
 
 BITS = 4  # kept of each minimum
-_ODD = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << n.bit_length()
-        inverse = pow(_ODD, -1, 1 << 64)
-        _powers = tuple(np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(size - 1, base, dtype=np.uint64))]) for base in (_ODD, inverse))
-    return _powers
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return span_hashes(data, starts, ends)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -117,7 +95,7 @@ def shingles(text: str | None) -> np.ndarray:
     total = np.full(n, min(len(words), SHINGLE), dtype=np.uint64)
     for j in range(min(SHINGLE, len(words))):
         total += words[j : j + n] * _FACTORS[j]
-    return np.unique(_mix(total))
+    return np.unique(mix(total))
 
 
 def minima(found: np.ndarray, params: MinHashParams) -> np.ndarray:
@@ -135,9 +113,9 @@ def minima(found: np.ndarray, params: MinHashParams) -> np.ndarray:
 def signature(found: np.ndarray, params: MinHashParams) -> tuple[np.ndarray, np.ndarray]:
     """Packed low bits of the minima (longs), and the band keys (longs; a band's number is part of its key)."""
     low = minima(found, params)
-    keys = np.arange(1, params.bands + 1, dtype=np.uint64) * np.uint64(_ODD)
+    keys = np.arange(1, params.bands + 1, dtype=np.uint64) * np.uint64(BASE)
     for column in low.reshape(params.bands, params.rows).T:
-        keys = _mix(keys + column)
+        keys = mix(keys + column)
     nibbles = np.zeros(params.longs * 64 // BITS, dtype=np.uint8)
     nibbles[: params.hashes] = low & np.uint32((1 << BITS) - 1)
     return (nibbles[::2] | nibbles[1::2] << 4).view(np.int64), keys.view(np.int64)
@@ -258,68 +236,106 @@ def _worth(pairs: DataFrame, nodes: DataFrame, params: MinHashParams) -> DataFra
     return joined.where(fits & (equal_minima(F.col("sig_a"), F.col("sig_b"), params) >= params.least_equal)).select("a", "b")
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(axis=-1)
+class _BlockSets:
+    """The shingle sets of a block, as small numbers, for one-against-many intersections."""
 
+    def __init__(self, texts: np.ndarray):
+        sets = [shingles(t) for t in texts]
+        self.sizes = np.array([len(x) for x in sets])
+        _, self._flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self._starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self._mark = np.zeros(int(self._flat.max()) + 1, dtype=bool)
 
-def _block_pairs(params: MinHashParams):
-    """Candidate pairs between the queries and the base of each block, in a stream sorted by block."""
-    lanes = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    def _of(self, i: int) -> np.ndarray:
+        return self._flat[self._starts[i] : self._starts[i + 1]]
+
+    def linked(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of ``others`` (none empty) are linked with row i."""
+        self._mark[self._of(i)] = True
+        parts = [self._of(j) for j in others]
+        common = np.add.reduceat(self._mark[np.concatenate(parts)].astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]))
+        self._mark[self._of(i)] = False
+        return 100 * common >= percent * (self.sizes[i] + self.sizes[others] - common)
 
-    def compare(block: pd.DataFrame) -> tuple[list, list]:
-        query, base = block[block["query"]], block[~block["query"]]
-        if not len(query) or not len(base):
-            return [], []
-        qs, bs = (np.stack(x["sig"].to_numpy()).astype(np.int64).view(np.uint64) for x in (query, base))
-        qk, bk = (np.stack(x["bands"].to_numpy()).astype(np.int64) for x in (query, base))
-        qn, bn = query["n_shingles"].to_numpy(), base["n_shingles"].to_numpy()
-        ql, bl = pd.factorize(pd.concat([query["label"], base["label"]]))[0][: len(query)], pd.factorize(pd.concat([query["label"], base["label"]]))[0][len(query) :]
-        band = block["band"].iloc[0]
-        a, b = [], []
-        q_nodes, b_nodes = query["node"].to_numpy(), base["node"].to_numpy()
-        q_many, b_many = query["minor"].to_numpy(), base["minor"].to_numpy()
-        for i in range(len(query)):
-            x = qs[i] ^ bs
-            x |= x >> np.uint64(2)
-            x |= x >> np.uint64(1)
-            equal = params.hashes - _popcount(x & lanes).astype(np.int64)
-            ok = (equal >= params.least_equal) & (bl != ql[i]) & (np.minimum(bn, qn[i]) * 100 >= np.maximum(bn, qn[i]) * params.percent)
-            for j in np.flatnonzero(ok):
-                if b_many[j] and q_many[i] and not q_nodes[i] < b_nodes[j]:
-                    continue  # both are queries: once is enough
-                shared = np.flatnonzero(qk[i] == bk[j])
-                if qk[i][shared[0]] != band:
-                    continue  # the pair is compared in the first band it shares
-                a.append(q_nodes[i])
-                b.append(b_nodes[j])
+
+def _compare_block(block: pd.DataFrame, params: MinHashParams, confirm: bool) -> tuple[list, list]:
+    """Pairs of a query and a base row of one block: of different components, not ruled out by
+    size or signature, in the first band that the two share.
+
+    When confirming, only linked pairs are given, and a pair of components that the block has
+    joined already is passed over, so links are fewer than nodes.
+    """
+    lanes = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    query = block["query"].to_numpy(dtype=bool)
+    rows, others = np.flatnonzero(query), np.flatnonzero(~query)
+    a: list = []
+    b: list = []
+    if not len(rows) or not len(others):
         return a, b
+    sigs = np.stack(block["sig"].to_numpy()).astype(np.int64).view(np.uint64)
+    keys = np.stack(block["bands"].to_numpy()).astype(np.int64)
+    sizes, minor, nodes = block["n_shingles"].to_numpy(), block["minor"].to_numpy(dtype=bool), block["node"].to_numpy()
+    order = pd.factorize(nodes, sort=True)[0]
+    labels = pd.factorize(block["label"])[0]
+    band = block["band"].iloc[0]
+    sets = _BlockSets(block["text"].to_numpy()) if confirm else None
+    for i in rows:
+        n = sizes[others]
+        ok = (labels[others] != labels[i]) & (np.minimum(n, sizes[i]) * 100 >= np.maximum(n, sizes[i]) * params.percent)
+        if minor[i]:
+            ok &= ~minor[others] | (order[i] < order[others])  # of two queries once is enough
+        at = others[ok]
+        if not len(at):
+            continue
+        x = sigs[i] ^ sigs[at]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        at = at[params.hashes - np.bitwise_count(x & lanes).sum(axis=-1).astype(np.int64) >= params.least_equal]
+        if not len(at):
+            continue
+        at = at[keys[i][np.argmax(keys[at] == keys[i], axis=1)] == band]
+        if confirm and len(at):
+            at = at[sets.linked(i, at, params.percent)]
+        for j in at:
+            if confirm:
+                if labels[j] == labels[i]:
+                    continue
+                labels[labels == labels[j]] = labels[i]
+            a.append(nodes[i])
+            b.append(nodes[j])
+    return a, b
+
+
+def _in_blocks(params: MinHashParams, confirm: bool):
+    """``_compare_block`` over a stream of rows sorted by block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = rows[["band", "i", "j"]]
-            change = np.flatnonzero((key.to_numpy()[1:] != key.to_numpy()[:-1]).any(axis=1)) + 1
-            cuts = [0, *change.tolist()]
+            key = rows[["band", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
             a, b = [], []
             for begin, end in zip(cuts, cuts[1:]):
-                p, q = compare(rows.iloc[begin:end])
+                p, q = _compare_block(rows.iloc[begin:end], params, confirm)
                 a += p
                 b += q
             held = rows.iloc[cuts[-1] :]
             yield pd.DataFrame({"a": a, "b": b}, dtype=object)
         if held is not None and len(held):
-            a, b = compare(held)
+            a, b = _compare_block(held, params, confirm)
             yield pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     return run
 
 
-def _unresolved_pairs(live: DataFrame, nodes: DataFrame, roots: DataFrame, params: MinHashParams) -> DataFrame:
-    """Pairs worth confirming in buckets that hold several components.
+def _remaining_links(live: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, params: MinHashParams) -> DataFrame:
+    """Links (``a, b``) in buckets that still hold several components.
 
     A bucket's nodes outside its largest component are queries; they and the base
-    (all nodes) are dealt into blocks of about ``params.block``.
+    (all nodes) are dealt into blocks of about ``params.block``.  Pairs of small buckets
+    are gathered once and then confirmed; larger buckets bring their texts along and
+    are confirmed in place, so what they give stays below the number of their nodes.
     """
     r = roots.select(F.col("node").alias("of"), "root")
     labelled = live.join(r, F.col("node") == F.col("of"), "left").select("band", "node", F.coalesce("root", "node").alias("label"))
@@ -332,17 +348,19 @@ def _unresolved_pairs(live: DataFrame, nodes: DataFrame, roots: DataFrame, param
     query_blocks = F.ceil((F.col("size") - F.col("most")) / params.block).cast("int")
     minor = F.col("label") != F.col("main")
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    fields = ["band", "node", "label", minor.alias("minor")]
+    fields = ["band", "node", "label", "size", minor.alias("minor")]
     base = open_.select(*fields, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("i"), mine(base_blocks).alias("j"))
     query = open_.where(minor).select(*fields, F.lit(True).alias("query"), mine(query_blocks).alias("i"), F.explode(F.sequence(F.lit(0), base_blocks - 1)).alias("j"))
     n = nodes.select(F.col("node").alias("of"), "sig", "bands", "n_shingles")
     dealt = base.unionByName(query).join(n, F.col("node") == F.col("of")).drop("of")
-    return (
-        dealt.repartition("band", "i", "j")
-        .sortWithinPartitions("band", "i", "j")
-        .mapInPandas(_block_pairs(params), "a binary, b binary")
-        .distinct()
-    )
+
+    def over(rows: DataFrame, confirm: bool) -> DataFrame:
+        ordered = rows.drop("size").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        return ordered.mapInPandas(_in_blocks(params, confirm), "a binary, b binary").distinct()
+
+    pairs = materialize(over(dealt.where(F.col("size") <= params.small), False), "pairs")
+    large = dealt.where(F.col("size") > params.small).join(texts.select(F.col("node").alias("of"), "text"), F.col("node") == F.col("of")).drop("of")
+    return _confirm(pairs, texts, params).unionByName(over(large, True))
 
 
 def link_components(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
@@ -371,8 +389,7 @@ def link_components(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     stars = live.join(pivots, F.col("band") == F.col("in_")).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(_confirm(_worth(stars, live_nodes, params), texts, params), "links")
     roots = materialize(components(links), "roots")
-    more = materialize(_unresolved_pairs(live, live_nodes, roots, params), "pairs")
-    rest = _confirm(more, texts, params)
+    rest = _remaining_links(live, live_nodes, texts, roots, params)
     closed = components(links.unionByName(rest))
 
     in_component = nodes.join(closed.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left")
