@@ -143,12 +143,17 @@ def predict(docs: DataFrame, model: LangIdModel) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: LangIdModel, least: float) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is decided with a score of ``least`` or more; without a join."""
+    """Rows of ``docs``, all columns, whose language is decided with a score of ``least`` or more; without a join.
+
+    With no language learned nothing can be decided, and every text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def certainty(text: pd.Series) -> pd.Series:
         held = shared.value
+        if not held.languages:
+            return text.map(lambda t: 1.0 if t and _LETTER.search(t) else -1.0).astype(float)
         found = [classify(t, held) for t in text]
         return pd.Series([-1.0 if lang == UNDETERMINED else score for lang, score in found], dtype=float)
 
