@@ -62,6 +62,8 @@ class Page:
     ignored: list[str] = field(default_factory=list)
     error: str | None = None
     counted: bool = True  # whether asking for it was a call (a page that cannot be read is none)
+    posts: int = 1
+    cached: bool = False
 
 
 @dataclass(frozen=True)
@@ -181,7 +183,10 @@ class Walk:
             if page is None:
                 page = pages.get(step.path) or Page(error="not judged")
                 self.calls += page.counted
-                self._event("answered", path=step.path, relevance=None if page.error else page.relevance, cached=False)
+                for post in range(page.posts if page.counted else 0):
+                    self._event("requested", path=step.path, post_index=post)
+                if page.error is None:
+                    self._event("answered", path=step.path, relevance=page.relevance, cached=page.cached, sections=page.sections)
             answers.append(page)
         for step, page in zip(steps, answers):
             if not entry and self._overtaken(step):
@@ -237,7 +242,15 @@ class Walk:
         heapq.heappush(self._heap, (child.rank, child))
         return None
 
-    def finish(self, earns: float | None = None) -> None:
+    def trace(self, query: str, mode: str, threshold: float) -> list[dict]:
+        """All events of a finished walk with a start and a result a visited page; ``t_ms`` counts events."""
+        out = [{"event": "started", "query": query, "mode": mode, "threshold": threshold}, *self.events]
+        for v in self.visits:
+            earned = v.relevance >= threshold or any(s["score"] >= threshold for s in v.sections)
+            out.append({"event": "result", "path": v.path, "relevance": v.relevance, "earned_a_place": earned})
+        return [{**e, "t_ms": i} for i, e in enumerate(out)]
+
+    def finish(self) -> None:
         """Report what the budget cut off, and order visits by relevance, failures by path."""
         rest = sorted((s for _, s in self._heap if not self._stale(s)), key=lambda s: components(s.path))
         for step in rest:
