@@ -6,7 +6,7 @@ import pytest
 from wayfare.llm import minhash as m
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=80):
     sets = {}
     for i, text in rows:
         w = (text or "").encode().lower().split()
@@ -40,14 +40,14 @@ def variants(seed, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("params", [m.MinHashParams(), m.MinHashParams(small=2, block=8, broadcast_rows=0)])
+@pytest.mark.parametrize("params", [m.MinHashParams(), m.MinHashParams(percent=85, small=2, block=8, broadcast_rows=0)])
 def test_components_equal_brute_force(spark, params):
     texts = variants(1, 60, 200, 5) + variants(2, 40, 40, 2) + variants(3, 10, 3, 1)
     texts += ["A b C d e f", "a B c d E f", "one two", "One  two", "", None, " \t\n", "é É " * 9] * 2
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.link_components(docs, params).collect()}
-    assert got == brute(rows)
+    assert got == brute(rows, params.percent)
 
 
 def test_kept_is_the_smallest_and_rows_survive(spark):

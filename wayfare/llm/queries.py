@@ -50,8 +50,8 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component of near-duplicates of every document."""
-    return minhash.link_components(documents(spark, sf_dir))
+    """Component of near-duplicates of every document, linked at a similarity of 0.85."""
+    return minhash.link_components(documents(spark, sf_dir), minhash.MinHashParams(percent=85))
 
 
 def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
