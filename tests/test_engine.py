@@ -308,3 +308,12 @@ def test_command_line(root, capsys, spark):
     assert capsys.readouterr().out.startswith("# Reading list: settlement cutoffs")
     assert cli.main(["run", "q", "x", "--threshold", "3"]) == 2
     assert cli.main(["graph", root]) == 0
+
+
+def test_views(spark, corpus):
+    from wayfare.sources import views
+
+    views.register_folder(spark, "/root/testdata/sf0.001", ("nation", "region"))
+    views.register({"parsed_pages": parse.parse_pages(corpus)})
+    assert spark.sql("select count(*) from nation join region on n_regionkey = r_regionkey").first()[0] == 25
+    assert spark.sql("select count(*) from parsed_pages where title = 'Home'").first()[0] == 1
