@@ -13,7 +13,7 @@
    so no link between different texts is lost and no group is expanded into all pairs.
 
 With 32 bands of 5 minima a link is missed by all bands with probability 3e-6 at a
-similarity of 0.8, 7e-9 at 0.85 and 2e-13 at 0.9.
+similarity of 0.8, 7e-9 at 0.85 and 4e-13 at 0.9.
 
 Defined results: a text without words (or null) has an empty set, is linked with
 nothing and stays; fewer than 5 words are one shingle; a null id takes part but
