@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from wayfare.llm.wordtable import WordTable, gather
+from wayfare.llm.wordtable import WordTable, gather, lists
 
 #: Texts of these characters only are split by ``_FAST_WORDS``; all others by the library's own splitter.
 _FAST_TEXT = re.compile("[\t\n\r\x20-\x7eÀ-įı-ɏ]*")
@@ -154,7 +154,7 @@ class WordBpe:
         self._bpe = BacktrackingBpe(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
-        self._table = WordTable(lambda words: [self._word(w) for w in words])
+        self._table = WordTable(lambda words: lists([self._word(w) for w in words]))
         tokens = {i: s for s, i in [*model["vocab"].items(), *self._special.items()]}
         self._text = _offset_table([(tokens[i] + " ").encode("utf-8") for i in range(len(tokens))])
         self._digits = _offset_table([f"{i} ".encode() for i in range(len(tokens))])

@@ -16,7 +16,6 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import materialize, shuffle_partitions
-from wayfare.llm.wordtable import WordTable, gather
+from wayfare.llm.hashing import span_hashes
+from wayfare.llm.wordtable import WordTable, gather, lists
 
 END_ID = 0
 MAGIC = b"WFRP"
@@ -56,10 +56,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
 
     No pair crosses a document's start, so documents stay separately decodable.
     """
-    symbols = ids.astype(np.uint32)
+    symbols, places = ids.astype(np.uint32), starts[:-1].astype(np.int64)
     first = int(symbols.max()) + 1 if len(symbols) else 1
-    heads = np.zeros(len(symbols) + 1, dtype=bool)
-    heads[starts[:-1]] = True
     rules: list[np.ndarray] = []
     made = 0
     shift = np.uint32(32 - params.hash_bits)
@@ -67,8 +65,12 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
         if len(symbols) < 2 or made >= params.rules:
             break
         left, right = symbols[:-1], symbols[1:]
-        bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))) * np.uint32(0xC2B2AE35) >> shift
-        bucket[heads[1 : len(symbols)]] = 0  # pairs over a start are counted apart, in a bucket never chosen
+        bucket = left * np.uint32(0x9E3779B1)
+        bucket ^= right * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
+        bucket *= np.uint32(0xC2B2AE35)
+        bucket >>= shift
+        bucket = bucket.astype(np.intp)
+        bucket[places[(places > 0) & (places < len(symbols))] - 1] = 0  # pairs over a start go to a bucket never chosen
         counts = np.bincount(bucket, minlength=1 << params.hash_bits)
         counts[0] = 0
         want = min(params.rules_per_round, params.rules - made)
@@ -76,11 +78,12 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
         if not len(top):
             break
         top = top[np.argsort(-counts[top], kind="stable")][:want]
-        rank = np.full(1 << params.hash_bits, -1, dtype=np.int32)
+        picked = np.zeros(1 << params.hash_bits, dtype=bool)
+        picked[top] = True
+        rank = np.zeros(1 << params.hash_bits, dtype=np.int32)
         rank[top] = np.arange(len(top), dtype=np.int32)
-        place = rank[bucket]
-        at = np.flatnonzero(place >= 0)
-        place = place[at]
+        at = np.flatnonzero(picked[bucket])
+        place = rank[bucket[at]]
         # a bucket may hold several pairs: it stands for the one seen last
         pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
         stands = np.zeros(len(top), dtype=np.uint64)
@@ -105,33 +108,31 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
         made += int(kept.sum())
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
-        heads = np.append(heads[:-1][stay], False)
         symbols = symbols[stay]
+        places = places - np.searchsorted(at, places)
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
-    return symbols, np.append(np.flatnonzero(heads[:-1]), len(symbols)), grammar, first
+    return symbols, np.append(places, len(symbols)), grammar, first
 
 
 def expansions(grammar: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """All nonterminals' expansions, flat, with their starts."""
-    parts: list[np.ndarray] = []
-    for a, b in grammar.tolist():
-        parts.append(np.concatenate([parts[s - first] if s >= first else np.array([s], dtype=np.uint32) for s in (a, b)]))
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)), starts
-
-
-def expand(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
-    """Token ids of a run of symbols."""
-    high = symbols >= first
-    lengths = np.ones(len(symbols), dtype=np.int64)
-    which = symbols[high].astype(np.int64) - first
-    lengths[high] = starts[which + 1] - starts[which]
-    ends = np.cumsum(lengths)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
-    out[(ends - lengths)[~high]] = symbols[~high]
-    inner = np.repeat(high, lengths)
-    out[inner] = gather(flat, starts, which)
-    return out
+    """All nonterminals' expansions, flat, with their starts.  Every pass replaces each
+    nonterminal by its pair, so passes are as many as rules nest."""
+    flat, owner = grammar.ravel().astype(np.uint32), np.repeat(np.arange(len(grammar)), 2)
+    while len(flat) and (high := flat >= first).any():
+        width = np.where(high, 2, 1)
+        at = np.cumsum(width) - width
+        grown = np.empty(int(width.sum()), dtype=np.uint32)
+        grown[at[~high]] = flat[~high]
+        pairs = grammar[flat[high].astype(np.int64) - first]
+        grown[at[high]], grown[at[high] + 1] = pairs[:, 0], pairs[:, 1]
+        flat, owner = grown, np.repeat(owner, width)
+    return flat, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(grammar)))]).astype(np.int64)
+
+
+def symbol_table(grammar: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """What every symbol stands for, flat, with starts: a token for itself, then the nonterminals."""
+    flat, starts = expansions(grammar, first)
+    return np.concatenate([np.arange(first, dtype=np.uint32), flat]), np.concatenate([np.arange(first, dtype=np.int64), starts + first])
 
 
 # ---- file format -------------------------------------------------------------
@@ -172,11 +173,18 @@ class Block:
         self.symbols = take(f"<u{width}", n_symbols)
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
+    def _symbols_table(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._table is None:
+            self._table = symbol_table(self.grammar, self.first)
+        return self._table
+
     def document(self, i: int) -> np.ndarray:
         """All ids of the i-th document."""
-        if self._table is None:
-            self._table = expansions(self.grammar, self.first)
-        return expand(self.symbols[self.places[i] : self.places[i + 1]].astype(np.uint32), *self._table, self.first)
+        return gather(*self._symbols_table(), self.symbols[self.places[i] : self.places[i + 1]])
+
+    def documents(self) -> list[np.ndarray]:
+        """All ids of all documents."""
+        return np.split(gather(*self._symbols_table(), self.symbols), self.starts[1:-1]) if self.n_docs else []
 
     def span(self, begin: int, end: int) -> np.ndarray:
         """Ids ``begin`` to ``end`` of the block: only the symbols that cover the span are expanded,
@@ -208,37 +216,113 @@ class Block:
 
 # ---- encoding ----------------------------------------------------------------
 
-#: Texts of these characters only are split here; all others go to the library whole.
-_FAST_TEXT = re.compile("[\t\n\r\x20-\x7eÀ-ɏ]*")
-_FAST_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Byte classes of the byte-level splitter: white space, letters (with the bytes of two-byte Latin letters),
+#: digits, other, end of a text; 9 marks bytes whose texts are split by the library itself.
+_KIND = np.full(256, 9, dtype=np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = _KIND[0x80:0xC0] = _KIND[0xC3:0xCA] = 1
+_KIND[39] = 9  # an apostrophe may begin a contraction
+_KIND[0] = 4
+_NO_LETTER = (b"\xc3\x97", b"\xc3\xb7")  # the two signs among the Latin letters
+
+
+def word_bounds(data: np.ndarray) -> np.ndarray:
+    """Starts of the words of texts that each end with a zero byte; an ending is a word of its own.
+
+    A word is a run of letters, digits or other characters with the space before it, or
+    white space: a run's last character stands apart where something follows.
+    """
+    kind = _KIND[data]
+    before, after = np.concatenate([[4], kind[:-1]]), np.concatenate([kind[1:], [4]])
+    space = kind == 0
+    joined = np.concatenate([[False], data[:-1] == 32])
+    starts = space & ((before != 0) | ((after != 0) & (after != 4)))
+    starts |= ~space & (kind != before) & ~joined
+    starts |= kind == 4
+    return np.flatnonzero(starts)
 
 
 class ByteCoder:
     """A byte-level tokenizer file as the ``tokenizers`` library applies it.
 
-    The library encodes each different word of a text once; words are what its
-    byte-level splitter cuts, so the ids are those of the whole text.
+    The library encodes each different word once; words are what its byte-level
+    splitter cuts, so the ids are those of the whole text.  Words are told apart by
+    64-bit hashes.  Texts with anything but plain Latin text go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._table = WordTable(self._encode)
+        self._special = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
+        self._table = WordTable(self._encode_words, 2_000_000)
+        # tokens that begin with a space, which is what byte-level vocabularies write as this letter
+        self._begins = np.zeros(self._library.get_vocab_size(), dtype=bool)
+        self._begins[[i for token, i in self._library.get_vocab().items() if token.startswith("\u0120")]] = True
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A space and letters are a word wherever they stand, so many such words are encoded
+        as one text and told apart by the tokens that begin with a space; others one by one."""
+        joinable = np.array([w[0] == " " and w[1:].isalpha() for w in words], dtype=bool)
+        easy = [w for w, j in zip(words, joinable) if j]
+        joined = self._encode(["".join(easy[i : i + 64]) for i in range(0, len(easy), 64)])
+        ids = lists(joined)[1]
+        cuts = np.flatnonzero(self._begins[ids])
+        if len(cuts) != len(easy):
+            return lists(self._encode(words))
+        lengths = np.zeros(len(words), dtype=np.int64)
+        lengths[joinable] = np.diff(np.append(cuts, len(ids)))
+        other, other_ids = lists(self._encode([w for w, j in zip(words, joinable) if not j]))
+        lengths[~joinable] = other
+        flat = np.empty(int(lengths.sum()), dtype=np.uint32)
+        easy_ids = np.repeat(joinable, lengths)
+        flat[easy_ids], flat[~easy_ids] = ids, other_ids
+        return lengths, flat
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, text: str) -> list[str]:
-        if any(s in text for s in self._special) or not _FAST_TEXT.fullmatch(text):
-            return [text]  # a "word" that the library encodes whole
-        return _FAST_WORDS.findall(text)
+    def _plain(self, raw: list[bytes]) -> list[bool]:
+        """Which texts are of known bytes only, without the signs and strings that words cannot be cut by."""
+        joined = b"\0".join(raw)
+        odd = np.flatnonzero(_KIND[np.frombuffer(joined, dtype=np.uint8)] > 4)
+        out = [b"\0" not in b for b in raw]
+        at = np.cumsum([len(b) + 1 for b in raw])
+        for i in np.unique(np.searchsorted(at, odd, "right")).tolist():
+            out[i] = False
+        for text in (*_NO_LETTER, *self._special):
+            if text in joined:
+                out = [o and text not in b for o, b in zip(out, raw)]
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        numbers = [self._table.number(self.words(t)) if t else np.zeros(0, dtype=np.int64) for t in texts]
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        plain = self._plain(raw)
+        whole = iter(self._encode([t for t, p in zip(texts, plain) if not p]))
+        known = iter(self._encode_plain([b for b, p in zip(raw, plain) if p]))
+        return [next(known) if p else np.array(next(whole), dtype=np.uint32) for p in plain]
+
+    def _encode_plain(self, raw: list[bytes]) -> list[np.ndarray]:
+        if not raw:
+            return []
+        joined = b"\0".join(raw) + b"\0"
+        data = np.frombuffer(joined, dtype=np.uint8)
+        starts = word_bounds(data)
+        ends = np.append(starts[1:], len(data))
+        ending = data[starts] == 0
+        text_of = np.cumsum(ending)[~ending]
+        starts, ends = starts[~ending], ends[~ending]
+        codes, keys = pd.factorize(span_hashes(data, starts, ends))
+        first = np.empty(len(keys), dtype=np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        numbers = self._table.number_keys(keys.tolist(), lambda i: joined[starts[first[i]] : ends[first[i]]].decode("utf-8", "surrogatepass"))
         self._table.flush()
-        out = [self._table.ids(n) for n in numbers]
+        words = numbers[codes]
+        lengths = self._table.lengths(words)
+        per_text = np.bincount(text_of, weights=lengths, minlength=len(raw)).astype(np.int64)
+        out = np.split(self._table.ids(words), np.cumsum(per_text)[:-1])
         self._table.trim()
         return out
 
@@ -300,7 +384,7 @@ def read_shards(files: DataFrame) -> DataFrame:
         for batch in batches:
             for shard, number, doc_ids, data in zip(batch["shard"], batch["block"], batch["doc_ids"], batch["data"]):
                 block = Block(data)
-                ids = [block.document(i) for i in range(block.n_docs)]
+                ids = block.documents()
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.Series(list(doc_ids), dtype=object),
@@ -308,7 +392,7 @@ def read_shards(files: DataFrame) -> DataFrame:
                         "block": number,
                         "at": block.starts[:-1],
                         "n_tokens": [len(x) for x in ids],
-                        "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
+                        "ids_crc32": [zlib.crc32(x.astype("<u4", copy=False)) for x in ids],
                     }
                 )
 

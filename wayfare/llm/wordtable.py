@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -10,11 +11,13 @@ import numpy as np
 class WordTable(dict):
     """Word to number; unseen words get the next number and are encoded in one call later.
 
+    ``encode`` turns words into the lengths of their ids and the ids, one after the other.
+
     The table is emptied when it holds ``limit`` words, so memory stays bounded
     however many different words the corpus has; results do not depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         super().__init__()
         self._encode, self._limit = encode, limit
         self._reset()
@@ -35,37 +38,54 @@ class WordTable(dict):
         """Numbers of ``words``; valid until ``trim`` is called."""
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def number_keys(self, keys: list[int], word: Callable[[int], str]) -> np.ndarray:
+        """Numbers of words known by a 64-bit key; ``word(i)`` spells the i-th where it is new."""
+        out = np.fromiter((self.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self[keys[i]] = len(self)
+            self._new.append(word(i))
+        return out
+
     def flush(self) -> None:
         """Encode the words seen since the last call."""
         for begin in range(0, len(self._new), 20_000):
-            part = self._encode(self._new[begin : begin + 20_000])
-            lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
-            flat = np.fromiter((i for x in part for i in x), dtype=np.uint32, count=int(lengths.sum()))
+            lengths, flat = self._encode(self._new[begin : begin + 20_000])
             while self._used + len(flat) > len(self._ids):
                 self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-            while self._words + len(part) + 1 > len(self._starts):
+            while self._words + len(lengths) + 1 > len(self._starts):
                 self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
             self._ids[self._used : self._used + len(flat)] = flat
-            self._starts[self._words + 1 : self._words + 1 + len(part)] = self._used + np.cumsum(lengths)
+            self._starts[self._words + 1 : self._words + 1 + len(lengths)] = self._used + np.cumsum(lengths)
             self._used += len(flat)
-            self._words += len(part)
+            self._words += len(lengths)
         self._new.clear()
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """Token ids of the numbered words, one after the other."""
         return gather(self._ids, self._starts, numbers)
 
+    def lengths(self, numbers: np.ndarray) -> np.ndarray:
+        """Number of token ids of the numbered words."""
+        return self._starts[numbers + 1] - self._starts[numbers]
+
     def trim(self) -> None:
         if len(self) > self._limit:
             self._reset()
 
 
+def lists(parts: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists and their items, one after the other."""
+    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    return lengths, np.fromiter(chain.from_iterable(parts), dtype=np.uint32, count=int(lengths.sum()))
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """Concatenation of ``flat[starts[i]:starts[i + 1]]`` for i in ``picked``."""
     begin = starts[picked]
-    lengths = starts[picked + 1] - begin
+    lengths = starts[1:][picked] - begin
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    shift = np.repeat(begin - (ends - lengths), lengths)
-    shift += np.arange(total)
-    return flat[shift]
+    # the place in ``flat`` of each item: one more than the item before, but at the starts of pieces
+    at = np.repeat(begin - ends + lengths, lengths)
+    at += np.arange(total)
+    return flat.take(at)
