@@ -1,4 +1,7 @@
-"""Registered queries over the driver's tables, each beside the SQL it must agree with."""
+"""Registered queries over the driver's tables, each beside the SQL it must agree with.
+
+Money is averaged in whole cents: their sums are exact in doubles, in any order.
+"""
 
 from __future__ import annotations
 
@@ -255,7 +258,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     "SELECT l_returnflag AS mode, count(*) AS served, count(*) FILTER (l_linestatus = 'O') AS bought, CAST(sum(l_linenumber) AS BIGINT) AS requests, "
-    "CAST(sum(l_quantity) AS BIGINT) AS input_tokens, CAST(coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0) AS BIGINT) AS bought_tokens, round(avg(l_extendedprice), 4) AS mean_latency_ms, "
+    "CAST(sum(l_quantity) AS BIGINT) AS input_tokens, CAST(coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0) AS BIGINT) AS bought_tokens, round(avg(round(l_extendedprice * 100)), 4) AS mean_latency_ms, "
     "round(sum(l_linenumber)::DOUBLE / count(*), 6) AS requests_per_answer, round(sum(l_quantity) * 0.042 / 1000000, 9) AS cost, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS models FROM lineitem GROUP BY 1"
 )
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +266,7 @@ def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("mode"),
         F.col("l_linenumber").alias("requests"),
         F.col("l_quantity").cast("long").alias("input_tokens"),
-        F.col("l_extendedprice").alias("latency_ms"),
+        F.round(F.col("l_extendedprice") * 100).alias("latency_ms"),
         (F.col("l_linestatus") == "O").alias("bought"),
         F.col("l_linestatus").alias("model"),
     )
@@ -521,7 +524,7 @@ def trace_summary_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace_summary(events, ["user_id"]).select("user_id", "pops", "files", "followed", "duration_ms")
 
 
-_RUNS_SQL = "SELECT o_orderpriority AS condition, 'q' || (o_custkey % 7) AS query_id, o_orderstatus AS category, o_totalprice AS value, o_orderkey % 9 <> 0 AS ok FROM orders"
+_RUNS_SQL = "SELECT o_orderpriority AS condition, 'q' || (o_custkey % 7) AS query_id, o_orderstatus AS category, round(o_totalprice * 100) AS value, o_orderkey % 9 <> 0 AS ok FROM orders"
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -530,7 +533,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("condition"),
         F.concat(F.lit("q"), F.col("o_custkey") % 7).alias("query_id"),
         F.col("o_orderstatus").alias("category"),
-        F.create_map(F.lit("price"), F.col("o_totalprice")).alias("metrics"),
+        F.create_map(F.lit("price"), F.round(F.col("o_totalprice") * 100)).alias("metrics"),
         (F.col("o_orderkey") % 9 != 0).alias("ok"),
         F.lit(None).cast("string").alias("model_asked_for"),
     )
