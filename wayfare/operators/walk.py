@@ -347,18 +347,22 @@ def round_walk(
 def closure(edges: DataFrame, entries: DataFrame, rounds: int = 30) -> DataFrame:
     """``query_id, path, path_score`` of every page some admitted path reaches: the best product of scents.
 
-    ``edges``: ``query_id, source, target, scent`` (admitted links).  A frontier of
-    improved rows is joined with the edges until nothing improves.  Only for walks
+    ``edges``: ``source, target, scent`` (admitted links), with ``query_id`` where scents differ
+    by query.  A frontier of improved rows is joined with the edges until nothing improves.  Only for walks
     without budget, beam or binding depth.
     """
     from wayfare.plans.tables import materialize
 
     best = entries.select("query_id", "path", F.lit(1.0).alias("path_score")).distinct()
     frontier = best
+    on = F.col("path") == F.col("source")
+    if "query_id" in edges.columns:
+        edges = edges.withColumnRenamed("query_id", "of_")
+        on = on & (F.col("query_id") == F.col("of_"))
     for _ in range(rounds):
         step = (
-            frontier.join(edges, (frontier["query_id"] == edges["query_id"]) & (frontier["path"] == edges["source"]))
-            .select(frontier["query_id"], F.col("target").alias("path"), (F.col("path_score") * F.col("scent")).alias("path_score"))
+            frontier.join(edges, on)
+            .select("query_id", F.col("target").alias("path"), (F.col("path_score") * F.col("scent")).alias("path_score"))
             .groupBy("query_id", "path")
             .agg(F.max("path_score").alias("path_score"))
         )
