@@ -6,7 +6,7 @@ from wayfare.operators import walk as w
 from wayfare.operators.readlist import reading_list
 from wayfare.plans import render
 
-# A small wiki after the fixture that the published example walk reads: page -> relevance, links.
+# The judged pages of the published example walk (page: relevance, scents of its links), whose order and paths the walk must give.
 JUDGED = {
     "index.md": (0.62, {"payments/README.md": 0.86, "payments/cutoffs.md": 0.41, "payments/settlement.md": 0.33, "notes/ledger.md": 0.28, "../outside.md": 0.74, "payments/missing.md": 0.19}),
     "payments/README.md": (0.81, {"payments/settlement.md": 0.94, "notes/ledger.md": 0.72, "payments/cutoffs.md": 0.40}),
