@@ -168,6 +168,14 @@ def test_license_places_equal_brute_force(spark, docs):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == _places(d.text)
 
 
+def test_license_scan_of_nothing_and_of_long_texts(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert licenses.scan(empty).count() == 0
+    long = "plain words here " * 40_000 + "MIT License"
+    r = licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (120_002, 1, 120_000, 120_000, "mit")
+
+
 def test_license_rules_and_suppression(spark):
     texts = ["licensed under the gnu general public license, version 3.0", "spdx-license-identifier: mit", "apache license and apache license 2.0", "nothing"]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

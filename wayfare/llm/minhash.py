@@ -203,9 +203,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).withColumn("m", F.least("of", "m"))
+        # written, so that the join meets two plain exchanges and a hub's rows can be split between tasks
+        least = materialize(both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).withColumn("m", F.least("of", "m")), "least")
         large = both.join(least, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"))
+        large = materialize(large, "edges")
+        least = materialize(large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), "least")
         joined = large.join(least, F.col("a") == F.col("of"))
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = materialize(small.distinct(), "edges")
@@ -390,7 +392,7 @@ def link_components(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     links = materialize(_confirm(_worth(stars, live_nodes, params), texts, params), "links")
     roots = materialize(components(links), "roots")
     rest = _remaining_links(live, live_nodes, texts, roots, params)
-    closed = components(links.unionByName(rest))
+    closed = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
     in_component = nodes.join(closed.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left")
     grouped = in_component.where("root is not null or copies > 1").select("node", F.coalesce("root", "node").alias("root"), "rep")
