@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import shuffle_partitions
+from wayfare.llm.common import materialize
 
 #: Rows of a range in which neighbours are found by one sort.
 ROWS_PER_RANGE = 2_000
 MOST_RANGES = 65_536
+#: Most digests sent to every executor (32 characters each).
+BROADCAST_ROWS = 1_000_000
 
 
 def _fold(text: Column) -> Column:
@@ -57,14 +59,16 @@ def collisions(docs: DataFrame) -> DataFrame:
 
     First rows are counted by digest, then only groups of several rows compare
     bytes.  Equal forms meet in the task that read them (partial aggregation),
-    so a group of copies of any size costs one row a task.
+    so a group of copies of any size costs one row a task.  Digests of such groups are
+    broadcast up to ``BROADCAST_ROWS``; beyond, the same join is shuffled.
     """
     own = docs.select(canonical(F.col("text")).alias("form")).select(digest(F.col("form")).alias("digest"), "form")
-    several = own.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    several = materialize(own.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "several")
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     forms = own.join(several, "digest", "left_semi").groupBy("digest", "form").agg(F.count("*").alias("n"))
     spread = forms.groupBy("digest").agg(F.count("*").alias("forms")).where("forms > 1").select("digest")
     ranked = forms.join(spread, "digest").withColumn("variant", F.row_number().over(Window.partitionBy("digest").orderBy("form")) - 1)
-    return ranked.where("variant > 0").select("digest", "form", "variant")
+    return materialize(ranked.where("variant > 0").select("digest", "form", "variant"), "collisions")
 
 
 def _with_variant(rows: DataFrame, digest_name: str, form: Column, found: DataFrame, name: str) -> DataFrame:
