@@ -16,12 +16,8 @@ from wayfare.llm.common import materialize
 
 #: A language score below this counts as undecided.
 LEAST_LANGUAGE_SCORE = 0.5
-
-
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id (null included) is among ``ids``."""
-    of = ids.select(F.col("doc_id").alias("of_")).distinct()
-    return docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_")), "left_semi")
+#: Most ids of dropped documents that are sent to every executor; beyond, the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +33,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates.
+
+    Documents to drop are fewer than those to keep, so texts meet the ids that go, which
+    are broadcast up to a checked number.
+    """
     linked = materialize(minhash.link_components(docs), "linked")
-    kept = _keep(docs, linked.where("kept"))
-    counts = linked.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
-    return kept if counts["rows"] == counts["ids"] else kept.dropDuplicates(["doc_id"])
+    ids = linked.where("doc_id is not null").groupBy(F.col("doc_id").alias("of_")).agg(F.max("kept").alias("stays_"), F.count("*").alias("rows_"))
+    ids = materialize(ids.where("not stays_ or rows_ > 1"), "dropped")
+    gone = ids.where("not stays_").select("of_")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(gone, F.col("doc_id") == F.col("of_"), "left_anti")
+    if ids.where("rows_ > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
