@@ -111,3 +111,11 @@ def test_grouped_rounds_and_closure_agree(spark):
     edges = judged.selectExpr("query_id", "path as source", "explode(links) as l").selectExpr("query_id", "source", "l.target", "l.scent").where("scent >= 0.3")
     closed = {(r.query_id, r.path): r.path_score for r in w.closure(edges, entries).collect()}
     assert closed == pytest.approx(want)
+
+
+def test_closure_runs_until_nothing_improves(spark):
+    n = 34
+    links = [(str(i), str(i + 1), 1.0) for i in range(n)] + [("0", str(n), 0.5), (str(n), "0", 1.0), ("0", "x", 1.5), ("x", "0", 1.5)]
+    edges = spark.createDataFrame(links, "source string, target string, scent double")
+    entries = spark.createDataFrame([("q", "0")], "query_id string, path string")
+    assert {r.path: r.path_score for r in w.closure(edges, entries).collect()} == {str(i): 1.0 for i in range(n + 1)}

@@ -344,22 +344,24 @@ def round_walk(
     return states
 
 
-def closure(edges: DataFrame, entries: DataFrame, rounds: int = 30) -> DataFrame:
+def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """``query_id, path, path_score`` of every page some admitted path reaches: the best product of scents.
 
     ``edges``: ``source, target, scent`` (admitted links), with ``query_id`` where scents differ
-    by query.  A frontier of improved rows is joined with the edges until nothing improves.  Only for walks
+    by query.  A frontier of improved rows is joined with the edges until nothing improves: links whose scent is
+    no probability are not admitted, so no cycle improves a score and the rounds end.  Only for walks
     without budget, beam or binding depth.
     """
     from wayfare.plans.tables import materialize
 
+    edges = edges.where("scent >= 0 AND scent <= 1")
     best = entries.select("query_id", "path", F.lit(1.0).alias("path_score")).distinct()
     frontier = best
     on = F.col("path") == F.col("source")
     if "query_id" in edges.columns:
         edges = edges.withColumnRenamed("query_id", "of_")
         on = on & (F.col("query_id") == F.col("of_"))
-    for _ in range(rounds):
+    while True:
         step = (
             frontier.join(edges, on)
             .select("query_id", F.col("target").alias("path"), (F.col("path_score") * F.col("scent")).alias("path_score"))
@@ -372,7 +374,6 @@ def closure(edges: DataFrame, entries: DataFrame, rounds: int = 30) -> DataFrame
         if frontier.isEmpty():
             return best
         best = materialize(best.unionByName(frontier).groupBy("query_id", "path").agg(F.max("path_score").alias("path_score")), "closure")
-    return best
 
 
 def disposition(links: DataFrame, threshold: float, max_depth: int) -> DataFrame:
