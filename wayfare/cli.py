@@ -8,12 +8,12 @@ from __future__ import annotations
 import argparse
 import sys
 
-from wayfare.operators.judging import DEFAULT_MODE, MODES, WORDINGS
-from wayfare.operators.walk import WalkConfig
+from wayfare.operators.judging import DEFAULT_MODE, MODES, WORDINGS, KeepRule
+from wayfare.operators.walk import CHOICE_BEAM, WalkConfig
 from wayfare.plans import render
 from wayfare.sources.ignore import IgnoreError, IgnoreRules
 
-FANOUT, CHOICE_BEAM = 8, 8
+FANOUT = 8
 
 
 def threshold(text: str) -> float:
@@ -74,6 +74,8 @@ def _run(args) -> int:
     from wayfare.plans.run import Options, run_query
     from wayfare.sources.pages import load_corpus
 
+    if args.wording:
+        raise ValueError("--wording needs a judge that is asked questions; the lexical judge is not")
     mode = args.mode
     if args.criteria:
         from wayfare.operators.judging import custom_mode
@@ -84,7 +86,7 @@ def _run(args) -> int:
     walk = WalkConfig(args.max_files, args.max_depth, FANOUT, None if args.scorer == "choice" else args.threshold, beam)
     rules = IgnoreRules.load(args.ignore) if args.ignore else IgnoreRules.none()
     spark = _session()
-    found = run_query(spark, load_corpus(spark, args.root), Options(args.query, tuple(args.entries), args.root, mode, args.threshold, walk, rules))
+    found = run_query(spark, load_corpus(spark, args.root), Options(args.query, tuple(args.entries), args.root, mode, args.threshold, walk, rules, KeepRule() if args.scorer == "choice" else None))
     sys.stdout.write(render.render(found, args.format))
     return found.exit_code
 

@@ -45,9 +45,14 @@ class LinkContext:
     two_hop: bool = True
 
 
-def bounded_previews(previews: DataFrame) -> DataFrame:
+def bounded_previews(previews: DataFrame, context: LinkContext = LinkContext()) -> DataFrame:
     """Previews cut to the limits, as columns: titles and paragraphs by characters, frontmatter
-    by whole fields and JSON bytes, headings and distinct leads by number and length."""
+    by whole fields and JSON bytes, headings and distinct leads by number and length.  What
+    ``context`` does not show is empty; without previews there is no row."""
+    if not context.previews:
+        previews = previews.where(F.lit(False))
+    hidden = [c for c in ("frontmatter", "headings", "leads") if not getattr(context, c)]
+    previews = previews.withColumns({c: F.slice(c, 1, 0) for c in hidden})
     cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(f"\n[truncated at {n} characters]"))).otherwise(c)
     cost = lambda f: F.octet_length(F.to_json(F.struct(f["key"].alias("key"), f["value"].alias("value")))) + 1
     empty = F.array().cast("array<struct<key:string,value:string>>")

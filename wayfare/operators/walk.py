@@ -30,6 +30,8 @@ BELOW_THRESHOLD, NOT_KEPT, UNJUDGED, OUT_OF_ROOT, PAST_DEPTH = "below-threshold"
 ALREADY_REACHED, ALREADY_QUEUED, IGNORED, BEAM, MAX_FILES = "already-reached", "already-queued", "ignored", "beam", "max-files"
 REASONS = (BELOW_THRESHOLD, NOT_KEPT, UNJUDGED, OUT_OF_ROOT, PAST_DEPTH, ALREADY_REACHED, ALREADY_QUEUED, IGNORED, BEAM, MAX_FILES)
 
+CHOICE_BEAM = 8  # of a walk whose links are judged against each other
+
 
 @dataclass(frozen=True)
 class WalkConfig:

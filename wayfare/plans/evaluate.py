@@ -1,4 +1,4 @@
-"""Evaluation of walks against a gold set: budgets, threshold sweep, baselines, calibration and a report.
+"""Evaluation of walks against a gold set: budgets, threshold sweep, ablations, baselines, calibration and a report.
 
 All queries of a setting walk together (``round_walk``); what they visited becomes
 tables, and every figure is a DataFrame operation over those.
@@ -6,15 +6,17 @@ tables, and every figure is a DataFrame operation over those.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators import metrics, ranking
-from wayfare.operators.judging import MEASURED_WORDINGS, Judge, KeepRule
-from wayfare.operators.request import LinkContext
-from wayfare.operators.walk import Walk, WalkConfig, round_walk
+from wayfare.operators.judging import MEASURED_WORDINGS, WORDINGS, Judge, KeepRule, Mode, choice_judge, keyword_judge
+from wayfare.operators.parse import parse_pages, previews
+from wayfare.operators.request import LinkContext, bounded_previews
+from wayfare.operators.walk import CHOICE_BEAM, Walk, WalkConfig, round_walk
 from wayfare.plans.render import markdown_table, signed_percent
 
 BUDGETS = (10, 25)
@@ -28,8 +30,33 @@ CONTEXTS = {
     "one-hop": LinkContext(two_hop=False),
     "bare": LinkContext(headings=False, leads=False, two_hop=False),
 }
-RELATIVE = {"choice": None, "k3": KeepRule(), "k1": KeepRule(k=1), "floor": KeepRule(floor=0.1)}
-WORDING_GRID = MEASURED_WORDINGS
+
+@dataclass(frozen=True)
+class Policy:
+    """How links are judged: what is shown of targets, in which wording, and with ``keep`` against each other."""
+
+    context: LinkContext = LinkContext()
+    wording: str | None = None
+    keep: KeepRule | None = None
+
+    def mode(self, mode: Mode) -> Mode:
+        return WORDINGS[self.wording](mode) if self.wording else mode
+
+
+RELATIVE = {
+    "noul": Policy(),
+    "choice": Policy(LinkContext(previews=False), keep=KeepRule()),
+    "choice, previews": Policy(keep=KeepRule()),
+    "choice, previews, k=1": Policy(keep=KeepRule(k=1)),
+}
+EXPERIMENTS = {
+    "previews": {k: Policy(c) for k, c in PREVIEW_POLICIES.items()},
+    "contexts": {k: Policy(c) for k, c in CONTEXTS.items()},
+    "relative": RELATIVE,
+    "wordings": {"plain": Policy()} | {w: Policy(wording=w) for w in MEASURED_WORDINGS},
+}
+#: Experiments of which a judge that is asked no questions can answer every row, but for the far question of "one-hop".
+LEXICAL = ("previews", "contexts", "relative")
 
 
 @dataclass(frozen=True)
@@ -136,6 +163,51 @@ def evaluate(
     )
 
 
+def lexical_policies(pages: DataFrame, queries: DataFrame) -> Callable[[Policy], Judge]:
+    """The lexical judge under each policy.  It is asked no questions, so a wording is an error and
+    one or two hops are the same to it."""
+    parsed = parse_pages(pages).cache()
+
+    def judge_for(policy: Policy) -> Judge:
+        if policy.wording:
+            raise ValueError(f"the lexical judge is asked no questions: {policy.wording}")
+        judge = keyword_judge(parsed, pages, queries, bounded_previews(previews(parsed), policy.context))
+        return judge if policy.keep is None else choice_judge(judge, policy.keep)
+
+    return judge_for
+
+
+def ablations(
+    spark: SparkSession, pages: DataFrame, queries: DataFrame, entries: dict[str, list[str]], wanted: DataFrame, judge_for: Callable[[Policy], Judge], setting: Setting,
+    base: WalkConfig = WalkConfig(), experiments: tuple[str, ...] = LEXICAL,
+) -> DataFrame:
+    """``experiment, policy`` and the means of the walks in ``setting`` under that policy's judge.
+
+    ``judge_for`` makes the judge of a policy; one that asks questions packs them with
+    ``Packer(policy.mode(mode), two_hop=policy.context.two_hop)``.  A policy that stands in several
+    experiments is walked once.
+    """
+    done: dict[Policy, DataFrame] = {}
+    out = None
+    for experiment in experiments:
+        for n, (name, policy) in enumerate(EXPERIMENTS[experiment].items()):
+            if policy not in done:
+                config = base if policy.keep is None else replace(base, threshold=None, beam=base.beam or CHOICE_BEAM)
+                done[policy] = evaluate(spark, pages, queries, entries, wanted, judge_for(policy), [setting], config).means
+            row = done[policy].withColumns({"experiment": F.lit(experiment), "n": F.lit(n), "policy": F.lit(name)})
+            out = row if out is None else out.unionByName(row)
+    return out.select("experiment", "n", "policy", *[c for c in out.columns if c not in ("experiment", "n", "policy")])
+
+
+def entry_scents(asked: DataFrame, judge_for: Callable[[Policy], Judge]) -> DataFrame:
+    """The link scents of one asked page (``query_id, path``) under each preview policy."""
+    out = None
+    for name, policy in EXPERIMENTS["previews"].items():
+        rows = judge_for(policy)(asked).select(F.lit(name).alias("policy"), F.explode("links").alias("l")).select("policy", "l.target", "l.scent")
+        out = rows if out is None else out.unionByName(rows)
+    return scents_by_policy(out)
+
+
 def scents_by_policy(judgments: DataFrame) -> DataFrame:
     """One page's link scents side by side, a column a policy.  ``judgments``: ``policy, target, scent``."""
     return judgments.groupBy("target").pivot("policy", sorted(PREVIEW_POLICIES)).agg(F.max("scent"))
@@ -146,14 +218,16 @@ def _table(df: DataFrame, *order: str) -> str:
     return markdown_table(df.columns, [[f"{v:.2f}" if isinstance(v, float) else v for v in r] for r in rows])
 
 
-def report(found: Findings) -> str:
-    """A markdown report of an evaluation."""
+def report(found: Findings, ablated: DataFrame | None = None) -> str:
+    """A markdown report of an evaluation, with what ``ablations`` gave."""
     means = found.means.orderBy("budget", "threshold").collect()
     parts = ["# Evaluation", "", "## Means", "", _table(found.means, "budget", "threshold"), "## Reading", "", _table(found.read, "budget", "threshold")]
     if len(means) > 1:
         base = means[0]
         rows = [[m["budget"], m["threshold"], signed_percent(m["mean_recall"], base["mean_recall"]), signed_percent(m["mean_precision"], base["mean_precision"])] for m in means[1:]]
         parts += ["## Against the first setting", "", markdown_table(["budget", "threshold", "recall", "precision"], rows)]
+    if ablated is not None:
+        parts += ["## Ablations", "", _table(ablated, "experiment", "n")]
     parts += ["## Keyword baseline", "", _table(found.keyword, "runs"), "## Arrivals by scent", "", _table(found.calibration, "bin"), "## Links by scent", "", _table(found.links_calibration, "bin")]
     parts += ["## Followed and passed links", "", _table(found.decision, "followed"), f"{found.unreached.count()} wanted pages were never visited.", ""]
     return "\n".join(parts)

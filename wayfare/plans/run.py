@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.functions.text import relative_to_root
-from wayfare.operators.judging import DEFAULT_MODE, keyword_judge
+from wayfare.operators.judging import DEFAULT_MODE, KeepRule, choice_judge, keyword_judge
 from wayfare.operators.parse import parse_pages
 from wayfare.operators.readlist import ReadingList, reading_list
 from wayfare.operators.walk import WalkConfig, round_walk
@@ -31,6 +31,7 @@ class Options:
     threshold: float = 0.6
     walk: WalkConfig = field(default_factory=WalkConfig)
     ignore: IgnoreRules = field(default_factory=IgnoreRules)
+    keep: KeepRule | None = None
 
 
 def without_ignored(parsed: DataFrame, rules: IgnoreRules) -> DataFrame:
@@ -47,7 +48,8 @@ def without_ignored(parsed: DataFrame, rules: IgnoreRules) -> DataFrame:
 
 
 def run_query(spark: SparkSession, pages: DataFrame, options: Options, judge=None) -> ReadingList:
-    """A reading list over ``pages(path, text)``; the lexical judge unless another is given."""
+    """A reading list over ``pages(path, text)``; the lexical judge unless another is given.
+    With ``options.keep`` a page's links are judged against each other."""
     entries = [relative_to_root(options.root, e) if options.root else e for e in options.entries]
     for e in entries:
         if options.ignore.matched(e):
@@ -56,7 +58,8 @@ def run_query(spark: SparkSession, pages: DataFrame, options: Options, judge=Non
         raise ValueError("the threshold must be between 0 and 1")
     parsed = without_ignored(parse_pages(pages), options.ignore).cache()
     queries = spark.createDataFrame([("q", options.query)], "query_id string, query string")
-    state = round_walk(spark, {"q": entries}, judge or keyword_judge(parsed, pages, queries), options.walk)["q"]
+    asked = judge or keyword_judge(parsed, pages, queries)
+    state = round_walk(spark, {"q": entries}, asked if options.keep is None else choice_judge(asked, options.keep), options.walk)["q"]
     parsed.unpersist()
     if not state.visits:
         raise NothingJudged(options.query)
