@@ -1,6 +1,7 @@
 """Parsing, judging, metrics, graphs, sources and logs over small tables."""
 
 import json
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,17 @@ def test_graph(spark):
     assert {r.node for r in graph.orphans(edges, nodes).collect()} == {"f", "g"}
 
 
+def test_depth_has_no_limit(spark, monkeypatch):
+    frame = MagicMock()  # its operations give itself, and 1,500 frontiers have rows
+    for name in ("select", "distinct", "withColumn", "join", "unionByName"):
+        getattr(frame, name).return_value = frame
+    frontiers = iter(range(1_500))
+    frame.isEmpty.side_effect = lambda: next(frontiers, None) is None
+    monkeypatch.setattr(graph, "materialize", lambda df, label: df)
+    graph.bfs_depth(frame, frame)
+    assert next(frontiers, None) is None
+
+
 def test_link_counts(corpus):
     r = graph.link_counts(parse.parse_pages(corpus), corpus).first()
     assert (r.pages, r.links, r.markdown, r.wikilink, r.resolved, r.broken, r.outside) == (7, 8, 5, 3, 6, 1, 1)

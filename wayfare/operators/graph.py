@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,17 +71,16 @@ def orphans(edge_rows: DataFrame, nodes: DataFrame, node: str = "node") -> DataF
     return nodes.select(F.col(node).alias("node")).join(edge_rows.select(F.col("target").alias("node")), "node", "left_anti")
 
 
-def bfs_depth(edge_rows: DataFrame, entries: DataFrame, most: int = 1_000) -> DataFrame:
+def bfs_depth(edge_rows: DataFrame, entries: DataFrame) -> DataFrame:
     """``node, depth`` of every node reachable from ``entries(node)``: frontier by frontier, each a written table."""
     seen = materialize(entries.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
     frontier = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         reached = frontier.join(edge_rows, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         frontier = materialize(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier) if depth % 8 else materialize(seen.unionByName(frontier), "bfs")
-    return seen
 
 
 def depth_histogram(depths: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
@@ -87,14 +88,14 @@ def depth_histogram(depths: DataFrame, nodes: DataFrame, node: str = "node") ->
     return nodes.select(F.col(node).alias("node")).join(depths, "node", "left").groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
-def strong_components(edge_rows: DataFrame, rounds: int = 10_000) -> DataFrame:
+def strong_components(edge_rows: DataFrame) -> DataFrame:
     """``node, scc`` of nodes that lie on a cycle, by colouring: the largest node id spreads
     forwards as a colour, then each colour's root collects, backwards and within the colour,
     the nodes of its component.  Trimming takes nodes without way in or out away first.
     Every step is a join; nothing is collected."""
     left = materialize(edge_rows.select("source", "target"), "scc")
     found: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         left = _trim(left)
         if left.isEmpty():
             break
