@@ -118,6 +118,26 @@ def test_repeats_compress():
     assert len(block.symbols) < len(ids) / 20 and (block.document(0) == ids).all()
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 40_000, 3_000).astype(np.uint32)
+    ids, starts = np.concatenate([np.tile(passage, 40), (rng.zipf(1.2, 200_000) % 40_000).astype(np.uint32), np.full(999, 7, dtype=np.uint32)]), np.arange(0, 120_001, 3_000)
+    starts = np.append(starts, len(ids))
+    symbols, places, grammar, first = repair.compress(ids, starts)
+    assert (np.diff(places)[:40] == 1).all()
+    uses = {}
+    for a, z in zip(places, places[1:]):
+        last = None
+        for pair in zip(symbols[a : z - 1].tolist(), symbols[a + 1 : z].tolist()):
+            if pair == last:
+                last = None  # the middle of three alike
+                continue
+            last = pair if pair[0] == pair[1] else None
+            uses[pair] = uses.get(pair, 0) + 1
+    assert max(uses.values()) < repair.RePairParams().least_uses
+    assert (repair.Block(repair.write_block(ids, starts)).document(40) == ids[120_000:]).all()
+
+
 def test_byte_coder_equals_the_library():
     library = Tokenizer.from_file(BYTES)
     texts = [t or "" for t in ODD] + _random_texts(500, 3)

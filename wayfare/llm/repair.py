@@ -38,12 +38,11 @@ MAGIC = b"WFRP"
 
 @dataclass(frozen=True)
 class RePairParams:
-    """``block_tokens`` bounds a block (but for a longer single document), ``rules`` its grammar."""
+    """``block_tokens`` bounds a block (but for a longer single document).  Rounds go on until no pair
+    has ``least_uses`` places; each replaces the ``rules_per_round`` most frequent."""
 
     block_tokens: int = 1 << 21
-    rules: int = 14_000
     rules_per_round: int = 3_000
-    rounds: int = 8
     least_uses: int = 8
     hash_bits: int = 18
 
@@ -61,48 +60,43 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
     rules: list[np.ndarray] = []
     made = 0
     shift = np.uint32(32 - params.hash_bits)
-    for _ in range(params.rounds):
-        if len(symbols) < 2 or made >= params.rules:
-            break
+    want = params.rules_per_round
+    while len(symbols) > 1:
         left, right = symbols[:-1], symbols[1:]
         bucket = left * np.uint32(0x9E3779B1)
         bucket ^= right * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
         bucket *= np.uint32(0xC2B2AE35)
         bucket >>= shift
-        bucket = bucket.astype(np.intp)
-        bucket[places[(places > 0) & (places < len(symbols))] - 1] = 0  # pairs over a start go to a bucket never chosen
-        counts = np.bincount(bucket, minlength=1 << params.hash_bits)
-        counts[0] = 0
-        want = min(params.rules_per_round, params.rules - made)
+        usable = np.ones(len(left), dtype=bool)
+        usable[places[(places > 0) & (places < len(symbols))] - 1] = False  # pairs over a start
+        # of a symbol's repeats every second pair from the left end of a run
+        twins = np.flatnonzero((left == right) & usable)
+        usable[twins[_offsets(twins) % 2 == 1]] = False
+        # a bucket may hold several pairs, so one with too few places holds no frequent pair
+        counts = np.bincount(bucket[usable], minlength=1 << params.hash_bits)
+        at = np.flatnonzero(usable & (counts >= params.least_uses)[bucket])
+        pairs, place, counts = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
         top = np.flatnonzero(counts >= params.least_uses)
         if not len(top):
             break
         top = top[np.argsort(-counts[top], kind="stable")][:want]
-        picked = np.zeros(1 << params.hash_bits, dtype=bool)
-        picked[top] = True
-        rank = np.zeros(1 << params.hash_bits, dtype=np.int32)
-        rank[top] = np.arange(len(top), dtype=np.int32)
-        at = np.flatnonzero(picked[bucket])
-        place = rank[bucket[at]]
-        # a bucket may hold several pairs: it stands for the one seen last
-        pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        stands = np.zeros(len(top), dtype=np.uint64)
-        stands[place] = pair
-        same = stands[place] == pair
-        at, place = at[same], place[same]
+        rank = np.full(len(pairs), -1, dtype=np.int64)
+        rank[top] = np.arange(len(top))
+        place = rank[place]
+        at, place = at[place >= 0], place[place >= 0]
         # of overlapping places, every second of a run from its left end
-        begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        offset = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        even = offset % 2 == 0
+        even = _offsets(at) % 2 == 0
         at, place = at[even], place[even]
         uses = np.bincount(place, minlength=len(top))
-        kept = uses >= max(3, params.least_uses // 2)
+        kept = uses >= min(max(3, params.least_uses // 2), params.least_uses)
         if not kept.any():
-            break
+            want = 1  # these pairs take each other's places; one alone has all of its own
+            continue
+        want = params.rules_per_round
         number = np.cumsum(kept) - 1
         chosen = kept[place]
         at, place = at[chosen], place[chosen]
-        pairs = stands[kept]
+        pairs = pairs[top[kept]]
         rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], axis=1))
         symbols[at] = (first + made + number[place]).astype(np.uint32)
         made += int(kept.sum())
@@ -114,6 +108,12 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
     return symbols, np.append(places, len(symbols)), grammar, first
 
 
+def _offsets(at: np.ndarray) -> np.ndarray:
+    """How far each of ascending places is from the left end of its run of neighbours."""
+    begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+
+
 def expansions(grammar: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """All nonterminals' expansions, flat, with their starts.  Every pass replaces each
     nonterminal by its pair, so passes are as many as rules nest."""
