@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -50,6 +51,14 @@ def test_components_equal_brute_force(spark, params):
     assert got == brute(rows, params.percent)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_lose_fewer_links_than_bands(percent):
+    params = m.MinHashParams(percent=percent)
+    same = percent / 100 + (1 - percent / 100) / 2**m.BITS
+    dropped = sum(math.comb(params.hashes, k) * same**k * (1 - same) ** (params.hashes - k) for k in range(params.least_equal))
+    assert dropped < (1 - (percent / 100) ** params.rows) ** params.bands
+
+
 def test_kept_is_the_smallest_and_rows_survive(spark):
     docs = spark.createDataFrame([(7, "a b c d e f"), (3, "a b c d e f"), (9, "other words here and so on"), (9, "other words here and so on")], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in m.link_components(docs).collect())
