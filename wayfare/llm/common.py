@@ -2,37 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.plans.tables import Scratch, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+__all__ = ["Scratch", "ascii_lower", "batches_of", "documents", "fresh", "id_crc", "materialize", "shared_dir", "shuffle_partitions"]
 
-    Only where that is unset (tests, a laptop) is a temporary folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfare-"))
-            own = spark.sparkContext.getCheckpointDir()
-        found = own
-    return found.rstrip("/")
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the tables written inside: for rows that carry texts or
+    files, what a Python worker holds at once is then bounded by a few of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfare/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (in any case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,24 +8,30 @@
    with every other.  Pairs whose similarity, estimated from the signatures by bit counts
    and corrected for chance agreement, is clearly too low are dropped; the others
    are confirmed on the full sets.  Links are closed into components.
-4. Buckets that still hold several components are compared in blocks: nodes
-   outside the bucket's largest component against all others of different components,
-   so no candidate is left out and no group is expanded into all pairs.
+4. Buckets that still hold several components are open: their nodes outside the largest
+   component are compared with all others of different components.  In a small bucket such
+   pairs are gathered.  In a large one (a passage that many texts share, a cloud of near copies)
+   an exact bound comes first: of a node's shingles only those that some other node has
+   can lie in an intersection, so a node with too few of them for any partner in its bucket can have no link
+   there and leaves it.  What stays meets in blocks of bounded bytes and is confirmed in place.
+   No candidate is left out and no group is expanded into all pairs.
 
 With 32 bands of 5 minima a link is missed by all bands with probability 3e-6 at a
 similarity of 0.8, 7e-9 at 0.85 and 4e-13 at 0.9.  The check of the signatures drops a link
-at the threshold with probability 4e-10 at 80 per cent and 8e-10 at 85.
+at the threshold with probability 4e-10 at 80 per cent and 8e-10 at 85.  Shingles are 64-bit
+hashes and nodes 128-bit digests of their sets.
 
 Defined results: a text without words (or null) has an empty set, is linked with
 nothing and stays; fewer than 5 words are one shingle; a null id takes part but
-is no component's id while another member has one; rows that repeat an id all
-get the same row; extra columns are ignored; an empty table gives no rows.
+is no component's id while another member has one; rows that repeat an id each get the
+component of their own text; extra columns are ignored; an empty table gives no rows.
+``one_of_each`` decides by row: of a component's rows the one with the smallest id (nulls last; then by the
+text's hash, then by the whole row) stays, whatever its id shares with other rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import sqrt
@@ -35,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import materialize
+from wayfare.llm.common import Scratch, batches_of, fresh
 from wayfare.llm.hashing import BASE, mix, span_hashes
 
 SHINGLE = 5
@@ -47,8 +53,9 @@ class MinHashParams:
 
     ``slack`` standard deviations of the estimate below the threshold are still
     confirmed.  ``broadcast_rows`` is the most node ids sent to every executor;
-    beyond it the same join is shuffled.  ``block`` nodes a side are compared at once;
-    buckets of more than ``small`` nodes are confirmed within their blocks.
+    beyond it the same join is shuffled.  Buckets of more than ``small`` nodes are confirmed in
+    blocks of about ``block_bytes`` a side.  A pivot's partners are confirmed ``star`` at a time, and
+    shingles are counted ``count_at_once`` at a time.
     """
 
     percent: int = 80
@@ -56,8 +63,10 @@ class MinHashParams:
     rows: int = 5
     slack: float = 6.5
     broadcast_rows: int = 1_000_000
-    block: int = 256
+    block_bytes: int = 2_000_000
     small: int = 64
+    star: int = 1_000
+    count_at_once: int = 1 << 19
 
     @property
     def hashes(self) -> int:
@@ -78,6 +87,12 @@ BITS = 4  # kept of each minimum
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows that carry texts are handed to Python so many at a time.
+BATCH_ROWS = 1_000
+#: Bytes of a node in a block besides its text.
+NODE_BYTES = 600
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
@@ -132,44 +147,38 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-class _Sets:
-    """Shingle sets of the texts seen last."""
-
-    def __init__(self, most: int = 64):
-        self._held: OrderedDict[bytes, np.ndarray] = OrderedDict()
-        self._most = most
-
-    def get(self, node: bytes, text: str) -> np.ndarray:
-        found = self._held.pop(node, None)
-        if found is None:
-            found = shingles(text)
-            if len(self._held) >= self._most:
-                self._held.popitem(last=False)
-        self._held[node] = found
-        return found
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def features(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
-    """``doc_id, n_shingles, node, sig, bands`` of every row; ``node`` is a digest of the set (null if empty)."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """``doc_id, text_key, n_shingles, node, sig, bands`` of every row.
+
+    ``text_key`` is a hash of the text, ``node`` a digest of its set (null if empty).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for begin in range(0, len(batch), 1000):
-                part = batch.iloc[begin : begin + 1000]
-                rows = []
-                for text in part["text"]:
-                    found = shingles(text)
-                    if len(found):
-                        sig, keys = signature(found, params)
-                        rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), sig, keys))
-                    else:
-                        rows.append((0, None, None, None))
-                out = pd.DataFrame(rows, columns=["n_shingles", "node", "sig", "bands"])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, n_shingles long, node binary, sig array<long>, bands array<long>")
+            rows = []
+            for text in batch["text"]:
+                found = shingles(text)
+                if len(found):
+                    sig, keys = signature(found, params)
+                    rows.append((len(found), _digest(found), sig, keys))
+                else:
+                    rows.append((0, None, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "node", "sig", "bands"])
+            out.insert(0, "row", batch["row"].to_numpy())
+            yield out
+
+    # the id travels as text: a column of integers with nulls would come as floats
+    id_type = docs.schema["doc_id"].dataType
+    row = F.concat_ws(" ", F.xxhash64("text").cast("string"), F.col("doc_id").cast("string"))
+    found = docs.select(row.alias("row"), "text").mapInPandas(run, "row string, n_shingles long, node binary, sig array<long>, bands array<long>")
+    space, whole = F.instr("row", " "), F.col("row")
+    key = F.when(space > 0, F.substring(whole, F.lit(1), space - 1)).otherwise(whole)
+    doc_id = F.when(space > 0, F.substring(whole, space + 1, F.length("row"))).cast(id_type)
+    return found.select(doc_id.alias("doc_id"), key.cast("long").alias("text_key"), "n_shingles", "node", "sig", "bands")
 
 
 def equal_minima(a: Column, b: Column, params: MinHashParams) -> Column:
@@ -191,12 +200,13 @@ def estimate(equal: Column, params: MinHashParams) -> Column:
     return (equal / F.lit(float(params.hashes)) - chance) / (1 - chance)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, root`` of every node of ``edges`` (``a, b``): alternating large and small stars.
 
     Each round is a table in the shared folder; the driver sees two numbers a round.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -205,29 +215,44 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that the join meets two plain exchanges and a hub's rows can be split between tasks
-        least = materialize(both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).withColumn("m", F.least("of", "m")), "least")
-        large = both.join(least, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "edges")
-        least = materialize(large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), "least")
+        near = scratch.table(both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).withColumn("m", F.least("of", "m")), "least")
+        large = both.join(near, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = scratch.table(large, "edges")
+        least = scratch.table(large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), "least")
         joined = large.join(least, F.col("a") == F.col("of"))
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = materialize(small.distinct(), "edges")
+        before, now = now, scratch.table(small.distinct(), "edges")
+        scratch.drop(before, near, large, least)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, params: MinHashParams) -> DataFrame:
-    """The pairs (``a, b``) whose full sets are similar enough."""
-    ta = texts.select(F.col("node").alias("na"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("node").alias("nb"), F.col("text").alias("text_b"))
+    """The pairs (``a, b``; a written table) whose full sets are similar enough.
+
+    The partners of one ``a`` are dealt into pieces of about ``params.star``; each piece gets the text of
+    ``a`` once, before its partners' texts.
+    """
+    pieces = F.ceil(F.count("*") / F.lit(params.star)).cast("int")
+    hubs = pairs.groupBy(F.col("a").alias("hub")).agg(pieces.alias("pieces"))
+    text = texts.select(F.col("node").alias("of"), "text")
+    first = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).join(text, F.col("hub") == F.col("of"))
+    first = first.select("hub", "piece", F.lit(None).cast("binary").alias("b"), "text")
+    rest = pairs.join(hubs, F.col("a") == F.col("hub")).select("hub", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int").alias("piece"), "b")
+    rest = rest.join(text, F.col("b") == F.col("of")).select("hub", "piece", "b", "text")
     percent = params.percent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = _Sets()
+        own = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            keep = [similar(sets.get(a, x), sets.get(b, y), percent) for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])]
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            keep = np.zeros(len(batch), dtype=bool)
+            for i, (b, text) in enumerate(zip(batch["b"], batch["text"])):
+                if b is None:
+                    own = shingles(text)
+                else:
+                    keep[i] = similar(own, shingles(text), percent)
+            yield pd.DataFrame({"a": batch["hub"][keep], "b": batch["b"][keep]})
 
-    joined = pairs.join(tb, F.col("b") == F.col("nb")).join(ta, F.col("a") == F.col("na"))
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
+    ordered = first.unionByName(rest).repartition("hub", "piece").sortWithinPartitions("hub", "piece", F.col("b").asc_nulls_first())
+    return ordered.mapInPandas(run, "a binary, b binary")
 
 
 def _worth(pairs: DataFrame, nodes: DataFrame, params: MinHashParams) -> DataFrame:
@@ -239,6 +264,67 @@ def _worth(pairs: DataFrame, nodes: DataFrame, params: MinHashParams) -> DataFra
     return joined.where(fits & (equal_minima(F.col("sig_a"), F.col("sig_b"), params) >= params.least_equal)).select("a", "b")
 
 
+# ---- open buckets ------------------------------------------------------------------
+
+_COUNTED = np.dtype([("shingle", "<u8"), ("high", "<u8"), ("low", "<u8")])
+
+
+def _spread(parts: int, at_once: int):
+    """Nodes' shingles beside the nodes, packed and dealt into ``parts`` ranges of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            rows = np.concatenate(held)
+            part = ((rows["shingle"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            return pd.DataFrame({"part": part[cuts], "packed": [x.tobytes() for x in np.split(rows, cuts[1:])]})
+
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"]):
+                found = shingles(text)
+                rows = np.empty(len(found), dtype=_COUNTED)
+                rows["shingle"] = found
+                rows["high"], rows["low"] = np.frombuffer(node, dtype="<u8")
+                held.append(rows)
+                size += len(rows)
+                if size >= at_once:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _count_alone(batch: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: how many shingles each node has that no other node has."""
+    rows = np.concatenate([np.frombuffer(x, dtype=_COUNTED) for x in batch["packed"]])
+    rows = rows[np.argsort(rows["shingle"], kind="stable")]
+    new = np.concatenate([[True], rows["shingle"][1:] != rows["shingle"][:-1], [True]])
+    alone = rows[new[:-1] & new[1:]]
+    nodes, counts = np.unique(np.stack([alone["high"], alone["low"]], axis=1), axis=0, return_counts=True)
+    return pd.DataFrame({"node": [x.astype("<u8").tobytes() for x in nodes], "alone": counts.astype(np.int64)}, columns=["node", "alone"])
+
+
+def shared_sizes(members: DataFrame, texts: DataFrame, params: MinHashParams) -> DataFrame:
+    """``node, alone``: how many of a node's shingles no other node of ``members`` (``node, n_shingles``) has; none: no row.
+
+    Shingles travel packed, a row a range and a flush of a task; a range holds about
+    ``params.count_at_once`` of them.
+    """
+    total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-total // params.count_at_once))
+    own = members.select("node").join(texts.select(F.col("node").alias("of"), "text"), F.col("node") == F.col("of")).select("node", "text")
+    packed = own.mapInPandas(_spread(parts, params.count_at_once), "part long, packed binary")
+    counted = packed.groupBy("part").applyInPandas(_count_alone, "node binary, alone long")
+    return counted.groupBy("node").agg(F.sum("alone").alias("alone"))
+
+
 class _BlockSets:
     """The shingle sets of a block, as small numbers, for one-against-many intersections."""
 
@@ -263,10 +349,10 @@ class _BlockSets:
 
 def _compare_block(block: pd.DataFrame, params: MinHashParams, confirm: bool) -> tuple[list, list]:
     """Pairs of a query and a base row of one block: of different components, not ruled out by
-    size or signature, in the first band that the two share.
+    size, shared shingles or signature, in the first band that the two share.
 
-    When confirming, only linked pairs are given, and a pair of components that the block has
-    joined already is passed over, so links are fewer than nodes.
+    When confirming, only linked pairs are given.  A query's likeliest partners come first, and a pair of components that
+    the block has joined already is passed over, so links are fewer than nodes.
     """
     lanes = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
     query = block["query"].to_numpy(dtype=bool)
@@ -277,7 +363,7 @@ def _compare_block(block: pd.DataFrame, params: MinHashParams, confirm: bool) ->
         return a, b
     sigs = np.stack(block["sig"].to_numpy()).astype(np.int64).view(np.uint64)
     keys = np.stack(block["bands"].to_numpy()).astype(np.int64)
-    sizes, minor, nodes = block["n_shingles"].to_numpy(), block["minor"].to_numpy(dtype=bool), block["node"].to_numpy()
+    sizes, shared, minor, nodes = block["n_shingles"].to_numpy(), block["shared"].to_numpy(), block["minor"].to_numpy(dtype=bool), block["node"].to_numpy()
     order = pd.factorize(nodes, sort=True)[0]
     labels = pd.factorize(block["label"])[0]
     band = block["band"].iloc[0]
@@ -285,6 +371,7 @@ def _compare_block(block: pd.DataFrame, params: MinHashParams, confirm: bool) ->
     for i in rows:
         n = sizes[others]
         ok = (labels[others] != labels[i]) & (np.minimum(n, sizes[i]) * 100 >= np.maximum(n, sizes[i]) * params.percent)
+        ok &= (100 + params.percent) * np.minimum(shared[others], shared[i]) >= params.percent * (n + sizes[i])
         if minor[i]:
             ok &= ~minor[others] | (order[i] < order[others])  # of two queries once is enough
         at = others[ok]
@@ -293,19 +380,25 @@ def _compare_block(block: pd.DataFrame, params: MinHashParams, confirm: bool) ->
         x = sigs[i] ^ sigs[at]
         x |= x >> np.uint64(2)
         x |= x >> np.uint64(1)
-        at = at[params.hashes - np.bitwise_count(x & lanes).sum(axis=-1).astype(np.int64) >= params.least_equal]
+        equal = params.hashes - np.bitwise_count(x & lanes).sum(axis=-1).astype(np.int64)
+        near = equal >= params.least_equal
+        at, equal = at[near], equal[near]
         if not len(at):
             continue
-        at = at[keys[i][np.argmax(keys[at] == keys[i], axis=1)] == band]
-        if confirm and len(at):
-            at = at[sets.linked(i, at, params.percent)]
-        for j in at:
-            if confirm:
-                if labels[j] == labels[i]:
-                    continue
-                labels[labels == labels[j]] = labels[i]
-            a.append(nodes[i])
-            b.append(nodes[j])
+        here = keys[i][np.argmax(keys[at] == keys[i], axis=1)] == band
+        at = at[here][np.argsort(-equal[here], kind="stable")]
+        if not confirm:
+            a += [nodes[i]] * len(at)
+            b += nodes[at].tolist()
+            continue
+        while len(at):
+            some, at = at[:64], at[64:]
+            for j in some[sets.linked(i, some, params.percent)]:
+                if labels[j] != labels[i]:
+                    labels[labels == labels[j]] = labels[i]
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+            at = at[labels[at] != labels[i]]
     return a, b
 
 
@@ -313,103 +406,184 @@ def _in_blocks(params: MinHashParams, confirm: bool):
     """``_compare_block`` over a stream of rows sorted by block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
+        now = None
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = rows[["band", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            key = batch[["band", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
             a, b = [], []
             for begin, end in zip(cuts, cuts[1:]):
-                p, q = _compare_block(rows.iloc[begin:end], params, confirm)
-                a += p
-                b += q
-            held = rows.iloc[cuts[-1] :]
+                if begin == end:
+                    continue
+                of = tuple(key[begin])
+                if held and of != now:
+                    p, q = _compare_block(pd.concat(held, ignore_index=True), params, confirm)
+                    a += p
+                    b += q
+                    held = []
+                now = of
+                held.append(batch.iloc[begin:end])
             yield pd.DataFrame({"a": a, "b": b}, dtype=object)
-        if held is not None and len(held):
-            a, b = _compare_block(held, params, confirm)
+        if held:
+            a, b = _compare_block(pd.concat(held, ignore_index=True), params, confirm)
             yield pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     return run
 
 
-def _remaining_links(live: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, params: MinHashParams) -> DataFrame:
-    """Links (``a, b``) in buckets that still hold several components.
-
-    A bucket's nodes outside its largest component are queries; they and the base
-    (all nodes) are dealt into blocks of about ``params.block``.  Pairs of small buckets
-    are gathered once and then confirmed; larger buckets bring their texts along and
-    are confirmed in place, so what they give stays below the number of their nodes.
-    """
-    r = roots.select(F.col("node").alias("of"), "root")
-    labelled = live.join(r, F.col("node") == F.col("of"), "left").select("band", "node", F.coalesce("root", "node").alias("label"))
-    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy(F.col("band").alias("band_")).agg(
-        F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Of rows ``band, node, label, n_shingles, bytes``, the open buckets' rows with ``size, bytes_, minor_bytes, least`` of
+    the bucket and whether a node is ``minor``, outside its largest component."""
+    labels = rows.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("weight"), F.min("n_shingles").alias("low"))
+    largest = F.struct("n", "label", "weight")
+    open_ = labels.groupBy(F.col("band").alias("band_")).agg(
+        F.sum("n").alias("size"), F.sum("weight").alias("bytes_"), F.max(largest).alias("most"), F.min("low").alias("least"), F.count("*").alias("labels")
     ).where("labels > 1")
-    open_ = labelled.join(buckets, F.col("band") == F.col("band_"))
-    base_blocks = F.ceil(F.col("size") / params.block).cast("int")
-    query_blocks = F.ceil((F.col("size") - F.col("most")) / params.block).cast("int")
-    minor = F.col("label") != F.col("main")
+    open_ = open_.select("band_", "size", "bytes_", (F.col("bytes_") - F.col("most.weight")).alias("minor_bytes"), "least", F.col("most.label").alias("main"))
+    return rows.join(open_, F.col("band") == F.col("band_")).withColumn("minor", F.col("label") != F.col("main")).drop("band_", "main")
+
+
+def _dealt(open_: DataFrame, nodes: DataFrame, params: MinHashParams, confirm: bool) -> DataFrame:
+    """Every row of an open bucket as base of its block column in each block row, and every minor row as query of its
+    block row in each block column."""
+    base_blocks = F.ceil(F.col("bytes_") / params.block_bytes).cast("int") if confirm else F.lit(1)
+    query_blocks = F.ceil(F.col("minor_bytes") / params.block_bytes).cast("int") if confirm else F.lit(1)
     mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    fields = ["band", "node", "label", "size", minor.alias("minor")]
+    fields = ["band", "node", "label", "minor"]
     base = open_.select(*fields, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("i"), mine(base_blocks).alias("j"))
-    query = open_.where(minor).select(*fields, F.lit(True).alias("query"), mine(query_blocks).alias("i"), F.explode(F.sequence(F.lit(0), base_blocks - 1)).alias("j"))
-    n = nodes.select(F.col("node").alias("of"), "sig", "bands", "n_shingles")
-    dealt = base.unionByName(query).join(n, F.col("node") == F.col("of")).drop("of")
+    query = open_.where("minor").select(*fields, F.lit(True).alias("query"), mine(query_blocks).alias("i"), F.explode(F.sequence(F.lit(0), base_blocks - 1)).alias("j"))
+    of_node = nodes.select(F.col("node").alias("of"), "sig", "bands", "n_shingles", "shared")
+    return base.unionByName(query).join(of_node, F.col("node") == F.col("of")).drop("of")
+
+
+def _remaining_links(live: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, params: MinHashParams, scratch: Scratch) -> list[DataFrame]:
+    """Written links (``a, b``) in buckets that still hold several components."""
+    spark = live.sparkSession
+    r = roots.select(F.col("node").alias("of"), "root")
+    label = F.coalesce("root", "node").alias("label")
+    labelled = live.join(r, F.col("node") == F.col("of"), "left").select("band", "node", label, "n_shingles", F.lit(NODE_BYTES).cast("long").alias("bytes"))
+    open_ = scratch.table(_buckets(labelled), "open")
 
     def over(rows: DataFrame, confirm: bool) -> DataFrame:
-        ordered = rows.drop("size").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        ordered = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
         return ordered.mapInPandas(_in_blocks(params, confirm), "a binary, b binary").distinct()
 
-    pairs = materialize(over(dealt.where(F.col("size") <= params.small), False), "pairs")
-    large = dealt.where(F.col("size") > params.small).join(texts.select(F.col("node").alias("of"), "text"), F.col("node") == F.col("of")).drop("of")
-    return _confirm(pairs, texts, params).unionByName(over(large, True))
-
+    whole = nodes.withColumn("shared", F.col("n_shingles"))
+    with batches_of(spark, BATCH_ROWS):
+        pairs = scratch.table(over(_dealt(open_.where(F.col("size") <= params.small), whole, params, False), False), "pairs")
+        found = [scratch.table(_confirm(pairs, texts, params), "links")]
 
-def link_components(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
-    found = materialize(features(docs, params), "minhash")
+    large = open_.where(F.col("size") > params.small).select("band", "node", "label", "n_shingles")
+    if large.isEmpty():
+        return found
+    with batches_of(spark, BATCH_ROWS):
+        members = scratch.table(large.select("node", "n_shingles").distinct(), "members")
+        alone = scratch.table(shared_sizes(members, texts, params), "alone")
+    own = members.select("node", "n_shingles").join(alone.select(F.col("node").alias("of"), "alone"), F.col("node") == F.col("of"), "left")
+    own = own.select("node", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "n_shingles").where(F.col("shared") * 100 >= F.col("n_shingles") * params.percent)
+    weight = texts.select(F.col("node").alias("of"), (F.octet_length("text") + NODE_BYTES).cast("long").alias("bytes"))
+    own = scratch.table(own.join(weight, F.col("node") == F.col("of")).drop("of"), "able")
+    able = own.select(F.col("node").alias("of"), "shared", "bytes")
+    rows = large.join(able, F.col("node") == F.col("of")).drop("of")
+    # a partner has at least the bucket's smallest size, and an intersection at most the shared shingles
+    least = rows.groupBy(F.col("band").alias("of")).agg(F.min("n_shingles").alias("smallest"))
+    can = (100 + params.percent) * F.col("shared") >= params.percent * (F.col("n_shingles") + F.col("smallest"))
+    rows = rows.join(least, F.col("band") == F.col("of")).where(can).drop("of", "smallest", "shared")
+    rest = scratch.table(_buckets(rows), "large")
+    bounded = nodes.join(able.select(F.col("of").alias("able_"), "shared"), F.col("node") == F.col("able_"))
+    dealt = _dealt(rest, bounded, params, True).join(texts.select(F.col("node").alias("of"), "text"), F.col("node") == F.col("of")).drop("of")
+    with batches_of(spark, BATCH_ROWS):
+        found.append(scratch.table(over(dealt, True), "links"))
+    scratch.drop(open_, pairs, members, alone, own, rest)
+    return found
+
+
+def _linked(docs: DataFrame, params: MinHashParams, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Written tables: every row as ``doc_id, text_key, n_shingles, node``, and ``node, root`` of the nodes that
+    are linked or have several rows."""
+    spark = docs.sparkSession
+    with batches_of(spark, BATCH_ROWS):
+        found = scratch.table(features(docs, params), "rows")
     nodes = (
         found.where("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+        .agg(
+            F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("rep"),
+            F.count("*").alias("copies"),
+            F.first("sig").alias("sig"),
+            F.first("bands").alias("bands"),
+            F.first("n_shingles").alias("n_shingles"),
+        )
     )
-    nodes = materialize(nodes, "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = scratch.table(nodes, "nodes")
+    rows = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     shared = rows.groupBy(F.col("band").alias("of")).agg(F.count("*").alias("n")).where("n > 1")
-    live = materialize(rows.join(shared, F.col("band") == F.col("of")).select("band", "node", "n"), "buckets")
+    live = scratch.table(rows.join(shared, F.col("band") == F.col("of")).select("band", "node", "n_shingles", "n"), "buckets")
     met = live.groupBy("node").agg(F.sum("n").alias("met"))
-    live_nodes = materialize(nodes.join(met, "node").select("node", "rep", "sig", "bands", "n_shingles", "met"), "live")
+    live_nodes = scratch.table(nodes.join(met, "node").select("node", "rep", "sig", "bands", "n_shingles", "met"), "live")
 
-    # Only texts of nodes in some bucket are moved.
-    wanted = live_nodes.select(F.col("rep").alias("rep_"), "node")
-    small = live_nodes.count() <= params.broadcast_rows
-    picked = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep_")))
-    texts = materialize(_own_texts(picked.select("node", "text")), "texts")
+    # Only texts of nodes in some bucket are moved: each node's from the row that stands for it.
+    wanted = live_nodes.select(F.col("rep.doc_id").alias("rep_"), F.col("rep.text_key").alias("key_"), "node")
+    wanted = F.broadcast(wanted) if live_nodes.count() <= params.broadcast_rows else wanted
+    own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_")) & (F.xxhash64("text") == F.col("key_")))
+    texts = scratch.table(own.select("node", "text").dropDuplicates(["node"]), "texts")
 
     by_met = live.join(live_nodes.select(F.col("node").alias("of"), "met"), F.col("node") == F.col("of"))
     pivots = by_met.groupBy(F.col("band").alias("in_")).agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
     stars = live.join(pivots, F.col("band") == F.col("in_")).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_confirm(_worth(stars, live_nodes, params), texts, params), "links")
-    roots = materialize(components(links), "roots")
-    rest = _remaining_links(live, live_nodes, texts, roots, params)
-    closed = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-
+    stars = scratch.table(_worth(stars, live_nodes, params), "stars")
+    with batches_of(spark, BATCH_ROWS):
+        links = scratch.table(_confirm(stars, texts, params), "links")
+    roots = scratch.table(components(links, scratch), "roots")
+    rest = _remaining_links(live, live_nodes, texts, roots, params, scratch)
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for more in rest:
+        edges = edges.unionByName(more)
+    closed = components(edges, scratch)
     in_component = nodes.join(closed.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left")
-    grouped = in_component.where("root is not null or copies > 1").select("node", F.coalesce("root", "node").alias("root"), "rep")
-    least = grouped.groupBy(F.col("root").alias("root_")).agg(F.min("rep").alias("component"))
+    grouped = scratch.table(in_component.where("root is not null or copies > 1").select("node", F.coalesce("root", "node").alias("root"), "rep"), "grouped")
+    scratch.keep_only(found, grouped)
+    return found, grouped
+
+
+def link_components(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    found, grouped = _linked(docs, params, Scratch(docs.sparkSession, "minhash"))
+    least = grouped.groupBy(F.col("root").alias("root_")).agg(F.min("rep.doc_id").alias("component"))
     answer = grouped.join(least, F.col("root") == F.col("root_")).select(F.col("node").alias("of"), "component")
     out = found.select("doc_id", "n_shingles", "node").join(answer, F.col("node") == F.col("of"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _own_texts(picked: DataFrame) -> DataFrame:
-    """Rows whose text has the node's set (an id may come with several texts), one a node."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = [hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == n for n, t in zip(batch["node"], batch["text"])]
-            yield batch[np.array(keep, dtype=bool)]
+def one_of_each(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates; all columns, rows without words all stay.
 
-    return picked.mapInPandas(run, "node binary, text string").dropDuplicates(["node"])
+    Decided by row: a row is its id and the hash of its text.  Rows that go are fewer than those
+    that stay, so texts meet the keys that go, broadcast up to ``params.broadcast_rows``.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "one-of-each")
+    found, grouped = _linked(docs, params, scratch)
+    first = F.struct(F.col("rep.doc_id").isNull(), F.col("rep.doc_id"), F.col("rep.text_key"))
+    best = grouped.groupBy(F.col("root").alias("root_")).agg(F.min_by("rep", first).alias("best"))
+    stays = grouped.join(best, F.col("root") == F.col("root_")).select(F.col("node").alias("of"), "best")
+    rows = found.where("node is not null").join(stays, F.col("node") == F.col("of"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    key = [F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")]
+    marked = scratch.table(rows.groupBy(*key).agg(F.max(same).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "marked")
+    gone, twice = marked.where("not stays").select("id_", "key_"), marked.where("stays").select("id_", "key_")
+    own, text_key = docs.columns, fresh(docs.columns, "text_key")
+    keyed = docs.withColumn(text_key, F.xxhash64("text"))
+    renamed = [fresh([*own, text_key], "id_"), fresh([*own, text_key], "key_")]
+    on = F.col("doc_id").eqNullSafe(F.col(renamed[0])) & (F.col(text_key) == F.col(renamed[1]))
+    small = marked.count() <= params.broadcast_rows
+    sent = lambda t: F.broadcast(t.toDF(*renamed)) if small else t.toDF(*renamed)
+    kept = keyed.join(sent(gone), on, "left_anti")
+    if twice.isEmpty():
+        return kept.select(*own)
+    # of rows alike in id and text one stays, by the hash of all columns; a group of any size is reduced in each task first
+    whole = F.struct(*[F.col(c) for c in own])
+    repeats = kept.join(sent(twice), on, "left_semi").groupBy("doc_id", text_key).agg(F.min_by(whole, F.xxhash64(*own)).alias("row"))
+    single = kept.join(sent(twice), on, "left_anti").select(*own)
+    return single.unionByName(repeats.select("row.*"))
