@@ -108,8 +108,13 @@ def test_grammar_round_trip_and_spans(n, least):
         a, z = sorted(rng.integers(0, n + 1, 2))
         assert (block.span(a, min(z, a + 300)) == ids[a : min(z, a + 300)]).all()
     if len(block.grammar):
-        flat, at = repair.expansions(block.grammar, block.first)
-        assert (np.diff(at) == block.lengths).all()
+        flat, at = repair.symbol_table(block.grammar, block.lengths, block.first)
+
+        def expand(x):
+            return [x] if x < block.first else [y for part in block.grammar[x - block.first].tolist() for y in expand(part)]
+
+        for x in rng.integers(0, block.first + len(block.grammar), 50).tolist():
+            assert flat[at[x] : at[x + 1]].tolist() == expand(x)
 
 
 def test_repeats_compress():
@@ -123,7 +128,7 @@ def test_no_frequent_pair_is_left():
     passage = rng.integers(1, 40_000, 3_000).astype(np.uint32)
     ids, starts = np.concatenate([np.tile(passage, 40), (rng.zipf(1.2, 200_000) % 40_000).astype(np.uint32), np.full(999, 7, dtype=np.uint32)]), np.arange(0, 120_001, 3_000)
     starts = np.append(starts, len(ids))
-    symbols, places, grammar, first = repair.compress(ids, starts)
+    symbols, places, grammar, lengths, first = repair.compress(ids, starts)
     assert (np.diff(places)[:40] == 1).all()
     uses = {}
     for a, z in zip(places, places[1:]):
@@ -145,6 +150,35 @@ def test_byte_coder_equals_the_library():
     assert [x.tolist() for x in repair.ByteCoder(BYTES).encode_batch(texts)] == want
 
 
+def test_rounds_compress_nearly_as_one_pair_at_a_time():
+    """Replacing many pairs a round costs little against the most frequent pair alone each time."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(1, 3_000, rng.integers(2, 6)) for _ in range(900)]
+    ids = np.concatenate([words[i] for i in np.minimum(rng.zipf(1.25, 9_000) - 1, 899)]).astype(np.uint32)
+    starts = np.array([0, len(ids)])
+    sizes = [len(repair.compress(ids, starts, repair.RePairParams(rules_per_round=n))[0]) for n in (1, 3_000)]
+    assert sizes[1] <= 1.03 * sizes[0]
+
+
+def test_damaged_lengths_are_noticed():
+    block = repair.Block(repair.write_block(np.tile(np.arange(1, 9, dtype=np.uint32), 200), np.array([0, 800, 1600])))
+    block.lengths = block.lengths + np.uint32(1)
+    with pytest.raises(ValueError):
+        block.documents()
+
+
+def test_key_table_is_emptied_and_stays_right():
+    from wayfare.llm.wordtable import KeyTable
+
+    rng = np.random.default_rng(1)
+    table = KeyTable(limit=50, limit_ids=120)
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 400, 30).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        numbers = table.number(keys, lambda new: (np.full(len(new), 2), np.repeat(keys[new] >> np.uint64(40), 2).astype(np.uint32)))
+        assert (table.ids(numbers) == np.repeat(keys >> np.uint64(40), 2).astype(np.uint32)).all() and (table.lengths(numbers) == 2).all()
+        table.trim()
+
+
 def test_shards_read_back(spark):
     rows = [(i * 2, t) for i, t in enumerate(ODD + _random_texts(60, 4))] + [(0, "again"), (None, "none")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))

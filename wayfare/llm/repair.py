@@ -5,8 +5,8 @@ and cut into blocks of bounded size.  In each block frequent neighbouring pairs
 are replaced by nonterminals, round after round, until none is frequent.  A
 block's file holds the rules, the expansion length of every nonterminal, the
 place of every document and the remaining symbols, so a reader expands only what
-it is asked for.  Files are rows of a table in the shared folder: the writer's
-commit protocol keeps them whole when executors are lost.
+it is asked for; a document begins where the lengths of the symbols before it say.  Files are rows of a table in the
+shared folder: the writer's commit protocol keeps them whole when executors are lost.
 
 Defined results: a null text is encoded as an empty one (the end id alone); rows
 that repeat an id follow each other (by hash of the text, then the text); null ids come
@@ -28,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import materialize, shuffle_partitions
+from wayfare.llm.common import Scratch, batches_of, shuffle_partitions
 from wayfare.llm.hashing import span_hashes
-from wayfare.llm.wordtable import WordTable, gather, lists
+from wayfare.llm.wordtable import KeyTable, gather, lists
 
 END_ID = 0
 MAGIC = b"WFRP"
@@ -39,47 +39,35 @@ MAGIC = b"WFRP"
 @dataclass(frozen=True)
 class RePairParams:
     """``block_tokens`` bounds a block (but for a longer single document).  Rounds go on until no pair
-    has ``least_uses`` places; each replaces the ``rules_per_round`` most frequent."""
+    has ``least_uses`` places; each replaces the most frequent: at most ``rules_per_round``, none with less than a ``spread``-th of the
+    places of the first (lower ones would take places that it makes better use of).  A rule costs 12 bytes and a use
+    saves one symbol of 2, or of 4 where symbols are more than 65,536."""
 
-    block_tokens: int = 1 << 21
+    block_tokens: int = 1 << 20
     rules_per_round: int = 3_000
+    spread: int = 16
     least_uses: int = 8
-    hash_bits: int = 18
 
 
 # ---- grammar -----------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairParams()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, their document starts, the rules (n x 2) and the first nonterminal.
+def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairParams()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, their document starts, the rules (n x 2), the lengths of their expansions and the first nonterminal.
 
     No pair crosses a document's start, so documents stay separately decodable.
     """
     symbols, places = ids.astype(np.uint32), starts[:-1].astype(np.int64)
     first = int(symbols.max()) + 1 if len(symbols) else 1
-    rules: list[np.ndarray] = []
-    made = 0
-    shift = np.uint32(32 - params.hash_bits)
+    rules, sizes = [np.zeros((0, 2), dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+    lengths = np.ones(first, dtype=np.int64)  # of every symbol
     want = params.rules_per_round
     while len(symbols) > 1:
-        left, right = symbols[:-1], symbols[1:]
-        bucket = left * np.uint32(0x9E3779B1)
-        bucket ^= right * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
-        bucket *= np.uint32(0xC2B2AE35)
-        bucket >>= shift
-        usable = np.ones(len(left), dtype=bool)
-        usable[places[(places > 0) & (places < len(symbols))] - 1] = False  # pairs over a start
-        # of a symbol's repeats every second pair from the left end of a run
-        twins = np.flatnonzero((left == right) & usable)
-        usable[twins[_offsets(twins) % 2 == 1]] = False
-        # a bucket may hold several pairs, so one with too few places holds no frequent pair
-        counts = np.bincount(bucket[usable], minlength=1 << params.hash_bits)
-        at = np.flatnonzero(usable & (counts >= params.least_uses)[bucket])
-        pairs, place, counts = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
-        top = np.flatnonzero(counts >= params.least_uses)
-        if not len(top):
+        at, pairs, counts, place = _frequent(symbols, places, params.least_uses)
+        if not len(pairs):
             break
-        top = top[np.argsort(-counts[top], kind="stable")][:want]
+        top = np.argsort(-counts, kind="stable")[:want]
+        top = top[counts[top] * params.spread >= counts[top[0]]]
         rank = np.full(len(pairs), -1, dtype=np.int64)
         rank[top] = np.arange(len(top))
         place = rank[place]
@@ -98,14 +86,39 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
         at, place = at[chosen], place[chosen]
         pairs = pairs[top[kept]]
         rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], axis=1))
-        symbols[at] = (first + made + number[place]).astype(np.uint32)
-        made += int(kept.sum())
+        sizes.append(lengths[rules[-1]].sum(axis=1))
+        symbols[at] = (len(lengths) + number[place]).astype(np.uint32)
+        lengths = np.concatenate([lengths, sizes[-1]])
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         symbols = symbols[stay]
         places = places - np.searchsorted(at, places)
-    grammar = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
-    return symbols, np.append(places, len(symbols)), grammar, first
+    return symbols, np.append(places, len(symbols)), np.concatenate(rules), np.concatenate(sizes), first
+
+
+def _frequent(symbols: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs that have ``least`` places or more, the pairs, their exact counts, and each place's pair.
+
+    Counts by hash bucket come first: a bucket may hold several pairs, so one with too few
+    places holds no frequent pair, and only the places in the others are sorted.
+    """
+    left, right = symbols[:-1], symbols[1:]
+    bits = max(10, len(symbols).bit_length())
+    bucket = left * np.uint32(0x9E3779B1)
+    bucket ^= right * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
+    bucket *= np.uint32(0xC2B2AE35)
+    bucket >>= np.uint32(32 - bits)
+    usable = np.ones(len(left), dtype=bool)
+    usable[places[(places > 0) & (places < len(symbols))] - 1] = False  # pairs over a start
+    # of a symbol's repeats every second pair from the left end of a run
+    twins = np.flatnonzero((left == right) & usable)
+    usable[twins[_offsets(twins) % 2 == 1]] = False
+    usable &= (np.bincount(bucket[usable], minlength=1 << bits) >= least)[bucket]
+    at = np.flatnonzero(usable)
+    pairs, place, counts = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
+    often = counts >= least
+    mine = often[place]
+    return at[mine], pairs[often], counts[often], (np.cumsum(often) - 1)[place[mine]]
 
 
 def _offsets(at: np.ndarray) -> np.ndarray:
@@ -114,25 +127,34 @@ def _offsets(at: np.ndarray) -> np.ndarray:
     return np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
 
 
-def expansions(grammar: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """All nonterminals' expansions, flat, with their starts.  Every pass replaces each
-    nonterminal by its pair, so passes are as many as rules nest."""
-    flat, owner = grammar.ravel().astype(np.uint32), np.repeat(np.arange(len(grammar)), 2)
-    while len(flat) and (high := flat >= first).any():
-        width = np.where(high, 2, 1)
-        at = np.cumsum(width) - width
-        grown = np.empty(int(width.sum()), dtype=np.uint32)
-        grown[at[~high]] = flat[~high]
-        pairs = grammar[flat[high].astype(np.int64) - first]
-        grown[at[high]], grown[at[high] + 1] = pairs[:, 0], pairs[:, 1]
-        flat, owner = grown, np.repeat(owner, width)
-    return flat, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(grammar)))]).astype(np.int64)
-
+def symbol_table(grammar: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """What every symbol stands for, flat, with starts: a token for itself, then the nonterminals.
 
-def symbol_table(grammar: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """What every symbol stands for, flat, with starts: a token for itself, then the nonterminals."""
-    flat, starts = expansions(grammar, first)
-    return np.concatenate([np.arange(first, dtype=np.uint32), flat]), np.concatenate([np.arange(first, dtype=np.int64), starts + first])
+    The expansion lengths say where each expansion stands.  A rule's parts are filled in before it is, so rules are
+    taken by how deep they nest.
+    """
+    starts = np.concatenate([np.arange(first, dtype=np.int64), first + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])])
+    flat = np.empty(int(starts[-1]), dtype=np.uint32)
+    flat[:first] = np.arange(first, dtype=np.uint32)
+    ready = np.zeros(first + len(grammar), dtype=bool)
+    ready[:first] = True
+    sizes_of = np.diff(starts)
+    left = np.arange(len(grammar))
+    parts = grammar.astype(np.int64)
+    if (sizes_of[first:] != sizes_of[parts].sum(axis=1)).any():
+        raise ValueError("the lengths are not those of the rules")
+    while len(left):
+        now = ready[parts[left]].all(axis=1)
+        if not now.any():
+            raise ValueError("the grammar refers to itself")
+        rules, left = left[now], left[~now]
+        for side, begin in ((0, starts[first + rules]), (1, starts[first + rules] + sizes_of[parts[rules, 0]])):
+            piece = gather(flat, starts, parts[rules, side])
+            sizes = sizes_of[parts[rules, side]]
+            ends = np.cumsum(sizes)
+            flat[np.repeat(begin - ends + sizes, sizes) + np.arange(len(piece))] = piece
+        ready[first + rules] = True
+    return flat, starts
 
 
 # ---- file format -------------------------------------------------------------
@@ -140,10 +162,7 @@ def symbol_table(grammar: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarra
 
 def write_block(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairParams()) -> bytes:
     """A block's file: header, rules, expansion lengths, token and symbol starts of documents, symbols."""
-    symbols, places, grammar, first = compress(ids, starts, params)
-    lengths = np.zeros(len(grammar), dtype=np.uint32)
-    for i, (a, b) in enumerate(grammar.tolist()):
-        lengths[i] = sum(int(lengths[s - first]) if s >= first else 1 for s in (a, b))
+    symbols, places, grammar, lengths, first = compress(ids, starts, params)
     kind = "<u2" if first + len(grammar) <= 1 << 16 else "<u4"
     head = struct.pack("<4sBIIQQI", MAGIC, int(kind[2]), first, len(grammar), len(ids), len(symbols), len(starts) - 1)
     return b"".join(
@@ -175,7 +194,7 @@ class Block:
 
     def _symbols_table(self) -> tuple[np.ndarray, np.ndarray]:
         if self._table is None:
-            self._table = symbol_table(self.grammar, self.first)
+            self._table = symbol_table(self.grammar, self.lengths, self.first)
         return self._table
 
     def document(self, i: int) -> np.ndarray:
@@ -183,8 +202,15 @@ class Block:
         return gather(*self._symbols_table(), self.symbols[self.places[i] : self.places[i + 1]])
 
     def documents(self) -> list[np.ndarray]:
-        """All ids of all documents."""
-        return np.split(gather(*self._symbols_table(), self.symbols), self.starts[1:-1]) if self.n_docs else []
+        """All ids of all documents, cut where the expansion lengths of the symbols before each say."""
+        if not self.n_docs:
+            return []
+        flat, begins = self._symbols_table()
+        ends = np.concatenate([[0], np.cumsum(np.diff(begins)[self.symbols])])
+        cuts = ends[self.places]
+        if (cuts != self.starts).any():
+            raise ValueError("the lengths of the symbols do not add up to the documents")
+        return np.split(gather(flat, begins, self.symbols), cuts[1:-1])
 
     def span(self, begin: int, end: int) -> np.ndarray:
         """Ids ``begin`` to ``end`` of the block: only the symbols that cover the span are expanded,
@@ -257,24 +283,30 @@ class ByteCoder:
 
         self._library = Tokenizer.from_file(path)
         self._special = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
-        self._table = WordTable(self._encode_words, 2_000_000)
+        self._table = KeyTable()
         # tokens that begin with a space, which is what byte-level vocabularies write as this letter
         self._begins = np.zeros(self._library.get_vocab_size(), dtype=bool)
         self._begins[[i for token, i in self._library.get_vocab().items() if token.startswith("\u0120")]] = True
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A space and letters are a word wherever they stand, so many such words are encoded
-        as one text and told apart by the tokens that begin with a space; others one by one."""
-        joinable = np.array([w[0] == " " and w[1:].isalpha() for w in words], dtype=bool)
-        easy = [w for w, j in zip(words, joinable) if j]
-        joined = self._encode(["".join(easy[i : i + 64]) for i in range(0, len(easy), 64)])
+    def _encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of the words ``data[start:end]``.
+
+        A space and letters are a word wherever they stand, so many such words are encoded as one
+        text and told apart by the tokens that begin with a space; others one by one.
+        """
+        raw = data.tobytes()
+        joinable = (data[starts] == 32) & (ends - starts > 1) & (_KIND[data[ends - 1]] == 1)
+        spans = np.stack([starts[joinable], ends[joinable]])
+        easy = gather(data, np.append(spans.T.ravel(), 0), 2 * np.arange(spans.shape[1])).tobytes()
+        cuts = np.append(np.concatenate([[0], np.cumsum(spans[1] - spans[0])])[::64], len(easy)).tolist()
+        joined = self._encode([easy[a:z].decode("utf-8", "surrogatepass") for a, z in zip(cuts, cuts[1:]) if a < z])
         ids = lists(joined)[1]
-        cuts = np.flatnonzero(self._begins[ids])
-        if len(cuts) != len(easy):
-            return lists(self._encode(words))
-        lengths = np.zeros(len(words), dtype=np.int64)
-        lengths[joinable] = np.diff(np.append(cuts, len(ids)))
-        other, other_ids = lists(self._encode([w for w, j in zip(words, joinable) if not j]))
+        begins = np.flatnonzero(self._begins[ids])
+        if len(begins) != spans.shape[1]:
+            return lists(self._encode([raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(starts.tolist(), ends.tolist())]))
+        lengths = np.zeros(len(starts), dtype=np.int64)
+        lengths[joinable] = np.diff(np.append(begins, len(ids)))
+        other, other_ids = lists(self._encode([raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(starts[~joinable].tolist(), ends[~joinable].tolist())]))
         lengths[~joinable] = other
         flat = np.empty(int(lengths.sum()), dtype=np.uint32)
         easy_ids = np.repeat(joinable, lengths)
@@ -314,12 +346,13 @@ class ByteCoder:
         ending = data[starts] == 0
         text_of = np.cumsum(ending)[~ending]
         starts, ends = starts[~ending], ends[~ending]
-        codes, keys = pd.factorize(span_hashes(data, starts, ends))
-        first = np.empty(len(keys), dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        numbers = self._table.number_keys(keys.tolist(), lambda i: joined[starts[first[i]] : ends[first[i]]].decode("utf-8", "surrogatepass"))
-        self._table.flush()
-        words = numbers[codes]
+        keys, first, codes = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+
+        def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            parts = [self._encode_words(data, starts[first[at]], ends[first[at]]) for at in np.array_split(new, -(-len(new) // 20_000))]
+            return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
+        words = self._table.number(keys, encode)[codes]
         lengths = self._table.lengths(words)
         per_text = np.bincount(text_of, weights=lengths, minlength=len(raw)).astype(np.int64)
         out = np.split(self._table.ids(words), np.cumsum(per_text)[:-1])
@@ -362,12 +395,17 @@ def write_shards(docs: DataFrame, path: str, params: RePairParams = RePairParams
         if held:
             yield close()
 
+    # rows of one id may be split between ranges, by the hash of their texts; copies alike in both stay together
+    text = [F.xxhash64("text"), F.col("text")]
     ordered = (
         docs.select("doc_id", "text")
-        .repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+        .repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), text[0])
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), *text)
     )
-    return materialize(ordered.mapInPandas(run, f"shard int, block int, doc_ids array<{element}>, n_tokens long, data binary"), "repair")
+    with batches_of(docs.sparkSession, 1_000):
+        return Scratch(docs.sparkSession, "repair").table(
+            ordered.mapInPandas(run, f"shard int, block int, doc_ids array<{element}>, n_tokens long, data binary"), "blocks"
+        )
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -397,6 +435,8 @@ def read_shards(files: DataFrame) -> DataFrame:
                 )
 
     decoded = files.select("shard", "block", "doc_ids", "data").mapInPandas(run, f"doc_id {element}, shard int, block int, at long, n_tokens long, ids_crc32 long")
+    with batches_of(files.sparkSession, 1):  # a file of megabytes at a time
+        decoded = Scratch(files.sparkSession, "decoded").table(decoded, "documents")
     return decoded.join(base, (F.col("shard") == F.col("s_")) & (F.col("block") == F.col("b_"))).select(
         "doc_id", (F.col("base") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32"
     )
