@@ -8,7 +8,8 @@ target; every draw stays a Bernoulli draw that depends on id and seed alone.
 
 Defined results: a null text has size 0; null sources form one source, last in
 order; an empty source has target 0; repeated rows draw alike; a null id draws
-as the empty string; extra columns are ignored.
+as the empty string; extra columns are ignored by ``mix`` and kept by ``emit``, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import materialize
+from wayfare.llm.common import Scratch, fresh, materialize
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEEDS = 8
+#: Most sources whose table is sent to every executor; beyond, the same join is shuffled.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,8 +41,8 @@ def draws(doc_id: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``source, source_size`` to ``source, source_size, target``.
 
-    Sources are few (a row each), so one ordered pass over them is cheap.  With
-    sources in the order of ``cap * size / weight`` the full ones are a prefix;
+    Sources are few (a row each), so one ordered pass over them in one task is cheap; texts and
+    documents are not in it.  With sources in the order of ``cap * size / weight`` the full ones are a prefix;
     the first source that fits fixes the level that the rest share.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -65,42 +68,69 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of every row.
+def _copies(doc_id: Column, rate: Column, seed: Column) -> Column:
+    """Copies of a row whose source has this rate and seed: the rate's whole part and a draw on its fraction."""
+    whole = F.floor(rate)
+    return (whole + F.when(F.element_at(draws(doc_id), seed) < rate - whole, 1).otherwise(0)).cast("long")
 
-    The texts are read once; only ids, sources and sizes are kept.
-    """
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix")
+
+def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``of, source_size, target, rate, seed`` of each source, from rows ``doc_id, source, size``: a written table, one row a source."""
     # A hot source is pre-aggregated in each task before its few partial rows are shuffled.
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    rates = aims.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    rates = rates.withColumnRenamed("source", "of")
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", "rate", draws(F.col("doc_id")).alias("draw")
-    )
+    aims = aims.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    scratch = Scratch(sized.sparkSession, "mix")
+    aims = scratch.table(aims.withColumnRenamed("source", "of"), "aims")
+    joined = sized.join(_few(aims), F.col("source").eqNullSafe(F.col("of")))
     extra = F.col("rate") - F.floor("rate")
-    by_seed = joined.groupBy("source", "target").agg(
+    # the digest is a column of its own first, so that it is made once a row
+    drawn = joined.select("source", "target", "size", "rate", draws(F.col("doc_id")).alias("draw"))
+    by_seed = drawn.groupBy("source", "target").agg(
         *[F.sum(F.col("size") * (F.floor("rate") + F.when(F.col("draw")[i] < extra, 1).otherwise(0))).alias(f"t{i}") for i in range(SEEDS)]
     )
     misses = F.array(*[F.abs(F.col(f"t{i}") - F.col("target")) for i in range(SEEDS)])
-    chosen = by_seed.select(F.col("source").alias("of"), F.array_position(misses, F.array_min(misses)).cast("int").alias("seed"))
-    final = joined.join(chosen, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.floor("rate") + F.when(F.element_at("draw", F.col("seed")) < extra, 1).otherwise(0)).cast("long").alias("copies"),
-    )
+    chosen = by_seed.select(F.col("source").alias("source_"), F.array_position(misses, F.array_min(misses)).cast("int").alias("seed"))
+    out = scratch.table(aims.join(chosen, F.col("of").eqNullSafe(F.col("source_"))).drop("source_"), "rates")
+    scratch.keep_only(out)
+    return out
+
+
+def _few(sources: DataFrame) -> DataFrame:
+    """A written table of sources for a join: broadcast if it has at most ``BROADCAST_SOURCES`` rows."""
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` of every row.
+
+    The texts are read once; only ids, sources and sizes are kept.
+    """
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    found = _few(rates(sized, weights, cap))
+    joined = sized.join(found, F.col("source").eqNullSafe(F.col("of")))
+    final = joined.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("doc_id"), F.col("rate"), F.col("seed")).alias("copies"))
     return final.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each row repeated ``copies`` times (none for 0), joined by ``doc_id``."""
-    copies = mixed.groupBy(F.col("doc_id").alias("of_")).agg(F.max("copies").alias("copies_"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("of_"))).where("copies_ > 0")
-    times = F.array_repeat(F.lit(1), F.col("copies_").cast("int"))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias("copy_")).drop("copy_")
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``docs`` with each row as often as its mix takes it (not at all for 0).
+
+    A row's copies depend on its id and its source's rate and seed alone, so the small table of sources
+    goes to the rows: no text is shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "emit")
+    sized = scratch.table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    found = rates(sized, weights, cap)
+    scratch.drop(sized)
+    columns = docs.columns
+    renamed = {c: fresh(columns, c) for c in ("of", "source_size", "target", "rate", "seed")}
+    few = _few(found)
+    for name, new in renamed.items():
+        few = few.withColumnRenamed(name, new)
+    joined = docs.join(few, docs["source"].eqNullSafe(F.col(renamed["of"])))
+    copies = _copies(docs["doc_id"], F.col(renamed["rate"]), F.col(renamed["seed"])).cast("int")
+    copy = fresh([*columns, *renamed.values()], "copy")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in columns])
 
 
 SQL = r"""
