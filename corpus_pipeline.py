@@ -1,8 +1,9 @@
 """A training-corpus pipeline over ``documents``: each stage is one operator, written
 as Parquet and reread as the next one's input.
 
-Stages but the last return the columns of ``documents``.  Rows whose id repeats
-stay together in the filters; the near-duplicate stage keeps one of them.
+Stages but the last return the columns of ``documents``.  Every stage decides by row: rows that
+share an id, or have none, are filtered by their own texts, and of rows with one id and
+one text the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
@@ -12,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import bpe, langid, minhash, mixing, quality_fm
-from wayfare.llm.common import materialize
+from wayfare.llm.common import Scratch
 
 #: A language score below this counts as undecided.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Most ids of dropped documents that are sent to every executor; beyond, the join is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,25 +32,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates.
-
-    Documents to drop are fewer than those to keep, so texts meet the ids that go, which
-    are broadcast up to a checked number.
-    """
-    linked = materialize(minhash.link_components(docs), "linked")
-    ids = linked.where("doc_id is not null").groupBy(F.col("doc_id").alias("of_")).agg(F.max("kept").alias("stays_"), F.count("*").alias("rows_"))
-    ids = materialize(ids.where("not stays_ or rows_ > 1"), "dropped")
-    gone = ids.where("not stays_").select("of_")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("of_"), "left_anti")
-    if ids.where("rows_ > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each group of near-duplicates (five words, a similarity of 0.8), decided by row."""
+    return minhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.emit(docs, mixing.mix(docs))
+    return mixing.emit(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the whole ``documents`` table."""
+    """The stages in order over the whole ``documents`` table; a stage's input goes once its output is written."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}")
+            out = scratch.table(out, name)
+            scratch.drop(docs)
+        docs = out
     return docs
