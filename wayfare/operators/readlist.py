@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.text import from_root
-from wayfare.operators.walk import Visit, Walk
+from wayfare.operators.walk import Outcome, Visit
 
 
 def earns_a_place(threshold: float, relevance: Column | str = "relevance", sections: Column | str = "sections") -> Column:
@@ -66,7 +66,7 @@ def _file(visit: Visit, root: str, threshold: float | None) -> dict:
     }
 
 
-def reading_list(state: Walk, query: str, mode: str, scorer: str, threshold: float, root: str = "") -> ReadingList:
+def reading_list(state: Outcome, query: str, mode: str, scorer: str, threshold: float, root: str = "") -> ReadingList:
     """A finished walk as a reading list, paths spelled from ``root``."""
     earns = lambda v: v.relevance >= threshold or any(s["score"] >= threshold for s in v.sections)
     return ReadingList(

@@ -1,10 +1,11 @@
 """The budgeted best-first walk over a link graph, for one query or for many at once.
 
-A path's score is the product of the scents along it.  The walk always takes
-the strongest path that is left (the smaller page on ties), judges its page, and offers
-the page's links to the frontier.  Scents above 1 or below 0 are never admitted,
-so a page is settled by its best path, as in Dijkstra's search.
+A route's score is the product of the scents along it.  The walk always takes
+the strongest route that is left (the smaller page on ties), judges its page, and offers
+the page's links.  Scents above 1 or below 0 are never admitted,
+so a page is closed by its best route, as in Dijkstra's search.
 
+``explore`` is one walk as a generator: it yields the pages to judge and is sent their judgments.
 ``grouped_walk`` runs one exact walk a query, in parallel over queries, on a table
 of judgments.  ``round_walk`` asks for judgments only of pages that are reached,
 one distributed call a round for all queries together.  ``closure`` is the
@@ -14,8 +15,10 @@ relational form for walks without budget, beam or depth limit.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
+from itertools import count
 from math import isnan
 
 import pandas as pd
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from wayfare import schema
 from wayfare.functions.text import components
+from wayfare.plans.tables import Scratch
 
 # Reasons a link was not followed.
 BELOW_THRESHOLD, NOT_KEPT, UNJUDGED, OUT_OF_ROOT, PAST_DEPTH = "below-threshold", "not-kept", "unjudged", "out-of-root", "past-depth"
@@ -56,33 +60,39 @@ class Link:
 
 @dataclass
 class Page:
-    """A judged page: its own relevance, sections with scores, and links in document order.  ``error``: it could not be judged."""
+    """A judged page: its own relevance, sections with scores, and links in document order.
+
+    ``error``: it could not be judged.  ``posts``: how many requests that took (none where it could not be read).
+    """
 
     relevance: float = 0.0
     sections: list[dict] = field(default_factory=list)
     links: list[Link] = field(default_factory=list)
     ignored: list[str] = field(default_factory=list)
     error: str | None = None
-    counted: bool = True  # whether asking for it was a call (a page that cannot be read is none)
     posts: int = 1
     cached: bool = False
+    latency_ms: int | None = None
+    input_tokens: int = 0
 
 
 @dataclass(frozen=True)
-class Step:
-    """A path in the frontier."""
+class Route:
+    """A way to a page: ``via`` are the pages before it."""
 
     path: str
-    score: float
-    depth: int
-    scent: float | None
-    via: tuple[str, ...]
+    score: float = 1.0
+    depth: int = 0
+    scent: float | None = None
+    via: tuple[str, ...] = ()
 
-    @property
     def rank(self) -> tuple:
         """Strongest first, then the smaller path."""
         return (-self.score, components(self.path))
 
+    def on(self, link: Link) -> Route:
+        return Route(link.target, self.score * link.scent, self.depth + 1, link.scent, (*self.via, self.path))
+
 
 @dataclass
 class Visit:
@@ -96,6 +106,41 @@ class Visit:
     links: list[Link]
 
 
+@dataclass
+class Outcome:
+    """A finished walk: visits by relevance, failures by path, answers bought and what they took, and what happened in order
+    (``listen`` hears it as it happens)."""
+
+    visits: list[Visit] = field(default_factory=list)
+    failed: list[tuple[str, str]] = field(default_factory=list)
+    calls: int = 0
+    events: list[dict] = field(default_factory=list)
+    spent: Counter = field(default_factory=Counter)
+    listen: Callable[[dict], None] | None = None
+
+    def note(self, event: str, **fields) -> None:
+        self.events.append({"event": event, "t_ms": len(self.events), **fields})
+        if self.listen is not None:
+            self.listen(self.events[-1])
+
+    def pay(self, page: Page) -> None:
+        """Add up what an answer took, and what it cost if it was not stored."""
+        self.calls += not page.cached
+        sums = {"served": 1, "bought": not page.cached, "requests": page.posts, "input_tokens": page.input_tokens, "latency_ms": page.latency_ms or 0}
+        self.spent.update(sums | {"bought_tokens": 0 if page.cached else page.input_tokens})
+
+    def pruned(self, source: str, target: str, scent: float | None, reason: str) -> None:
+        self.note("pruned", source=source, target=target, scent=scent, reason=reason)
+
+    def trace(self, query: str, mode: str, threshold: float) -> list[dict]:
+        """All events with a start and a result a visited page; ``t_ms`` counts events."""
+        out = [{"event": "started", "query": query, "mode": mode, "threshold": threshold}, *self.events]
+        for v in self.visits:
+            earned = v.relevance >= threshold or any(s["score"] >= threshold for s in v.sections)
+            out.append({"event": "result", "path": v.path, "relevance": v.relevance, "earned_a_place": earned})
+        return [{**e, "t_ms": i} for i, e in enumerate(out)]
+
+
 def admits(scent: float, keep: bool, threshold: float | None) -> bool:
     """Admission; a scent outside 0 to 1 (or not a number) never passes."""
     if isnan(scent) or not 0.0 <= scent <= 1.0:
@@ -111,169 +156,158 @@ def unique_links(links: list[Link]) -> list[Link]:
     return list(seen.values())
 
 
-class Walk:
-    """State of one walk.  The caller answers rounds: ``entries`` first, then each ``next_round`` until empty."""
-
-    def __init__(self, entries: list[str], config: WalkConfig, ignored: Callable[[str], bool] = lambda _: False):
-        self.config = config
-        self.visits: list[Visit] = []
-        self.failed: list[tuple[str, str]] = []
-        self.calls = 0
-        self.events: list[dict] = []
-        self._heap: list[tuple[tuple, Step]] = []
-        self._best: dict[str, Step] = {}
-        self._held: dict[str, Page] = {}
-        self._spent = 0
-        self._turns: dict[int, int] = {}
-        first = dict.fromkeys(e for e in entries if not ignored(e))
-        self._settled: set[str] = set(first)
-        self.entries = [Step(p, 1.0, 0, None, ()) for p in sorted(first, key=components)]
-        for step in self.entries:
-            self._best[step.path] = step
-            self._popped(step)
-
-    # -- events
-    def _event(self, event: str, **fields) -> None:
-        self.events.append({"event": event, "t_ms": len(self.events), **fields})
+@dataclass
+class _State:
+    """What a walk knows of one page: its best route so far, a judgment not used yet, and whether it is closed."""
 
-    def _popped(self, step: Step) -> None:
-        self._event("popped", path=step.path, path_score=step.score, depth=step.depth, via=list(step.via))
+    route: Route | None = None
+    page: Page | None = None
+    closed: bool = False
 
-    def _pruned(self, source: str, target: str, scent: float | None, reason: str) -> None:
-        self._event("pruned", source=source, target=target, scent=scent, reason=reason)
 
-    # -- frontier
-    def _budget(self) -> float:
-        return float("inf") if self.config.max_files is None else self.config.max_files - self._spent
+class _Table:
+    """The states of a walk's pages, and a queue of routes over them.
 
-    def _stale(self, step: Step) -> bool:
-        best = self._best.get(step.path)
-        return step.path in self._settled or (best is not None and best.score > step.score)
+    A route in the queue counts while its page is open and has no better one; others are skipped when they come up.
+    """
 
-    def _next(self, taken: list[Step]) -> Step | None:
-        while self._heap:
-            step = heapq.heappop(self._heap)[1]
-            if self._stale(step):
-                continue
-            beam = self.config.beam
-            if beam is not None and self._turns.get(step.depth, 0) + sum(t.depth == step.depth for t in taken) >= beam:
-                self._pruned(step.via[-1], step.path, step.scent, BEAM)
-                continue
-            self._popped(step)
-            return step
+    def __init__(self, config: WalkConfig):
+        self.config = config
+        self.states: defaultdict[str, _State] = defaultdict(_State)
+        self._queue: list[tuple[tuple, int, Route]] = []
+        self._serial = count()
+        self.turns: Counter[int] = Counter()  # pages closed at each depth
+        self.spent = 0
+
+    def room(self) -> float:
+        return float("inf") if self.config.max_files is None else self.config.max_files - self.spent
+
+    def put(self, route: Route) -> None:
+        heapq.heappush(self._queue, (route.rank(), next(self._serial), route))
+
+    def head(self) -> Route | None:
+        """The strongest route that counts."""
+        while self._queue:
+            route = self._queue[0][2]
+            state = self.states[route.path]
+            if not state.closed and state.route.score <= route.score:
+                return route
+            heapq.heappop(self._queue)
         return None
 
-    def next_round(self) -> list[Step]:
-        """Up to ``fanout`` paths to judge at once, within the budget; empty when the walk is over."""
-        taken: list[Step] = []
-        while len(taken) < self.config.fanout and len(taken) < self._budget():
-            step = self._next(taken)
-            if step is None:
-                break
-            taken.append(step)
-        return taken
-
-    def unanswered(self, steps: list[Step]) -> list[Step]:
-        """The steps whose pages still have to be judged; the others' answers are held from an earlier round."""
-        return [s for s in steps if s.path not in self._held]
-
-    def answer(self, steps: list[Step], pages: dict[str, Page], entry: bool = False) -> None:
-        """Record a round's pages in the order they were popped."""
-        answers = []
-        for step in steps:
-            page = self._held.pop(step.path, None)
-            if page is None:
-                page = pages.get(step.path) or Page(error="not judged")
-                self.calls += page.counted
-                for post in range(page.posts if page.counted else 0):
-                    self._event("requested", path=step.path, post_index=post)
-                if page.error is None:
-                    self._event("answered", path=step.path, relevance=page.relevance, cached=page.cached, sections=page.sections)
-            answers.append(page)
-        for step, page in zip(steps, answers):
-            if not entry and self._overtaken(step):
-                self._held[step.path] = page
-                heapq.heappush(self._heap, (step.rank, step))
-            else:
-                self._record(step, page)
-
-    def _overtaken(self, step: Step) -> bool:
-        """Whether a live path in the frontier ranks before ``step`` by now."""
-        while self._heap and self._stale(self._heap[0][1]):
-            heapq.heappop(self._heap)
-        return bool(self._heap) and self._heap[0][0] < step.rank
-
-    def _record(self, popped: Step, page: Page) -> None:
-        self._settled.add(popped.path)
-        step = self._best.pop(popped.path, popped)  # a better path may have come up since
-        if step.depth > 0:
-            self._turns[step.depth] = self._turns.get(step.depth, 0) + 1
-        if page.error is not None:
-            self.failed.append((step.path, page.error))
-            return
-        self._spent += step.depth > 0
-        for target in page.ignored:
-            self._pruned(step.path, target, None, IGNORED)
-        links = [Link(x.target, x.scent, x.keep, x.in_root) for x in unique_links(page.links)]
-        for link in links:
-            link.reason = self._dispose(step, link)
-            link.followed = link.reason is None
-            if link.followed:
-                self._event("admitted", source=step.path, target=link.target, scent=link.scent)
-            else:
-                self._pruned(step.path, link.target, link.scent, link.reason)
-        self.visits.append(Visit(step.path, page.relevance, step.scent, step.score, step.depth, step.via, page.sections, links))
+    def pick(self, out: Outcome) -> list[Route]:
+        """The next round: as many routes as the fanout and the budget allow.  A depth whose beam is full gives none, for good."""
+        picked: list[Route] = []
+        turns = Counter(self.turns)
+        while len(picked) < min(self.config.fanout, self.room()) and (route := self.head()) is not None:
+            heapq.heappop(self._queue)
+            if self.config.beam is not None and turns[route.depth] >= self.config.beam:
+                out.pruned(route.via[-1], route.path, route.scent, BEAM)
+                continue
+            turns[route.depth] += 1
+            picked.append(route)
+            out.note("popped", path=route.path, path_score=route.score, depth=route.depth, via=list(route.via))
+        return picked
 
-    def _dispose(self, step: Step, link: Link) -> str | None:
-        """Offer a link to the frontier; the reason it is passed over, or None."""
+    def refuse(self, route: Route, link: Link) -> str | None:
+        """Why a link of the page at ``route`` is passed over; None once its target is queued."""
         if not link.in_root:
             return OUT_OF_ROOT
         if link.scent is None:
             return UNJUDGED
         if not admits(link.scent, link.keep, self.config.threshold):
             return NOT_KEPT if self.config.threshold is None else BELOW_THRESHOLD
-        if self.config.max_depth is not None and step.depth + 1 > self.config.max_depth:
+        if self.config.max_depth is not None and route.depth >= self.config.max_depth:
             return PAST_DEPTH
-        if link.target in self._settled:
+        state, found = self.states[link.target], route.on(link)
+        if state.closed:
             return ALREADY_REACHED
-        child = Step(link.target, step.score * link.scent, step.depth + 1, link.scent, (*step.via, step.path))
-        best = self._best.get(child.path)
-        if best is not None and best.score >= child.score:
+        if state.route is not None and state.route.score >= found.score:
             return ALREADY_QUEUED
-        self._best[child.path] = child
-        heapq.heappush(self._heap, (child.rank, child))
+        state.route = found
+        self.put(found)
         return None
 
-    def trace(self, query: str, mode: str, threshold: float) -> list[dict]:
-        """All events of a finished walk with a start and a result a visited page; ``t_ms`` counts events."""
-        out = [{"event": "started", "query": query, "mode": mode, "threshold": threshold}, *self.events]
-        for v in self.visits:
-            earned = v.relevance >= threshold or any(s["score"] >= threshold for s in v.sections)
-            out.append({"event": "result", "path": v.path, "relevance": v.relevance, "earned_a_place": earned})
-        return [{**e, "t_ms": i} for i, e in enumerate(out)]
+    def close(self, path: str, out: Outcome) -> None:
+        """Use a page's judgment, on its best route (a better one than that it was picked for may have come up)."""
+        state = self.states[path]
+        route, page = state.route, state.page
+        state.closed, state.page = True, None
+        self.turns[route.depth] += route.depth > 0
+        if page.error is not None:
+            out.failed.append((path, page.error))
+            return
+        self.spent += route.depth > 0
+        for target in page.ignored:
+            out.pruned(path, target, None, IGNORED)
+        links = [Link(x.target, x.scent, x.keep, x.in_root) for x in unique_links(page.links)]
+        for link in links:
+            link.reason = self.refuse(route, link)
+            link.followed = link.reason is None
+            if link.followed:
+                out.note("admitted", source=path, target=link.target, scent=link.scent)
+            else:
+                out.pruned(path, link.target, link.scent, link.reason)
+        out.visits.append(Visit(path, page.relevance, route.scent, route.score, route.depth, route.via, page.sections, links))
+
+    def finish(self, out: Outcome) -> None:
+        """Report what the budget cut off and what was judged in vain."""
+        left = sorted((r for _, _, r in self._queue if not self.states[r.path].closed and self.states[r.path].route is r), key=lambda r: components(r.path))
+        for route in left:
+            out.pruned(route.via[-1], route.path, route.scent, MAX_FILES)
+        out.failed += [(p, s.page.error) for p, s in self.states.items() if s.page is not None and s.page.error is not None]
+        out.visits.sort(key=lambda v: (-v.relevance, components(v.path)))
+        out.failed.sort(key=lambda f: components(f[0]))
+
+
+def explore(
+    entries: list[str], config: WalkConfig, ignored: Callable[[str], bool] = lambda _: False, listen: Callable[[dict], None] | None = None
+) -> Generator[list[str], dict[str, Page], Outcome]:
+    """One walk.  Yields the paths to judge, is sent their pages, and returns the outcome."""
+    out, table = Outcome(listen=listen), _Table(config)
+    starts = sorted(dict.fromkeys(e for e in entries if not ignored(e)), key=components)
+    for path in starts:  # closed at once, so that no link to an entry is followed
+        table.states[path] = _State(Route(path), closed=True)
+        out.note("popped", path=path, path_score=1.0, depth=0, via=[])
+
+    def judge(paths: list[str]) -> Generator[list[str], dict[str, Page], None]:
+        ask = [p for p in paths if table.states[p].page is None]
+        got = (yield ask) if ask else {}
+        for path in ask:
+            page = table.states[path].page = got.get(path) or Page(error="not judged", posts=0)
+            for post in range(page.posts):
+                out.note("requested", path=path, post_index=post)
+            if page.error is None:
+                out.pay(page)
+                latency = {} if page.latency_ms is None else {"latency_ms": page.latency_ms}
+                out.note("answered", path=path, relevance=page.relevance, cached=page.cached, sections=page.sections, **latency)
 
-    def finish(self) -> None:
-        """Report what the budget cut off, and order visits by relevance, failures by path."""
-        rest = sorted((s for _, s in self._heap if not self._stale(s)), key=lambda s: components(s.path))
-        for step in rest:
-            self._pruned(step.via[-1], step.path, step.scent, MAX_FILES)
-        self._heap = []
-        self.failed += [(p, page.error) for p, page in self._held.items() if page.error is not None]
-        self.visits.sort(key=lambda v: (-v.relevance, components(v.path)))
-        self.failed.sort(key=lambda f: components(f[0]))
+    size = max(config.fanout, 1)
+    for begin in range(0, len(starts), size):
+        yield from judge(starts[begin : begin + size])
+        for path in starts[begin : begin + size]:
+            table.close(path, out)
+    while picked := table.pick(out):
+        yield from judge([r.path for r in picked])
+        for route in picked:
+            ahead = table.head()
+            if ahead is not None and ahead.rank() < route.rank():
+                table.put(route)  # what this round's answers brought up goes first; the judgment waits
+            else:
+                table.close(route.path, out)
+    table.finish(out)
+    return out
 
 
-def walk(entries: list[str], pages: Callable[[list[str]], dict[str, Page]], config: WalkConfig, ignored: Callable[[str], bool] = lambda _: False) -> Walk:
+def walk(entries: list[str], pages: Callable[[list[str]], dict[str, Page]], config: WalkConfig, ignored: Callable[[str], bool] = lambda _: False) -> Outcome:
     """A whole walk; ``pages`` judges a list of paths."""
-    state = Walk(entries, config, ignored)
-    size = max(config.fanout, 1)
-    for begin in range(0, len(state.entries), size):
-        batch = state.entries[begin : begin + size]
-        state.answer(batch, pages([s.path for s in batch]), entry=True)
-    while state._budget() > 0 and (batch := state.next_round()):
-        state.answer(batch, pages([s.path for s in state.unanswered(batch)]))
-    state.finish()
-    return state
+    steps = explore(entries, config, ignored)
+    answers = None
+    while True:
+        try:
+            answers = pages(steps.send(answers))
+        except StopIteration as end:
+            return end.value
 
 
 # ---- distributed forms ---------------------------------------------------------
@@ -282,17 +316,26 @@ _OUT = f"{schema.VISITED}, calls long"
 
 
 def _page(row: dict) -> Page:
-    links = [Link(x["target"], x["scent"], True if x.get("keep") is None else bool(x["keep"]), True if x.get("in_root") is None else bool(x["in_root"])) for x in (row["links"] if row["links"] is not None else [])]
-    for link in links:
-        link.scent = None if link.scent is None or pd.isna(link.scent) else float(link.scent)
-    return Page(float(row["relevance"]), [dict(s) for s in (row["sections"] if row.get("sections") is not None else [])], links)
-
-
-def _visit_rows(query_id, state: Walk) -> pd.DataFrame:
+    """A judgment row; ``error, requests, bought, latency_ms, ignored`` where the judge gives them."""
+    if row.get("error") is not None:
+        return Page(error=row["error"], posts=row.get("requests") or 0)
+    links = []
+    for x in row["links"] if row["links"] is not None else []:
+        scent = None if x["scent"] is None or pd.isna(x["scent"]) else float(x["scent"])
+        links.append(Link(x["target"], scent, x.get("keep") is None or bool(x["keep"]), x.get("in_root") is None or bool(x["in_root"])))
+    sections = [dict(s) for s in (row["sections"] if row.get("sections") is not None else [])]
+    posts = row.get("requests")
+    return Page(
+        float(row["relevance"]), sections, links, list(row.get("ignored") or []), posts=1 if posts is None else int(posts), cached=row.get("bought") is False, latency_ms=row.get("latency_ms"),
+        input_tokens=int(row.get("input_tokens") or 0),
+    )
+
+
+def _visit_rows(query_id, found: Outcome) -> pd.DataFrame:
     return pd.DataFrame(
         [
-            (query_id, v.path, v.relevance, v.scent, v.path_score, v.depth, list(v.via), v.sections, [vars(x) for x in v.links], state.calls)
-            for v in state.visits
+            (query_id, v.path, v.relevance, v.scent, v.path_score, v.depth, list(v.via), v.sections, [vars(x) for x in v.links], found.calls)
+            for v in found.visits
         ],
         columns=["query_id", "path", "relevance", "scent", "path_score", "depth", "via", "sections", "links", "calls"],
     )
@@ -308,10 +351,13 @@ def grouped_walk(judgments: DataFrame, entries: DataFrame, config: WalkConfig) -
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held = {r["path"]: _page(r) for r in rows[rows["path"].notna()].to_dict("records")}
+        rows = rows[rows["path"].notna()]
+        at = {path: i for i, path in enumerate(rows["path"])}
+        columns = {c: rows[c].to_numpy() for c in ("path", "relevance", "sections", "links")}
+        one = lambda i: _page({c: v[i] for c, v in columns.items()})  # noqa: E731  only pages that are reached become objects
         starts = list(rows["entries"].iloc[0])
-        state = walk(starts, lambda paths: {p: held.get(p, Page(error="no judgment", counted=False)) for p in paths}, config)
-        return _visit_rows(key[0], state)
+        found = walk(starts, lambda paths: {p: one(at[p]) if p in at else Page(error="no judgment", posts=0) for p in paths}, config)
+        return _visit_rows(key[0], found)
 
     starts = entries.groupBy("query_id").agg(F.array_sort(F.collect_set("path")).alias("entries"))
     wanted = judgments.select("query_id", "path", "relevance", "sections", "links").join(starts, "query_id")
@@ -319,63 +365,63 @@ def grouped_walk(judgments: DataFrame, entries: DataFrame, config: WalkConfig) -
 
 
 def round_walk(
-    spark, entries: dict[str, list[str]], judge: Callable[[DataFrame], DataFrame], config: WalkConfig
-) -> dict[str, Walk]:
-    """Walks of many queries in rounds: the driver keeps the frontiers, and each round's
+    spark, entries: dict[str, list[str]], judge: Callable[[DataFrame], DataFrame], config: WalkConfig, ignored: Callable[[str], bool] = lambda _: False,
+    listen: Callable[[dict], None] | None = None,
+) -> dict[str, Outcome]:
+    """Walks of many queries in rounds: the driver keeps the queues, and each round's
     paths of all queries are judged by one distributed call.
 
     ``judge`` turns ``query_id, path`` rows into judgment rows.  What comes back
     a round is at most ``fanout`` pages a query.
     """
-    states = {q: Walk(paths, config) for q, paths in entries.items()}
-    todo = {q: s.entries for q, s in states.items()}
-    first = True
-    while todo:
-        asked = [(q, s.path) for q, steps in todo.items() for s in states[q].unanswered(steps)]
-        got: dict[str, dict[str, Page]] = {q: {} for q in todo}
-        if asked:
-            for row in judge(spark.createDataFrame(asked, "query_id string, path string")).toLocalIterator():
-                r = row.asDict(recursive=True)
-                got[r["query_id"]][r["path"]] = _page(r)
-        for q, steps in todo.items():
-            states[q].answer(steps, got[q], entry=first)
-        first = False
-        todo = {q: batch for q, s in states.items() if s._budget() > 0 and (batch := s.next_round())}
-    for s in states.values():
-        s.finish()
-    return states
+    walks = {q: explore(paths, config, ignored, listen) for q, paths in entries.items()}
+    done: dict[str, Outcome] = {}
+
+    def step(q: str, answers: dict[str, Page] | None) -> list[str]:
+        try:
+            return walks[q].send(answers)
+        except StopIteration as end:
+            done[q] = end.value
+            return []
+
+    asked = {q: paths for q in walks if (paths := step(q, None))}
+    while asked:
+        got: dict[str, dict[str, Page]] = {q: {} for q in asked}
+        rows = [(q, path) for q, paths in asked.items() for path in paths]
+        for row in judge(spark.createDataFrame(rows, "query_id string, path string")).toLocalIterator():
+            r = row.asDict(recursive=True)
+            got[r["query_id"]][r["path"]] = _page(r)
+        asked = {q: paths for q, pages in got.items() if (paths := step(q, pages))}
+    return {q: done[q] for q in entries}
 
 
 def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """``query_id, path, path_score`` of every page some admitted path reaches: the best product of scents.
 
     ``edges``: ``source, target, scent`` (admitted links), with ``query_id`` where scents differ
-    by query.  A frontier of improved rows is joined with the edges until nothing improves: links whose scent is
+    by query.  Edges are written once.  A round joins the rows that improved with them and merges what it finds
+    into one table, until nothing improves: links whose scent is
     no probability are not admitted, so no cycle improves a score and the rounds end.  Only for walks
     without budget, beam or binding depth.
     """
-    from wayfare.plans.tables import materialize
-
-    edges = edges.where("scent >= 0 AND scent <= 1")
-    best = entries.select("query_id", "path", F.lit(1.0).alias("path_score")).distinct()
-    frontier = best
+    scratch = Scratch(edges.sparkSession, "closure")
+    edges = scratch.table(edges.where("scent >= 0 AND scent <= 1"), "edges")
+    start = entries.select("query_id", "path", F.lit(1.0).alias("path_score")).distinct()
+    best = scratch.table(start.withColumn("improved", F.lit(True)), "best")
     on = F.col("path") == F.col("source")
+    steps = edges
     if "query_id" in edges.columns:
-        edges = edges.withColumnRenamed("query_id", "of_")
+        steps = edges.withColumnRenamed("query_id", "of_")
         on = on & (F.col("query_id") == F.col("of_"))
-    while True:
-        step = (
-            frontier.join(edges, on)
-            .select("query_id", F.col("target").alias("path"), (F.col("path_score") * F.col("scent")).alias("path_score"))
-            .groupBy("query_id", "path")
-            .agg(F.max("path_score").alias("path_score"))
-        )
-        old = best.select(F.col("query_id").alias("q_"), F.col("path").alias("p_"), F.col("path_score").alias("old"))
-        joined = step.join(old, (F.col("query_id") == F.col("q_")) & (F.col("path") == F.col("p_")), "left")
-        frontier = materialize(joined.where("old is null or path_score > old").select("query_id", "path", "path_score"), "frontier")
-        if frontier.isEmpty():
-            return best
-        best = materialize(best.unionByName(frontier).groupBy("query_id", "path").agg(F.max("path_score").alias("path_score")), "closure")
+    while not best.where("improved").isEmpty():
+        found = best.where("improved").join(steps, on).select("query_id", F.col("target").alias("path"), (F.col("path_score") * F.col("scent")).alias("path_score"))
+        both = best.select("query_id", "path", "path_score", F.col("path_score").alias("old")).unionByName(found.withColumn("old", F.lit(None).cast("double")))
+        merged = both.groupBy("query_id", "path").agg(F.max("path_score").alias("path_score"), F.max("old").alias("old"))
+        improved = F.col("old").isNull() | (F.col("path_score") > F.col("old"))
+        before, best = best, scratch.table(merged.select("query_id", "path", "path_score", improved.alias("improved")), "best")
+        scratch.drop(before)
+    scratch.drop(edges)
+    return best.drop("improved")
 
 
 def disposition(links: DataFrame, threshold: float, max_depth: int) -> DataFrame:
