@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from wayfare.functions.text import collapse, split_lines, trim
 
@@ -90,7 +93,7 @@ class _Block:
     def __init__(self, index: int, kind: str):
         self.index, self.kind = index, kind
         self.text = ""
-        self._open: list[tuple[str, int]] = []  # linkable characters not yet scanned for wikilinks, with their lines
+        self._open: list[tuple[str, int]] = []  # linkable pieces not yet scanned for wikilinks, with the lines they begin on
         self.links: list[tuple[str, str, str, int, int | None, int]] = []
 
     def add(self, text: str, line: int, linkable: bool, heading: int | None) -> None:
@@ -98,9 +101,7 @@ class _Block:
             self.settle(heading)
             self._append(text)
             return
-        for piece in text.splitlines(keepends=True) if "\n" in text else [text]:
-            self._open += [(c, line) for c in piece]
-            line += piece.count("\n")
+        self._open.append((text, line))
 
     def _append(self, text: str) -> None:
         text = collapse(text)
@@ -112,9 +113,17 @@ class _Block:
         """Scan what is open for wikilinks and append it; nothing after this joins a link begun before."""
         if not self._open:
             return
-        text = "".join(c for c, _ in self._open)
-        lines = [n for _, n in self._open]
-        self._open = []
+        pieces, self._open = self._open, []
+        text = "".join(t for t, _ in pieces)
+        if "[[" not in text:
+            self._append(text)
+            return
+        begins = list(accumulate((len(t) for t, _ in pieces), initial=0))
+
+        def line_of(offset: int) -> int:
+            i = bisect_right(begins, offset) - 1
+            return pieces[i][1] + text.count("\n", begins[i], offset)
+
         at = 0
         for m in _WIKI.finditer(text):
             target, bar, alias = m[1].partition("|")
@@ -123,7 +132,7 @@ class _Block:
             if not target:
                 continue
             self._append(text[at : m.start()])
-            self.links.append(("wikilink", target, anchor, len(self.text), heading, lines[m.start()]))
+            self.links.append(("wikilink", target, anchor, len(self.text), heading, line_of(m.start())))
             self._append(anchor)
             at = m.end()
         self._append(text[at:])
@@ -198,9 +207,15 @@ _TAG = re.compile(
     r"<(?:[A-Za-z][\w-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[A-Za-z][\w-]*\s*|!--.*?--|\?.*?\?|![A-Za-z][^>]*|!\[CDATA\[.*?\]\])>",
     re.DOTALL,
 )
+_PLAIN = re.compile(r"[^\\`<&*_~\[\]!]+")  # what means nothing in inline content
+_RUNS = {c: re.compile(re.escape(c) + "+") for c in "`*_~"}
 _ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _TITLE = r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))"
+_OPEN_DESTINATION = re.compile(r"\(\s*")
+_ANGLED = re.compile(r"<((?:[^<>\n\\]|\\.)*)>")
+_CLOSE_DESTINATION = re.compile(rf"(?:\s+{_TITLE})?\s*\)", re.DOTALL)
+_REFERENCE_LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]")
 _REFERENCE = re.compile(rf" {{0,3}}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<]\S*)(?:(?:[ \t]+|[ \t]*\n[ \t]*){_TITLE})?[ \t]*(?:\n|$)", re.DOTALL)
 
 
@@ -226,12 +241,12 @@ class _Node:
 
 def _inline_destination(text: str, at: int) -> tuple[str, int] | None:
     """Destination and end of ``(dest "title")`` that starts at ``at``."""
-    m = re.compile(r"\(\s*").match(text, at)
+    m = _OPEN_DESTINATION.match(text, at)
     if not m:
         return None
     at = m.end()
     if text.startswith("<", at):
-        m = re.compile(r"<((?:[^<>\n\\]|\\.)*)>").match(text, at)
+        m = _ANGLED.match(text, at)
         if not m:
             return None
         dest, at = m[1], m.end()
@@ -251,7 +266,7 @@ def _inline_destination(text: str, at: int) -> tuple[str, int] | None:
         if depth:
             return None
         dest = text[begin:at]
-    m = re.compile(rf"(?:\s+{_TITLE})?\s*\)", re.DOTALL).match(text, at)
+    m = _CLOSE_DESTINATION.match(text, at)
     return (_unescape(dest), m.end()) if m else None
 
 
@@ -267,10 +282,15 @@ def _tokens(text: str, references: dict[str, str]) -> list[_Node]:
             buffer.clear()
 
     at = 0
+    unclosed: set[int] = set()  # lengths of backtick runs that no later run closes
     while at < len(text):
-        c = text[at]
         if not buffer:
             begin = at
+        if m := _PLAIN.match(text, at):
+            buffer.append(m[0])
+            at = m.end()
+            continue
+        c = text[at]
         if c == "\\" and at + 1 < len(text) and (text[at + 1] in _PUNCTUATION or text[at + 1] == "\n"):
             if text[at + 1] == "\n":
                 at += 1
@@ -278,8 +298,10 @@ def _tokens(text: str, references: dict[str, str]) -> list[_Node]:
             buffer.append(text[at + 1])
             at += 2
         elif c == "`":
-            run = re.compile("`+").match(text, at)[0]
-            close = re.compile(rf"(?<!`){run}(?!`)").search(text, at + len(run))
+            run = _RUNS[c].match(text, at)[0]
+            close = None
+            if len(run) not in unclosed:
+                close = next((m for m in _RUNS[c].finditer(text, at + len(run)) if len(m[0]) == len(run)), None)
             if close:
                 flush()
                 code = text[at + len(run) : close.start()].replace("\n", " ")
@@ -288,6 +310,7 @@ def _tokens(text: str, references: dict[str, str]) -> list[_Node]:
                 nodes.append(_Node("code", code, at))
                 at = close.end()
             else:
+                unclosed.add(len(run))
                 buffer.append(run)
                 at += len(run)
         elif c == "<" and (m := _AUTOLINK.match(text, at)):
@@ -302,7 +325,7 @@ def _tokens(text: str, references: dict[str, str]) -> list[_Node]:
             buffer.append(html.unescape(m[0]))
             at = m.end()
         elif c in "*_~":
-            run = re.compile(re.escape(c) + "+").match(text, at)[0]
+            run = _RUNS[c].match(text, at)[0]
             flush()
             before, after = text[at - 1 : at] or " ", text[at + len(run) : at + len(run) + 1] or " "
             left = not after.isspace() and (not _is_punct(after) or before.isspace() or _is_punct(before))
@@ -330,8 +353,6 @@ def _tokens(text: str, references: dict[str, str]) -> list[_Node]:
 
 
 def _is_punct(c: str) -> bool:
-    import unicodedata
-
     return c in _PUNCTUATION or unicodedata.category(c)[0] in "PS"
 
 
@@ -347,7 +368,7 @@ def _close_bracket(text: str, at: int, nodes: list[_Node], brackets: list[int],
     inner = text[node.at + len(node.text) : at]
     found = _inline_destination(text, at + 1)
     if found is None:
-        m = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]").match(text, at + 1)
+        m = _REFERENCE_LABEL.match(text, at + 1)
         label = _label(m[1]) if m and m[1].strip() else _label(inner)
         if label in references:
             found = references[label], (m.end() if m else at + 1)
@@ -403,18 +424,11 @@ def _emphasis(nodes: list[_Node], start: int) -> None:
 
 def _inline(out: _Collector, lines: list[tuple[int, str]], references: dict[str, str]) -> None:
     """Emit the inline content of a leaf block given as numbered lines."""
-    text = "\n".join(re.sub(r"[ \t]+$", "", t.lstrip(" \t")) if i + 1 < len(lines) else t.strip(" \t") for i, (_, t) in enumerate(lines))
-    starts, at = [], 0
-    for line in text.split("\n"):
-        starts.append(at)
-        at += len(line) + 1
+    text = "\n".join(t.strip(" \t") for _, t in lines)
+    starts = list(accumulate((len(t) + 1 for t in text.split("\n")), initial=0))
 
     def line_at(offset: int) -> int:
-        lo, hi = 0, len(starts) - 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if starts[mid] <= offset else (lo, mid - 1)
-        return lines[min(lo, len(lines) - 1)][0]
+        return lines[min(bisect_right(starts, offset) - 1, len(lines) - 1)][0]
 
     nodes = _tokens(text, references)
     _emphasis(nodes, 0)
@@ -473,8 +487,14 @@ def _cells(row: str) -> list[str]:
     return [c.replace("\\|", "|").strip() for c in (cells[:-1] if cells and not cells[-1].strip() and len(cells) > 1 else cells)]
 
 
+#: What a line of a block other than a paragraph, a table or an indented block begins with.
+_BLOCK_START = re.compile(r" {0,3}[#`~*_>+\-<\d]")
+
+
 def _interrupts(line: str, in_item: bool = False) -> bool:
     """Whether a line ends a paragraph without a blank line."""
+    if not _BLOCK_START.match(line):
+        return False
     if _ATX.match(line) or _RULE.match(line) or _QUOTE.match(line) or any(s.match(line) for s, _ in _HTML_STARTS):
         return True
     fence = _FENCE.match(line)
@@ -493,6 +513,8 @@ def _blocks(out: _Collector, lines: list[tuple[int, str]], references: dict[str,
             i += 1
         elif line.startswith("    "):
             i = _indented(out, lines, i)
+        elif not _BLOCK_START.match(line):
+            i = _text(out, lines, i, line, references, tight)
         elif m := _ATX.match(line):
             out.heading(len(m[1]), number)
             body = m[2] or ""
@@ -510,10 +532,15 @@ def _blocks(out: _Collector, lines: list[tuple[int, str]], references: dict[str,
         elif (end := _html_end(lines, i, line)) is not None:
             out.barrier()
             i = end
-        elif i + 1 < len(lines) and "|" in line and _DELIMITER_ROW.match(lines[i + 1][1].rstrip("\r")) and len(_cells(line)) == len(_cells(lines[i + 1][1])):
-            i = _table(out, lines, i, references)
         else:
-            i = _paragraph(out, lines, i, references, tight)
+            i = _text(out, lines, i, line, references, tight)
+
+
+def _text(out: _Collector, lines: list[tuple[int, str]], i: int, line: str, references: dict[str, str], tight: bool) -> int:
+    """A table or a paragraph."""
+    if i + 1 < len(lines) and "|" in line and _DELIMITER_ROW.match(lines[i + 1][1].rstrip("\r")) and len(_cells(line)) == len(_cells(lines[i + 1][1])):
+        return _table(out, lines, i, references)
+    return _paragraph(out, lines, i, references, tight)
 
 
 def _indented(out: _Collector, lines: list[tuple[int, str]], i: int) -> int:
@@ -670,6 +697,8 @@ def _paragraph(out: _Collector, lines: list[tuple[int, str]], i: int, references
 
 
 def _without_references(held: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    if not held[0][1].lstrip(" ").startswith("["):
+        return held
     text = "\n".join(t.rstrip("\r") for _, t in held)
     while m := _REFERENCE.match(text):
         held = held[m[0].rstrip("\n").count("\n") + 1 :]
@@ -680,6 +709,8 @@ def _without_references(held: list[tuple[int, str]]) -> list[tuple[int, str]]:
 def _references(lines: list[str]) -> dict[str, str]:
     """Link reference definitions of the whole page; the first of a label wins."""
     found: dict[str, str] = {}
+    if not any("]:" in x for x in lines):
+        return found
     text = "\n".join(re.sub(r"^(?: {0,3}>[ ]?)+", "", x) for x in lines)
     for m in re.finditer(rf"(?:(?<=\n)|\A){_REFERENCE.pattern}", text, re.DOTALL):
         found.setdefault(_label(m[1]), _unescape(m[2][1:-1] if m[2].startswith("<") else m[2]))
@@ -709,7 +740,10 @@ def sections(found: Scan, text: str) -> list[tuple[str | None, int, int, int]]:
     before = split_lines(text)[found.body_line - 1 : first - 1]
     if first - 1 >= body and any(trim(x) for x in before):
         out.append((None, 0, body, first - 1))
-    for i, h in enumerate(found.headings):
-        end = next((x.line - 1 for x in found.headings[i + 1 :] if x.level <= h.level), found.lines)
-        out.append((h.text, h.level, h.line, end))
+    ends: list[int] = []
+    nearest = [found.lines + 1] * 7  # of each level, the line of the next heading of that level or a higher one
+    for h in reversed(found.headings):
+        ends.append(nearest[h.level] - 1)
+        nearest[h.level :] = [h.line] * (7 - h.level)
+    out += [(h.text, h.level, h.line, end) for h, end in zip(found.headings, reversed(ends))]
     return out

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare import schema
 from wayfare.functions import text as tx
 from wayfare.operators import markdown
+from wayfare.plans.tables import materialize
 
 _RAW_LINKS = (
     "array<struct<pos:int,kind:string,target:string,name:string,by_stem:boolean,candidates:array<string>,"
@@ -91,8 +92,11 @@ def resolve_links(scanned: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages(path, text)`` to parsed rows; links in document order."""
-    scanned = scan_pages(pages)
+    """``pages(path, text)`` to parsed rows; links in document order.
+
+    Every page is scanned once: what the scanner gives is written to the shared folder, and links are resolved from there.
+    """
+    scanned = materialize(scan_pages(pages), "scanned")
     entry = F.struct("pos", "target", "anchor", "sentence", "heading", "line", "in_root", "kind")
     lists = resolve_links(scanned, pages).groupBy("path").agg(F.sort_array(F.collect_list(entry)).alias("l"))
     no_pos = F.transform("l", lambda x: x.dropFields("pos"))
@@ -111,11 +115,19 @@ def previews(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", "title", "frontmatter", "first_paragraph", headings.alias("headings"), leads.alias("leads"))
 
 
+DEEPEST = 6
+
+
 def section_ranges(headings: DataFrame, key: str = "path") -> DataFrame:
-    """Relational section ranges: ``key, level, line, last_line`` to the line each section ends on."""
-    later = headings.select(F.col(key).alias("k_"), F.col("level").alias("level_"), F.col("line").alias("line_"))
-    joined = headings.join(later, (F.col(key) == F.col("k_")) & (F.col("line_") > F.col("line")) & (F.col("level_") <= F.col("level")), "left")
-    return joined.groupBy(key, "level", "line", "last_line").agg((F.coalesce(F.min("line_") - 1, F.first("last_line"))).alias("ends"))
+    """Relational section ranges: ``key, level, line, last_line`` to the line each section ends on.
+
+    One pass over a page's headings from the last line up: for each level (0, before any heading, to 6) the nearest later
+    heading of that level or a higher one.
+    """
+    later = Window.partitionBy(key).orderBy(F.col("line").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    nearest = F.array(*[F.min(F.when(F.col("level") <= n, F.col("line"))).over(later) for n in range(DEEPEST + 1)])
+    following = F.element_at(nearest, F.least(F.col("level"), F.lit(DEEPEST)).cast("int") + 1)
+    return headings.select(key, "level", "line", "last_line", F.coalesce(following - 1, F.col("last_line")).alias("ends"))
 
 
 def first_links(links: DataFrame, source: str = "path", target: str = "target", position: str = "pos") -> DataFrame:
