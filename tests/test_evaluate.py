@@ -26,7 +26,8 @@ def test_evaluation_and_report(spark):
     assert found.unreached.count() == 0
     assert {r.budget: r.read_tokens for r in found.read.collect()}[5] > 0
     text = ev.report(found)
-    assert text.startswith("# Evaluation") and "## Keyword baseline" in text
+    assert text.startswith("# Evaluation") and "## Keyword baseline" in text and "## Cost" in text
+    assert {r.budget: (r.served, r.bought) for r in found.spent.collect()} == {1: (4, 4), 5: (7, 7)}
     scents = spark.createDataFrame([("previews", "a", 0.5), ("no-previews", "a", 0.2)], "policy string, target string, scent double")
     assert ev.scents_by_policy(scents).first().asDict() == {"target": "a", "no-frontmatter": None, "no-previews": 0.2, "previews": 0.5}
 
@@ -87,7 +88,6 @@ def test_the_command_line_uses_its_options(tmp_path, capsys, spark):
         (tmp_path / f"{name}.md").write_text("# Fruit\n\nred apples\n")
     found = {}
     for scorer in ("noul", "choice"):
-        assert cli.main(["run", "red apples", f"{tmp_path}/i.md", "--root", str(tmp_path), "--scorer", scorer, "--threshold", "0"]) == 0
+        assert cli.main(["run", "red apples", f"{tmp_path}/i.md", "--root", str(tmp_path), "--scorer", scorer, "--threshold", "0", "--no-cache"]) == 0
         found[scorer] = {x["path"].rsplit("/", 1)[-1] for x in json.loads(capsys.readouterr().out)["results"]}
     assert found == {"noul": {"a.md", "b.md", "i.md"}, "choice": {"a.md", "i.md"}}
-    assert cli.main(["run", "q", "x", "--wording", "path"]) == 2 and "--wording" in capsys.readouterr().err

@@ -1,7 +1,8 @@
 """Finding what to read in linked document collections, on Spark."""
 
 from wayfare.functions.text import from_root, relative_to_root
-from wayfare.operators.judging import DEFAULT_MODE, MODES, WORDINGS, Judge, KeepRule, Mode, custom_mode, keyword_judge, table_judge
+from wayfare.operators.asking import Asking, asking_judge, http_sender, lexical_answerer, remote_answerer
+from wayfare.operators.judging import DEFAULT_MODE, MODES, WORDINGS, Judge, Mode, ShareRule, custom_mode, keyword_judge, table_judge
 from wayfare.operators.parse import parse_pages, previews, resolve_links
 from wayfare.operators.readlist import ReadingList, earns_a_place, rank_sections, reading_list, split_results
 from wayfare.operators.request import LinkContext, Packer
@@ -15,8 +16,8 @@ from wayfare.sources.store import JudgmentStore
 from wayfare.streaming.trace import best_paths, streaming_counts, trace_summary
 
 __all__ = [
-    "DEFAULT_MODE", "MODES", "REASONS", "WORDINGS", "IgnoreRules", "Judge", "JudgmentStore", "KeepRule", "LinkContext", "Mode", "Options", "Packer", "ReadingList", "WalkConfig",
-    "best_paths", "closure", "custom_mode", "earns_a_place", "from_root", "grouped_walk", "keyword_judge", "list_pages", "load_corpus", "parse_pages", "previews", "rank_sections",
-    "read_gold", "read_gold_lenient", "read_ledger", "read_pages", "read_runs", "read_trace", "reading_list", "relative_to_root", "render", "replay_page", "resolve_links", "revision",
+    "DEFAULT_MODE", "MODES", "REASONS", "WORDINGS", "Asking", "IgnoreRules", "Judge", "JudgmentStore", "LinkContext", "Mode", "Options", "Packer", "ReadingList", "ShareRule", "WalkConfig",
+    "asking_judge", "best_paths", "closure", "custom_mode", "earns_a_place", "from_root", "grouped_walk", "http_sender", "keyword_judge", "lexical_answerer", "list_pages", "load_corpus", "parse_pages", "previews", "rank_sections",
+    "read_gold", "read_gold_lenient", "read_ledger", "read_pages", "read_runs", "read_trace", "reading_list", "relative_to_root", "remote_answerer", "render", "replay_page", "resolve_links", "revision",
     "round_walk", "run_query", "split_results", "streaming_counts", "table_judge", "trace_summary", "write_trace",
 ]

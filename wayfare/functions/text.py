@@ -23,6 +23,11 @@ def collapse(text: str) -> str:
     return _SPACES.sub(" ", text)
 
 
+def plain_terms(text: str) -> list[str]:
+    """Runs of letters and digits, lower-cased."""
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 def split_lines(text: str) -> list[str]:
     """Lines without their newline; a trailing newline opens no line."""
     lines = text.split("\n")

@@ -6,6 +6,7 @@ tables, and every figure is a DataFrame operation over those.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -13,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators import metrics, ranking
-from wayfare.operators.judging import MEASURED_WORDINGS, WORDINGS, Judge, KeepRule, Mode, choice_judge, keyword_judge
+from wayfare.operators.asking import Answerer, Asking, asking_judge, lexical_answerer
+from wayfare.operators.judging import MEASURED_WORDINGS, MODES, WORDINGS, Judge, Mode, ShareRule, choice_judge, cost_usd, keyword_judge
 from wayfare.operators.parse import parse_pages, previews
 from wayfare.operators.request import LinkContext, bounded_previews
-from wayfare.operators.walk import CHOICE_BEAM, Walk, WalkConfig, round_walk
+from wayfare.operators.walk import CHOICE_BEAM, Outcome, WalkConfig, round_walk
 from wayfare.plans.render import markdown_table, signed_percent
+from wayfare.plans.tables import materialize
 
 BUDGETS = (10, 25)
 
@@ -37,7 +40,7 @@ class Policy:
 
     context: LinkContext = LinkContext()
     wording: str | None = None
-    keep: KeepRule | None = None
+    keep: ShareRule | None = None
 
     def mode(self, mode: Mode) -> Mode:
         return WORDINGS[self.wording](mode) if self.wording else mode
@@ -45,9 +48,9 @@ class Policy:
 
 RELATIVE = {
     "noul": Policy(),
-    "choice": Policy(LinkContext(previews=False), keep=KeepRule()),
-    "choice, previews": Policy(keep=KeepRule()),
-    "choice, previews, k=1": Policy(keep=KeepRule(k=1)),
+    "choice": Policy(LinkContext(previews=False), keep=ShareRule()),
+    "choice, previews": Policy(keep=ShareRule()),
+    "choice, previews, k=1": Policy(keep=ShareRule(times_even=1)),
 }
 EXPERIMENTS = {
     "previews": {k: Policy(c) for k, c in PREVIEW_POLICIES.items()},
@@ -57,6 +60,7 @@ EXPERIMENTS = {
 }
 #: Experiments of which a judge that is asked no questions can answer every row, but for the far question of "one-hop".
 LEXICAL = ("previews", "contexts", "relative")
+ALL = tuple(EXPERIMENTS)
 
 
 @dataclass(frozen=True)
@@ -76,10 +80,11 @@ def grid(budgets=BUDGETS, thresholds=(0.6,)) -> list[Setting]:
 
 
 _VISITS = "budget int, threshold double, query_id string, page string, scent double, relevance double, depth int, returned boolean, calls long, sections array<struct<first:int,last:int,score:double>>"
+SPENT = ("served", "bought", "requests", "input_tokens", "bought_tokens", "latency_ms")
 _LINKS = "budget int, threshold double, query_id string, source string, target string, scent double, followed boolean, reason string"
 
 
-def visit_rows(states: dict[str, Walk], setting: Setting) -> tuple[list, list]:
+def visit_rows(states: dict[str, Outcome], setting: Setting) -> tuple[list, list]:
     visits, links = [], []
     for q, s in states.items():
         for v in s.visits:
@@ -103,6 +108,7 @@ class Findings:
     links_calibration: DataFrame
     decision: DataFrame
     unreached: DataFrame
+    spent: DataFrame
 
 
 def evaluate(
@@ -113,11 +119,14 @@ def evaluate(
     ``queries``: ``query_id, query``; ``wanted``: ``query_id, page, first, last``.  The rows that reach
     the driver are at most the walks' budgets.
     """
-    visits, links = [], []
+    visits, links, paid = [], [], []
     for setting in settings:
-        v, x = visit_rows(round_walk(spark, entries, judge, setting.config(base)), setting)
+        walked = round_walk(spark, entries, judge, setting.config(base))
+        v, x = visit_rows(walked, setting)
         visits += v
         links += x
+        total = sum((o.spent for o in walked.values()), Counter())
+        paid.append((setting.max_files, setting.threshold, *[int(total[k]) for k in SPENT]))
     seen = spark.createDataFrame(visits, _VISITS)
     judged = spark.createDataFrame(links, _LINKS)
     by = ["budget", "threshold"]
@@ -160,13 +169,17 @@ def evaluate(
         metrics.calibration_links(links_wanted),
         metrics.follow_decision(links_wanted, settings[0].threshold),
         metrics.unreached(wanted, seen.select("query_id", "page")),
-    )
+        spark.createDataFrame(paid, "budget int, threshold double, " + ", ".join(f"{k} long" for k in SPENT)).select(
+            "budget", "threshold", *SPENT, metrics.share(F.col("requests"), F.col("served")).alias("requests_per_answer"), metrics.share(F.col("latency_ms"), F.col("served")).alias("mean_latency_ms"),
+            cost_usd(F.col("input_tokens")).alias("cost_usd"),
+        ),
+    )
 
 
 def lexical_policies(pages: DataFrame, queries: DataFrame) -> Callable[[Policy], Judge]:
     """The lexical judge under each policy.  It is asked no questions, so a wording is an error and
     one or two hops are the same to it."""
-    parsed = parse_pages(pages).cache()
+    parsed = materialize(parse_pages(pages), "parsed")
 
     def judge_for(policy: Policy) -> Judge:
         if policy.wording:
@@ -177,6 +190,13 @@ def lexical_policies(pages: DataFrame, queries: DataFrame) -> Callable[[Policy],
     return judge_for
 
 
+def asking_policies(pages: DataFrame, queries: DataFrame, mode: Mode = MODES["useful-for"], answer: Answerer = lexical_answerer) -> Callable[[Policy], Judge]:
+    """A judge that asks, under each policy: its wording in the questions, its context in the previews and posts, and with
+    a share rule links as options of one question."""
+    parsed = materialize(parse_pages(pages), "parsed")
+    return lambda policy: asking_judge(parsed, pages, queries, Asking(policy.mode(mode), policy.context, policy.keep, answer))
+
+
 def ablations(
     spark: SparkSession, pages: DataFrame, queries: DataFrame, entries: dict[str, list[str]], wanted: DataFrame, judge_for: Callable[[Policy], Judge], setting: Setting,
     base: WalkConfig = WalkConfig(), experiments: tuple[str, ...] = LEXICAL,
@@ -215,19 +235,26 @@ def scents_by_policy(judgments: DataFrame) -> DataFrame:
 
 def _table(df: DataFrame, *order: str) -> str:
     rows = df.orderBy(*order).collect()  # a row a setting or a bin
-    return markdown_table(df.columns, [[f"{v:.2f}" if isinstance(v, float) else v for v in r] for r in rows])
+    digits = lambda c: 6 if c.startswith("cost") else 2
+    return markdown_table(df.columns, [[f"{v:.{digits(c)}f}" if isinstance(v, float) else v for c, v in zip(df.columns, r)] for r in rows])
 
 
-def report(found: Findings, ablated: DataFrame | None = None) -> str:
-    """A markdown report of an evaluation, with what ``ablations`` gave."""
+def report(found: Findings, ablated: DataFrame | None = None, scents: DataFrame | None = None) -> str:
+    """A markdown report of an evaluation, with what ``ablations`` and ``entry_scents`` gave."""
     means = found.means.orderBy("budget", "threshold").collect()
     parts = ["# Evaluation", "", "## Means", "", _table(found.means, "budget", "threshold"), "## Reading", "", _table(found.read, "budget", "threshold")]
     if len(means) > 1:
         base = means[0]
         rows = [[m["budget"], m["threshold"], signed_percent(m["mean_recall"], base["mean_recall"]), signed_percent(m["mean_precision"], base["mean_precision"])] for m in means[1:]]
         parts += ["## Against the first setting", "", markdown_table(["budget", "threshold", "recall", "precision"], rows)]
+    parts += ["## Cost", "", _table(found.spent, "budget", "threshold")]
     if ablated is not None:
-        parts += ["## Ablations", "", _table(ablated, "experiment", "n")]
+        for experiment in EXPERIMENTS:
+            rows = ablated.where(F.col("experiment") == experiment).drop("experiment")
+            if not rows.isEmpty():
+                parts += [f"## By policy: {experiment}", "", _table(rows, "n")]
+    if scents is not None:
+        parts += ["## Scents of the entry page's links by policy", "", _table(scents, "target")]
     parts += ["## Keyword baseline", "", _table(found.keyword, "runs"), "## Arrivals by scent", "", _table(found.calibration, "bin"), "## Links by scent", "", _table(found.links_calibration, "bin")]
     parts += ["## Followed and passed links", "", _table(found.decision, "followed"), f"{found.unreached.count()} wanted pages were never visited.", ""]
     return "\n".join(parts)

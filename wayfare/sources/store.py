@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare import schema
+from wayfare.plans.tables import materialize
 
 FORMAT = 3
 
@@ -49,19 +50,28 @@ class JudgmentStore:
             return None
 
     def judge(self, asked: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """``asked(key, ...)`` with ``judgment, detail, bought``.  Misses go to ``answer`` and into the store."""
+        """``asked(key, ...)`` with ``judgment, detail, bought`` (and ``error`` where ``answer`` gives one).
+
+        Only keys that the store lacks go to ``answer``, each once.  What it gives is written first and read from
+        there, so that a judge is asked once however often the result is used; failures are not kept.
+        """
         known = self.entries()
-        if known is None:
-            found = answer(asked).withColumn("bought", F.lit(True))
-            self._keep(found)
-            return found
-        hits = asked.join(known.dropDuplicates(["key"]), "key").withColumn("bought", F.lit(False))
-        misses = answer(asked.join(known.select("key"), "key", "left_anti")).withColumn("bought", F.lit(True))
-        self._keep(misses)
-        return hits.unionByName(misses, allowMissingColumns=True)
+        missing = asked.dropDuplicates(["key"])
+        missing = missing if known is None else missing.join(known.select("key"), "key", "left_anti")
+        bought = materialize(answer(missing), "bought").withColumn("bought", F.lit(True))
+        if "error" not in bought.columns:
+            bought = bought.withColumn("error", F.lit(None).cast("string"))
+        bought = bought.select("key", "judgment", "detail", "bought", "error")
+        out = asked.join(bought, "key")
+        if known is not None:
+            held = known.dropDuplicates(["key"]).withColumns({"bought": F.lit(False), "error": F.lit(None).cast("string")})
+            held = held.join(bought.select("key"), "key", "left_anti")  # what this call stores is not read twice
+            out = out.unionByName(asked.join(held, "key"))
+        self._keep(bought.where("error is null"))
+        return out
 
     def _keep(self, found: DataFrame) -> None:
-        if self.folder is not None:
+        if self.folder is not None and not found.isEmpty():
             found.select("key", "judgment", "detail").write.mode("append").parquet(self.folder)
 
 
