@@ -17,23 +17,23 @@ from wayfare.sources.ignore import IgnoreError, IgnoreRules
 from wayfare.sources.store import JudgmentStore, calls, location, read_entries
 from wayfare.streaming.trace import best_paths, stream_trace, streaming_counts, trace_summary
 
-WIKI = {
-    "index.md": "---\ntitle: Home\n---\n# Home\n\nSee [pay](payments/README.md), [[ledger]] and [out](../outside.md).\n",
-    "payments/README.md": "# Payments\n\nOverview of payouts.\n\n## Instant payouts\n\n[cut](cutoffs.md#x) and [gone](missing.md).\n\n### Windows\n\nTen minutes.\n",
-    "payments/cutoffs.md": "## Cutoff times\n\nSettlement cutoffs. See [[notes/ledger]] or [[../notes/ledger]].\n",
-    "notes/ledger.md": "# The ledger\n\nEvery movement. [[reading]] [w](weekly%20review.md)\n",
-    "notes/reading.md": "# Reading\n",
-    "notes/reading.txt": "plain\n",
-    "notes/weekly review.md": "# Weekly\n",
+GARDEN = {
+    "index.md": "---\ntitle: Garden\n---\n# Garden\n\nSee [beds](beds/README.md), [[sowing]] and [shed](../shed.md).\n",
+    "beds/README.md": "# Beds\n\nOverview of the beds.\n\n## Raised beds\n\n[frost](frost.md#x) and [gone](compost.md).\n\n### Covers\n\nTen nights.\n",
+    "beds/frost.md": "## Frost dates\n\nLast frosts. See [[log/sowing]] or [[../log/sowing]].\n",
+    "log/sowing.md": "# The sowing log\n\nEvery row. [[books]] [w](last%20week.md)\n",
+    "log/books.md": "# Books\n",
+    "log/books.txt": "plain\n",
+    "log/last week.md": "# Last week\n",
     ".hidden/x.md": "# no\n",
-    "notes/picture.png": "no",
+    "log/picture.png": "no",
 }
 
 
 @pytest.fixture(scope="module")
 def root(tmp_path_factory):
-    base = tmp_path_factory.mktemp("wiki")
-    for path, text in WIKI.items():
+    base = tmp_path_factory.mktemp("garden")
+    for path, text in GARDEN.items():
         file = base / path
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(text)
@@ -56,7 +56,7 @@ def test_paths():
 
 
 def test_listing_and_revision(spark, root, corpus):
-    assert [r.path for r in ps.list_pages(spark, root).collect()] == ["index.md", "notes/ledger.md", "notes/reading.md", "notes/reading.txt", "notes/weekly review.md", "payments/README.md", "payments/cutoffs.md"]
+    assert [r.path for r in ps.list_pages(spark, root).collect()] == ["beds/README.md", "beds/frost.md", "index.md", "log/books.md", "log/books.txt", "log/last week.md", "log/sowing.md"]
     assert len(ps.revision(corpus)) == 64
     bad = spark.createDataFrame([("a.md", b"\xff\xfe"), ("b.md", b"ok")], "path string, content binary")
     good, failed = ps.read_pages(bad)
@@ -65,12 +65,22 @@ def test_listing_and_revision(spark, root, corpus):
 
 def test_parsed_pages(corpus):
     got = {r.path: r for r in parse.parse_pages(corpus).collect()}
-    assert got["index.md"].title == "Home" and got["payments/cutoffs.md"].title == "cutoffs"
-    assert [(x.target, x.in_root, x.kind) for x in got["index.md"].links] == [("payments/README.md", True, "markdown"), ("notes/ledger.md", True, "wikilink"), ("../outside.md", False, "markdown")]
-    assert [x.target for x in got["payments/cutoffs.md"].links] == ["notes/ledger.md"]
-    assert [x.target for x in got["notes/ledger.md"].links] == ["notes/reading.md", "notes/weekly review.md"]
+    assert got["index.md"].title == "Garden" and got["beds/frost.md"].title == "frost"
+    assert [(x.target, x.in_root, x.kind) for x in got["index.md"].links] == [("beds/README.md", True, "markdown"), ("log/sowing.md", True, "wikilink"), ("../shed.md", False, "markdown")]
+    assert [x.target for x in got["beds/frost.md"].links] == ["log/sowing.md"]
+    assert [x.target for x in got["log/sowing.md"].links] == ["log/books.md", "log/last week.md"]
     previews = {r.path: r for r in parse.previews(parse.parse_pages(corpus)).collect()}
-    assert previews["payments/README.md"].headings == ["Instant payouts", "Windows"] and previews["index.md"].leads == ["pay", "ledger"]
+    assert previews["beds/README.md"].headings == ["Raised beds", "Covers"] and previews["index.md"].leads == ["beds", "sowing"]
+
+
+def test_section_ranges_equal_the_scanner(spark):
+    levels = [2, 3, 1, 2, 2, 4, 3, 1, 6, 5]
+    text = "".join(f"{'#' * n} H{i}\n\nbody\n\n" for i, n in enumerate(levels))
+    from wayfare.operators import markdown
+
+    want = {(n, a, z) for _, n, a, z in markdown.sections(markdown.scan(text), text)}
+    rows = spark.createDataFrame([("p", n, 1 + 4 * i, 4 * len(levels)) for i, n in enumerate(levels)], "path string, level int, line int, last_line int")
+    assert {(r.level, r.line, r.ends) for r in parse.section_ranges(rows).collect()} == want
 
 
 def test_ignore_rules(spark):
@@ -85,21 +95,25 @@ def test_ignore_rules(spark):
 
 
 def test_run_query(spark, corpus):
-    found = run_query(spark, corpus, Options("payments windows", ("index.md",), threshold=0.3, walk=WalkConfig(threshold=0.3)))
-    assert found.exit_code == 0 and "payments/README.md" in [r["path"] for r in found.results]
+    found = run_query(spark, corpus, Options("beds covers", ("index.md",), threshold=0.3, walk=WalkConfig(threshold=0.3)))
+    assert found.exit_code == 0 and "beds/README.md" in [r["path"] for r in found.results]
     assert json.loads(render.render(found, "json"))["query"] == found.query
     with pytest.raises(EntryIgnored):
         run_query(spark, corpus, Options("q", ("index.md",), ignore=IgnoreRules.of("index.md")))
 
 
-def test_keep_rule_by_column_and_by_hand(spark):
-    rule = judging.KeepRule()
-    cases = {"a": ([0.5, 0.3, 0.01], 0.19), "b": ([0.2, 0.2], 0.6), "c": ([0.4, 0.4], 0.2), "d": ([0.01, 0.02], 0.005)}
+def test_share_rule(spark):
+    """Against the rule by hand: the cut is the evened share within its bounds, the largest stays, staying beats all."""
+    cases = {"a": ([0.5, 0.3, 0.01], 0.19), "b": ([0.2, 0.2], 0.6), "c": ([0.4, 0.4], 0.2), "d": ([0.01, 0.02], 0.005), "e": ([0.09] * 9 + [0.1], 0.05), "f": ([0.3, 0.3], 0.3)}
     rows = [(q, i, s, False) for q, (shares, none) in cases.items() for i, s in enumerate(shares)] + [(q, 99, none, True) for q, (_, none) in cases.items()]
-    got = judging.choice_keep(spark.createDataFrame(rows, "q string, position int, share double, is_none boolean"), ["q"]).collect()
-    for q, (shares, none) in cases.items():
-        assert [r.keep for r in sorted(got, key=lambda r: r.position) if r.q == q] == rule.keeps(shares, none)
-    assert rule.cut(4) == 0.5 and rule.cut(10) == 0.3 and rule.cut(1000) == 0.02
+    options = spark.createDataFrame(rows, "q string, position int, share double, is_none boolean")
+    for rule in (judging.ShareRule(), judging.ShareRule(least=0.095, times_even=1)):
+        got = judging.choice_keep(options, ["q"], rule).collect()
+        for q, (shares, none) in cases.items():
+            cut = min(0.5, rule.times_even / (len(shares) + 1))
+            cut = max(cut, rule.least)
+            want = [max(shares) > none and (x >= cut or i == shares.index(max(shares))) for i, x in enumerate(shares)]
+            assert [r.keep for r in sorted(got, key=lambda r: r.position) if r.q == q] == want, (q, rule)
 
 
 def test_merge_answers(spark):
@@ -144,12 +158,21 @@ def test_bounded_previews(spark):
 
 def test_store(spark, tmp_path):
     asked = spark.createDataFrame([("k1", 1), ("k2", 2)], "key string, n int")
-    answer = lambda df: df.withColumn("judgment", F.concat(F.lit("j"), "n")).withColumn("detail", F.lit("d"))
+    judged = spark.sparkContext.accumulator(0)
+
+    def answer(missing):
+        count = F.udf(lambda n: judged.add(1) or f"j{n}")  # a judge that counts what it is asked
+        return missing.select("key", count("n").alias("judgment"), F.lit("d").alias("detail"), F.when(F.col("key") == "k4", "down").alias("error"))
+
     store = JudgmentStore(spark, str(tmp_path / "s"))
-    assert calls(store.judge(asked, answer)).first().asDict() == {"served": 2, "calls": 2}
-    more = asked.unionByName(spark.createDataFrame([("k3", 3)], "key string, n int"))
+    first = store.judge(asked, answer)
+    assert calls(first).first().asDict() == {"served": 2, "calls": 2} and first.count() == 2 and judged.value == 2
+    more = asked.unionByName(spark.createDataFrame([("k3", 3), ("k3", 3), ("k4", 4)], "key string, n int"))
     again = store.judge(more, answer)
-    assert {r.key: (r.judgment, r.bought) for r in again.collect()}["k1"] == ("j1", False)
+    assert {r.key: (r.judgment, r.bought) for r in again.collect()}["k1"] == ("j1", False) and again.count() == 5
+    assert judged.value == 4
+    assert {r.key for r in store.entries().collect()} == {"k1", "k2", "k3"}, "a failure is not kept"
+    assert calls(JudgmentStore(spark, None).judge(asked, answer)).first().calls == 2
     assert location({"XDG_CACHE_HOME": "/x", "WAYFARE_STORE": " "}) == "/x/wayfare"
     with pytest.raises(LookupError):
         location({})
@@ -203,11 +226,30 @@ def test_depth_has_no_limit(spark, monkeypatch):
         getattr(frame, name).return_value = frame
     frontiers = iter(range(1_500))
     frame.isEmpty.side_effect = lambda: next(frontiers, None) is None
-    monkeypatch.setattr(graph, "materialize", lambda df, label: df)
+    monkeypatch.setattr(graph, "Scratch", lambda *_: MagicMock(table=lambda df, label: df))
     graph.bfs_depth(frame, frame)
     assert next(frontiers, None) is None
 
 
+def test_components_of_rings_and_chains(spark):
+    """A ring of 12 with a chord and a tail, and a pair that leads to it."""
+    pairs = [(i, (i + 1) % 12) for i in range(12)] + [(12, 13), (5, 12), (50, 51), (51, 50), (51, 3)]
+    name = lambda i: f"n{i:02d}"
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "source string, target string")
+    sizes = sorted(r["count"] for r in graph.strong_components(edges).groupBy("scc").count().collect())
+    assert sizes == [2, 12]
+    depth = {r.node: r.depth for r in graph.bfs_depth(edges, spark.createDataFrame([(name(0),)], "node string")).collect()}
+    assert depth[name(11)] == 11 and depth[name(13)] == 7 and len(depth) == 14
+
+
+def test_graph_statistics(corpus):
+    got = graph.statistics(parse.parse_pages(corpus), corpus)
+    assert got["pages"] == 7 and got["links"] == {"total": 8, "markdown": 5, "wikilink": 3, "resolved": 6, "broken": 1, "outside": 1}
+    assert got["edges"] == 6 and got["depth"] == {"entry": ["index.md"], "histogram": {"0": 1, "1": 2, "2": 3}, "unreachable": 1}
+    assert got["orphans"] == 2 and got["largest_scc"] == 1 and got["out_degree"]["histogram"] == {"0": 3, "1": 2, "2": 2}
+    assert "| depth, unreachable | 1 |" in render.graph_table(got)
+
+
 def test_link_counts(corpus):
     r = graph.link_counts(parse.parse_pages(corpus), corpus).first()
     assert (r.pages, r.links, r.markdown, r.wikilink, r.resolved, r.broken, r.outside) == (7, 8, 5, 3, 6, 1, 1)
@@ -223,7 +265,7 @@ def test_experiments(spark):
     assert ("q2", "x", 1) not in key(experiment.done_set(rows, ledger, "w", "M", retry_failed=True))
     labels = spark.createDataFrame([("fine label",), ("a/b",), ("x" * 65,), ("one two three four five",)], "l string")
     assert [r[0] for r in labels.select(experiment.label_problem(F.col("l"))).collect()] == [None, "looks like a path", "longer than 64 characters", "more than 4 words"]
-    conditions = spark.createDataFrame([("s1m-t0.4",), ("x-t2",), ("x",)], "c string")
+    conditions = spark.createDataFrame([("list-t0.4",), ("x-t2",), ("x",)], "c string")
     assert [r[0] for r in conditions.select(experiment.condition_threshold(F.col("c"))).collect()] == [0.4, None, None]
     assert render.cell(0.001234, None, 1) == "0.001234 (n=1)" and render.cell(1.5, 0.25, 2) == "1.50 ± 0.25 (n=2)"
 
@@ -254,6 +296,47 @@ EVENTS = [
 ]
 
 
+def test_numbered_lines_over_splits(spark, tmp_path):
+    path = tmp_path / "big.jsonl"
+    lines = [f"line {i} " + "x" * (i % 97) if i % 5 else "" for i in range(4000)]
+    path.write_text("\n".join(lines) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "9000")
+    try:
+        rows = records.numbered_lines(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 5
+        assert sorted((r.line, r.value) for r in rows.collect()) == [(i + 1, x) for i, x in enumerate(lines) if x]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_trace_file_and_buying(spark, tmp_path):
+    heard = []
+    live = records.TraceFile(str(tmp_path / "t.jsonl"), heard.append)
+    for e in EVENTS[:4]:
+        live(e)
+    assert [json.loads(x)["event"] for x in (tmp_path / "t.jsonl").read_text().splitlines()] == [e["event"] for e in EVENTS[:4]]
+    broken = records.TraceFile(str(tmp_path / "no" / "t.jsonl"), heard.append)
+    broken(EVENTS[0])
+    broken(EVENTS[1])
+    assert len(heard) == 1
+    ledger, rows = str(tmp_path / "ledger"), str(tmp_path / "rows")
+    job = {"wiki": "w", "query": "q", "condition": "c", "repeat": 1, "model": None, "out": "o"}
+    seen = []
+
+    def measure(j):
+        seen.append(records.read_ledger(spark, ledger).collect()[0].ok)  # under way
+        return {"query_id": "q", "ok": True, "cost_usd": 0.25, "metrics": {}}
+
+    records.buy(job, measure, ledger, rows)
+    assert seen == [None] and [(r.ok, r.cost_usd) for r in records.read_ledger(spark, ledger).collect()] == [(True, 0.25)]
+    assert records.read_runs(spark, rows).first().ok is True
+    with pytest.raises(ZeroDivisionError):
+        records.buy({**job, "repeat": 2}, lambda j: 1 / 0, ledger, rows)
+    assert {r.repeat: r.ok for r in records.read_ledger(spark, ledger).collect()} == {1: True, 2: False} and len(open(rows).readlines()) == 1
+
+
 def test_traces(spark, tmp_path):
     path = tmp_path / "t.jsonl"
     path.write_text("\n\n".join(json.dumps(e) for e in EVENTS) + '\n{"event": "pop')
@@ -313,13 +396,27 @@ def test_stored_lists(spark):
     assert [(r.page, r.first, r.last) for r in records.list_ranges(rows).collect()] == [("p", 1, 3), ("p", 2, 5)]
 
 
-def test_command_line(root, capsys, spark):
+def test_command_line(root, capsys, spark, tmp_path, monkeypatch):
     from wayfare import cli
 
-    assert cli.main(["run", "settlement cutoffs", f"{root}/index.md", "--root", root, "--threshold", "0.4", "--format", "md"]) in (0, 1)
-    assert capsys.readouterr().out.startswith("# Reading list: settlement cutoffs")
+    monkeypatch.setenv("WAYFARE_STORE", str(tmp_path / "store"))
+    run = ["run", "frost dates", f"{root}/index.md", "--root", root, "--threshold", "0.4", "--trace", str(tmp_path / "t.jsonl")]
+    assert cli.main([*run, "--format", "md"]) in (0, 1)
+    first = capsys.readouterr().out
+    assert first.startswith("# Reading list: frost dates")
+    s = trace_summary(records.read_trace(spark, str(tmp_path / "t.jsonl"))).first()
+    assert s.answered == s.bought == s.files > 1 and s.cached == 0
+    assert cli.main([*run, "--format", "md"]) in (0, 1)
+    assert "0 calls" in capsys.readouterr().out
+    s = trace_summary(records.read_trace(spark, str(tmp_path / "t.jsonl"))).first()
+    assert s.answered == s.cached == s.requests > 1, "every answer was kept"
+    assert cli.main([*run, "--no-cache", "--format", "md"]) in (0, 1)
+    assert capsys.readouterr().out == first
     assert cli.main(["run", "q", "x", "--threshold", "3"]) == 2
-    assert cli.main(["graph", root]) == 0
+    assert cli.main(["graph", root, "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out.split("\n", 0)[0])["pages"] == 7
+    assert cli.main(["score-file", "frost dates", f"{root}/beds/frost.md", "--root", root, "--no-cache"]) == 0
+    assert capsys.readouterr().out.startswith("relevance 1.00")
 
 
 def test_views(spark, corpus):
@@ -328,4 +425,4 @@ def test_views(spark, corpus):
     views.register_folder(spark, "/root/testdata/sf0.001", ("nation", "region"))
     views.register({"parsed_pages": parse.parse_pages(corpus)})
     assert spark.sql("select count(*) from nation join region on n_regionkey = r_regionkey").first()[0] == 25
-    assert spark.sql("select count(*) from parsed_pages where title = 'Home'").first()[0] == 1
+    assert spark.sql("select count(*) from parsed_pages where title = 'Garden'").first()[0] == 1

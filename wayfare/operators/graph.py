@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.plans.tables import materialize
+from wayfare.plans.tables import Scratch
 
 BUCKETS = ((0, "0"), (1, "1"), (2, "2"), (4, "3-4"), (9, "5-9"), (19, "10-19"), (49, "20-49"))
 
@@ -72,15 +72,24 @@ def orphans(edge_rows: DataFrame, nodes: DataFrame, node: str = "node") -> DataF
 
 
 def bfs_depth(edge_rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """``node, depth`` of every node reachable from ``entries(node)``: frontier by frontier, each a written table."""
-    seen = materialize(entries.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
-    frontier = seen
+    """``node, depth`` of every node reachable from ``entries(node)``: edges are written once, then frontier by
+    frontier, each a written table; every eighth round the tables so far become one."""
+    scratch = Scratch(edge_rows.sparkSession, "bfs")
+    steps = scratch.table(edge_rows.select("source", "target"), "edges")
+    frontier = scratch.table(entries.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
+    parts, seen = [frontier], frontier
     for depth in count(1):
-        reached = frontier.join(edge_rows, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = materialize(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
+        reached = frontier.join(steps, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        frontier = scratch.table(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
+            scratch.drop(steps, frontier)
             return seen
-        seen = seen.unionByName(frontier) if depth % 8 else materialize(seen.unionByName(frontier), "bfs")
+        parts.append(frontier)
+        seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = scratch.table(seen, "seen")
+            scratch.drop(*[p for p in parts if p is not frontier])
+            parts = [seen]
 
 
 def depth_histogram(depths: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
@@ -92,48 +101,60 @@ def strong_components(edge_rows: DataFrame) -> DataFrame:
     """``node, scc`` of nodes that lie on a cycle, by colouring: the largest node id spreads
     forwards as a colour, then each colour's root collects, backwards and within the colour,
     the nodes of its component.  Trimming takes nodes without way in or out away first.
-    Every step is a join; nothing is collected."""
-    left = materialize(edge_rows.select("source", "target"), "scc")
-    found: DataFrame | None = None
+    Every step is a join over written tables; nothing is collected."""
+    scratch = Scratch(edge_rows.sparkSession, "scc")
+    left = scratch.table(edge_rows.select("source", "target"), "left")
+    found: list[DataFrame] = []
     while True:
-        left = _trim(left)
+        left = _trim(left, scratch)
         if left.isEmpty():
             break
         nodes = left.select(F.col("source").alias("node")).unionByName(left.select(F.col("target").alias("node"))).distinct()
-        color = materialize(nodes.withColumn("color", F.col("node")), "scc")
-        while True:
-            came = color.join(left, F.col("node") == F.col("source")).groupBy(F.col("target").alias("to")).agg(F.max("color").alias("c"))
-            step = color.join(came, F.col("node") == F.col("to"), "left").select("node", F.greatest("color", F.coalesce("c", "color")).alias("color"), (F.col("c") > F.col("color")).alias("moved"))
-            step = materialize(step, "scc")
-            color = step.select("node", "color")
-            if step.where("moved").isEmpty():
-                break
+        color = scratch.table(nodes.select("node", F.col("node").alias("color"), F.lit(True).alias("moved")), "color")
+        while not color.where("moved").isEmpty():
+            came = color.where("moved").join(left, F.col("node") == F.col("source")).groupBy(F.col("target").alias("to")).agg(F.max("color").alias("c"))
+            step = color.join(came, F.col("node") == F.col("to"), "left").select("node", F.greatest("color", F.coalesce("c", "color")).alias("color"), F.coalesce(F.col("c") > F.col("color"), F.lit(False)).alias("moved"))
+            before, color = color, scratch.table(step, "color")
+            scratch.drop(before)
         inside = left.join(color.select(F.col("node").alias("s"), F.col("color").alias("cs")), F.col("source") == F.col("s")).join(
             color.select(F.col("node").alias("t"), F.col("color").alias("ct")), F.col("target") == F.col("t")
         )
-        inside = materialize(inside.where("cs = ct").select(F.col("target").alias("source"), F.col("source").alias("target")), "scc")
+        inside = inside.where("cs = ct").select(F.col("target").alias("source"), F.col("source").alias("target"))
         members = bfs_depth(inside, color.where("node = color").select("node"))
-        scc = materialize(members.select("node").join(color, "node").select("node", F.col("color").alias("scc")), "scc")
-        found = scc if found is None else materialize(found.unionByName(scc), "scc")
-        gone = scc.select("node")
-        left = materialize(left.join(gone, F.col("source") == F.col("node"), "left_anti").join(gone, F.col("target") == F.col("node"), "left_anti"), "scc")
-    if found is None:
-        return edge_rows.limit(0).select(F.col("source").alias("node"), F.col("source").alias("scc"))
-    return found
-
-
-def _trim(edge_rows: DataFrame) -> DataFrame:
+        found.append(scratch.table(members.select("node").join(color.drop("moved"), "node").select("node", F.col("color").alias("scc")), "found"))
+        gone = found[-1].select("node")
+        before = left
+        left = scratch.table(left.join(gone, F.col("source") == F.col("node"), "left_anti").join(gone, F.col("target") == F.col("node"), "left_anti"), "left")
+        scratch.drop(before, color)
+        if len(found) == 8:
+            merged = scratch.table(_union(found), "found")
+            scratch.drop(*found)
+            found = [merged]
+    scratch.drop(left)
+    return _union(found) if found else edge_rows.limit(0).select(F.col("source").alias("node"), F.col("source").alias("scc"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _trim(edge_rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges between nodes that have both a way in and a way out, repeated while it helps."""
     n = edge_rows.count()
     while n:
         into = edge_rows.select(F.col("target").alias("x")).distinct()
         out = edge_rows.select(F.col("source").alias("x")).distinct()
         kept = edge_rows.join(into, F.col("source") == F.col("x"), "left_semi").join(out, F.col("target") == F.col("x"), "left_semi")
-        kept = materialize(kept, "trim")
+        kept = scratch.table(kept, "trim")
         m = kept.count()
+        scratch.drop(edge_rows)
+        edge_rows = kept
         if m == n:
             break
-        edge_rows, n = kept, m
+        n = m
     return edge_rows
 
 
@@ -142,3 +163,35 @@ def largest_scc(edge_rows: DataFrame, nodes: DataFrame, node: str = "node") -> D
     sizes = strong_components(edge_rows).groupBy("scc").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
     alone = nodes.select(F.col(node)).limit(1).agg(F.count("*").alias("one"))
     return sizes.crossJoin(alone).select(F.coalesce("n", "one").cast("long").alias("largest_scc"))
+
+
+def statistics(parsed: DataFrame, pages: DataFrame, entries: list[str] | None = None) -> dict:
+    """Everything about a corpus's link graph as one nested value: counts, degrees with histograms, orphans, depths from
+    the entries (``index.md``, else ``README.md``) and the largest strong component.  Only aggregates reach the driver."""
+    scratch = Scratch(pages.sparkSession, "graph")
+    links = parsed.select(F.col("path").alias("source"), F.explode("links.target").alias("target"))
+    known = links.join(pages.select(F.col("path").alias("target")), "target", "left_semi")
+    edge_rows = scratch.table(edges(known), "edges")
+    nodes = pages.select(F.col("path").alias("node"))
+    counts = link_counts(parsed, pages).first().asDict()
+    degree_rows = scratch.table(degrees(edge_rows, nodes), "degrees")
+    spread: dict[str, dict] = {r["direction"]: {k: r[k] for k in ("min", "median", "mean", "max")} | {"histogram": {}} for r in degree_stats(degree_rows).collect()}
+    names = [name for _, name in BUCKETS] + ["50+"]
+    for r in sorted(degree_histogram(degree_rows).collect(), key=lambda r: names.index(r["bucket"])):
+        spread[r["direction"]]["histogram"][r["bucket"]] = r["nodes"]
+    if entries is None:
+        there = {r["node"] for r in nodes.where(F.col("node").isin("index.md", "README.md")).collect()}
+        entries = [p for p in ("index.md", "README.md") if p in there][:1]
+    starts = pages.sparkSession.createDataFrame([(p,) for p in entries], "node string").join(nodes, "node", "left_semi")
+    depths = {r["depth"]: r["nodes"] for r in depth_histogram(bfs_depth(edge_rows, starts), nodes).collect()}
+    out = {
+        **{k: counts[k] for k in ("pages", "words", "headings")},
+        "links": {"total": counts["links"], **{k: counts[k] for k in ("markdown", "wikilink", "resolved", "broken", "outside")}},
+        "edges": edge_rows.count(),
+        **{f"{d}_degree": spread.get(d) for d in ("out", "in")},
+        "orphans": orphans(edge_rows, nodes).count(),
+        "depth": {"entry": entries, "histogram": {str(k): depths[k] for k in sorted(x for x in depths if x is not None)}, "unreachable": depths.get(None, 0)},
+        "largest_scc": largest_scc(edge_rows, nodes).first()[0],
+    }
+    scratch.keep_only()
+    return out

@@ -125,6 +125,22 @@ def markdown_table(headers: list[str], rows: list[list[object]]) -> str:
     return "\n".join(lines + ["| " + " | ".join(str(c) for c in row) + " |" for row in rows]) + "\n"
 
 
+def graph_table(found: dict) -> str:
+    """The statistics of a link graph as a markdown table, a row a figure."""
+    rows: list[list[object]] = []
+
+    def add(name: str, value: object) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                add(f"{name}, {k}" if name else k, v)
+        else:
+            shown = ", ".join(value) or "-" if isinstance(value, list) else f"{value:.1f}" if isinstance(value, float) else value
+            rows.append([name.replace("_", " "), "-" if shown is None else shown])
+
+    add("", found)
+    return markdown_table(["figure", "value"], rows)
+
+
 def signed_percent(now: float, base: float) -> str:
     """Change against a base; a dash where the base is 0."""
     return "—" if base == 0 else f"{(now - base) / base * 100:+.0f}%"

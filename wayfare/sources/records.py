@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,10 +85,18 @@ def read_gold_lenient(spark: SparkSession, path: str, only: list[str] | None = N
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line, value`` of the non-blank lines of one file, numbered in file order."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\n", -1)).alias("line", "value"))
-    return lines.where(F.trim("value") != "").select((F.col("line") + 1).alias("line"), "value")
+    """``line, value`` of the non-blank lines of a file (or of a folder's files by name), numbered in file order.
+
+    Files are read in splits by many tasks.  A line's number is its place in its split, which the reader's ids
+    count, after the lines of the splits before it: a row a split.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.option("lineSep", "\n").text(path).select(split.alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = rows.groupBy("split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select(F.col("split").alias("of"), (before - F.col("first")).alias("shift"))
+    numbered = rows.join(F.broadcast(offsets), F.col("split") == F.col("of"))  # a row a split of a file
+    return numbered.where(F.trim("value") != "").select((F.col("id") + F.col("shift") + 1).alias("line"), "value")
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +120,62 @@ def write_trace(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+class TraceFile:
+    """A trace written while a walk runs: one whole line an event, with milliseconds since the start.
+
+    A write that fails is undone as far as the file allows, reported once through ``warn``, and nothing more is written.
+    """
+
+    def __init__(self, path: str, warn: Callable[[str], None]):
+        self._path, self._warn, self._begin = path, warn, time.monotonic()
+        self._open = True
+        self._put(lambda f: f.truncate(0))
+
+    def __call__(self, event: dict) -> None:
+        line = json.dumps({k: v for k, v in {**event, "t_ms": int((time.monotonic() - self._begin) * 1000)}.items() if v is not None}, ensure_ascii=False) + "\n"
+        self._put(lambda f: f.write(line.encode()))
+
+    def _put(self, write: Callable) -> None:
+        if not self._open:
+            return
+        try:
+            with open(self._path, "ab", buffering=0) as f:
+                at = f.seek(0, 2)
+                try:
+                    write(f)
+                except OSError:
+                    f.truncate(at)
+                    raise
+        except OSError as e:
+            self._open = False
+            self._warn(f"no more of the trace is written: {e}")
+
+
+def append_line(path: str, row: dict) -> None:
+    """One JSON line at the end of a file."""
+    with open(path, "ab", buffering=0) as f:
+        f.write((json.dumps(row, ensure_ascii=False) + "\n").encode())
+
+
+def buy(job: dict, measure: Callable[[dict], dict], ledger: str, rows: str) -> dict:
+    """Buy one run so that a stop at any point is visible: the ledger says it is under way, the run is
+    measured, its row is appended, and the ledger says how it ended and what it cost.
+
+    ``job``: ``wiki, query, condition, repeat, model, out``; ``measure`` gives a run row with ``ok`` and perhaps ``cost_usd``.
+    A measurement that raises is a failed run: the ledger says so, no row is written, and the error goes on.
+    """
+    entry = {k: job.get(k) for k in ("wiki", "query", "condition", "repeat", "model", "out")}
+    append_line(ledger, entry)
+    try:
+        row = measure(job)
+    except Exception:
+        append_line(ledger, {**entry, "ok": False})
+        raise
+    append_line(rows, {k: v for k, v in row.items() if k != "cost_usd"})
+    append_line(ledger, {**entry, "ok": bool(row.get("ok")), "cost_usd": row.get("cost_usd")})
+    return row
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run rows with ``seq`` in file order; ``detail`` stays JSON text."""
     return numbered_lines(spark, path).select(F.col("line").alias("seq"), F.from_json("value", schema.RUN_ROW).alias("r")).select("seq", "r.*")
@@ -164,7 +230,7 @@ def agent_stream(spark: SparkSession, path: str, wiki: str) -> DataFrame:
         *[tokens(n) for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")],
     )
     if main.first()["results"] == 0:
-        raise BadRecord("the run printed no result")
+        raise BadRecord(f"{path}: no line of type result")
     started = rows.where("type = 'system' and subtype = 'task_started'").agg(F.count("*").alias("subagents"))
     return main.crossJoin(used).crossJoin(by_tool).crossJoin(denied).crossJoin(started)  # one row each
 
