@@ -97,7 +97,9 @@ def test_mix_targets_and_bounds(spark):
     copies = {}
     for r in got:
         copies[r.doc_id] = max(copies.get(r.doc_id, 0), r.copies)
-    emitted = mixing.emit(docs, mixing.mix(docs)).groupBy("doc_id").count().collect()
+    clash = docs.withColumns({"of": F.lit(1), "copy": F.lit(2), "seed": F.lit(3), "rate": F.lit("x")})
+    assert mixing.emit(clash).columns == clash.columns
+    emitted = mixing.emit(clash).groupBy("doc_id").count().collect()
     rows_of = {}
     for i, _, _ in rows:
         rows_of[i] = rows_of.get(i, 0) + 1
@@ -188,6 +190,106 @@ def test_license_rules_and_suppression(spark):
     assert [r.tier for r in table] == sorted(r.tier for r in table)
 
 
+LICENSED = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-4-clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.": "zlib",
+    "you may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl,gpl-2.0-or-later",
+    "GNU General Public License version 2 as published by the Free Software Foundation": "gpl,gpl-2.0-only",
+    "the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version": "lgpl-2.1-or-later",
+    "the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version": "agpl-3.0-or-later",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "made available under the terms of the Eclipse Public License v1.0": "epl-1.0",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa-4.0",
+    "Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa-4.0",
+    "see https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4.0",
+    "released as CC0, or CC0 1.0 Universal": "cc0,cc0-1.0",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "This work is in the public domain": "public-domain",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": "apache-2.0,bsd-3-clause,mit",
+    "SPDX-License-Identifier: MIT\n// the apache helicopter": "mit",
+    "a licence to practise, the warranty of the car, permission to land; the isc group and a bsd box": "",
+    "gnu are antelopes, apache is a people, cc me by mail": "",
+}
+
+
+def test_license_texts_and_notices(spark):
+    rows = list(enumerate(LICENSED))
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {text: got[i] for i, text in rows} == LICENSED
+
+
+def _samples(tree, whole):
+    """Texts that a rule's pattern matches: with every optional part, or without, by each branch."""
+    import re._constants as c
+
+    out = [""]
+    for kind, value in tree:
+        if kind is c.LITERAL:
+            parts = [chr(value)]
+        elif kind is c.NOT_LITERAL:
+            parts = ["a"]
+        elif kind is c.IN:
+            parts = [chr(v) for k, v in value if k is c.LITERAL]
+        elif kind is c.MAX_REPEAT or kind is c.MIN_REPEAT:
+            low, high, inside = value
+            n = max(low, 1) if whole else low
+            parts = _samples(inside, whole) if n else [""]
+        elif kind is c.SUBPATTERN:
+            parts = _samples(value[3], whole)
+        elif kind is c.BRANCH:
+            parts = [x for branch in value[1] for x in _samples(branch, whole)]
+        else:
+            parts = [""]  # what may not follow
+        out = [a + b for a in out for b in parts][:12]
+    return out
+
+
+def _brute_spans(spaced):
+    """Every rule's matches, and of those the ones that no other of the same or a stronger tier holds."""
+    import regex
+
+    found = []
+    for number, r in enumerate(licenses.rules()):
+        for m in regex.finditer(licenses._pattern(r.pattern), spaced):
+            first = spaced.count(" ", 0, m.start()) - 1
+            found.append((first, first + m[0].count(" "), r.tier, number, r.label))
+    held = lambda m, o: o is not m and o[0] <= m[0] and o[1] >= m[1] and o[2] <= m[2] and (o[:2] != m[:2] or (o[2], o[3]) < (m[2], m[3]))
+    return sorted((m[0], m[1] - m[0] + 1, m[4], m[2]) for m in found if not any(held(m, o) for o in found))
+
+
+def test_every_rule_and_suppression_by_brute_force(spark):
+    import re._parser as parser
+    import random
+
+    import regex
+
+    from wayfare.llm import license_rules
+
+    texts = []
+    for r in licenses.rules():
+        tag = r.tier == license_rules.TAG
+        words = r.pattern.split("(?:(?<=")[0][3:-1] if tag else r.pattern
+        for whole in (True, False):
+            for text in _samples(parser.parse(words), whole):
+                text = f"spdx license identifier {text}" if tag else text
+                assert r.keyword in text and any(s in f" {text} " for s in license_rules.STEMS), (r, text)
+                assert regex.search(licenses._pattern(r.pattern), f" {text} "), (r, text)
+                texts.append(text)
+    rng = random.Random(3)
+    texts += [" and ".join(rng.sample(texts, 6)) for _ in range(150)] + [" ".join(rng.sample(texts, 3)) for _ in range(150)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        spans = sorted((s.first_word, s.words, s.label, s.tier) for s in got[i].spans)
+        assert spans == _brute_spans(f" {text} "), text
+
+
 def _canon(t):
     n = lambda x: unicodedata.normalize("NFKC", x)
     return " ".join(n(n(t or "").casefold()).split())

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame and SQL functions only.
 
-A text becomes its words (ASCII lower case, one space between).  A rule is a
-pattern over words with a keyword that every match contains, a label and a tier;
-rules come in priority order.  Only texts with some keyword are looked at, and
+A text becomes its words (ASCII lower case, one space between).  A rule is a hand-written
+pattern over words with a keyword that every match contains, a label and a tier (``license_rules``);
+rules come in priority order.  Only texts with a stem that some keyword holds are looked at, and
 in those only rules whose keyword is present run.  Matches are intervals; one is
 suppressed if it lies within another of the same or a stronger tier (of equal
 intervals the first rule stays).  Everything is row-wise: no shuffle, no join.
@@ -19,78 +19,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm import license_rules as table
 from wayfare.llm.common import ascii_lower
+from wayfare.llm.license_rules import CONFIDENCE, STEMS
 
 #: What separates words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Tiers by strength: a tag, a grant, a name with version, a name alone; and what each is worth.
-TAG, GRANT, VERSIONED, NAME = range(4)
-CONFIDENCE = (1.0, 0.95, 0.85, 0.7)
 BASE_CONFIDENCE = 0.6
 
-# License names as they are written (a pattern over words), a keyword each match holds, versions.
-FAMILIES = (
-    ("apache", "apache (?:software )?license", "apache", ("1.0", "1.1", "2.0")),
-    ("apache", "asl", "asl", ("2.0",)),
-    ("mit", "mit license", "mit license", ()),
-    ("mit", "expat license", "expat license", ()),
-    ("x11", "x11 license", "x11 license", ()),
-    ("gpl", "gnu general public license", "gnu general public license", ("1.0", "2.0", "3.0")),
-    ("gpl", "gnu gpl", "gnu gpl", ("1.0", "2.0", "3.0")),
-    ("lgpl", "gnu (?:lesser|library) general public license", "general public license", ("2.0", "2.1", "3.0")),
-    ("lgpl", "gnu lgpl", "gnu lgpl", ("2.0", "2.1", "3.0")),
-    ("agpl", "gnu affero general public license", "gnu affero general public license", ("1.0", "3.0")),
-    ("agpl", "gnu agpl", "gnu agpl", ("1.0", "3.0")),
-    ("gfdl", "gnu free documentation license", "free documentation license", ("1.1", "1.2", "1.3")),
-    ("mpl", "mozilla public license", "mozilla public license", ("1.0", "1.1", "2.0")),
-    ("epl", "eclipse public license", "eclipse public license", ("1.0", "2.0")),
-    ("cpl", "common public license", "common public license", ("1.0",)),
-    ("cddl", "common development and distribution license", "common development and distribution", ("1.0", "1.1")),
-    ("eupl", "european union public licen[cs]e", "european union public", ("1.0", "1.1", "1.2")),
-    ("bsd-2-clause", "(?:simplified bsd license|bsd 2 clause(?: license)?|2 clause bsd(?: license)?)", "bsd", ()),
-    ("bsd-3-clause", "(?:(?:new|modified|revised) bsd license|bsd 3 clause(?: license)?|3 clause bsd(?: license)?)", "bsd", ()),
-    ("bsd", "bsd (?:style )?license", "bsd", ()),
-    ("isc", "isc license", "isc license", ()),
-    ("zlib", "zlib license", "zlib license", ()),
-    ("bsl-1.0", "boost software license", "boost software license", ("1.0",)),
-    ("busl", "business source license", "business source license", ("1.0", "1.1")),
-    ("unlicense", "the unlicense", "unlicense", ()),
-    ("wtfpl", "do what the fuck you want to public license", "you want to public license", ("1.0", "2.0")),
-    ("artistic", "artistic license", "artistic license", ("1.0", "2.0")),
-    ("ofl", "(?:sil )?open font license", "open font license", ("1.0", "1.1")),
-    ("odbl", "open (?:data commons open )?database license", "database license", ("1.0",)),
-    ("odc-by", "open data commons attribution license", "open data commons attribution", ("1.0",)),
-    ("pddl", "public domain dedication and license", "public domain dedication", ("1.0",)),
-    ("psf", "python software foundation license", "python software foundation", ("2.0",)),
-    ("php", "php license", "php license", ("3.0", "3.1")),
-    ("ruby", "ruby license", "ruby license", ()),
-    ("postgresql", "postgresql license", "postgresql license", ()),
-    ("openssl", "openssl license", "openssl license", ()),
-    ("ms-pl", "microsoft public license", "microsoft public license", ()),
-    ("ms-rl", "microsoft reciprocal license", "microsoft reciprocal license", ()),
-    ("osl", "open software license", "open software license", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", "academic free license", "academic free license", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    ("ecl", "educational community license", "educational community license", ("1.0", "2.0")),
-    ("upl", "universal permissive license", "universal permissive license", ("1.0",)),
-    ("ncsa", "(?:university of illinois )?ncsa open source license", "ncsa open source", ()),
-    ("sspl", "server side public license", "server side public license", ("1.0",)),
-    ("elastic", "elastic license", "elastic license", ("2.0",)),
-    ("cecill", "cecill(?: free software)? licen[cs]e", "cecill", ("1.0", "2.0", "2.1")),
-    ("ipl", "ibm public license", "ibm public license", ("1.0",)),
-    ("qpl", "q public license", "q public license", ("1.0",)),
-    ("sleepycat", "sleepycat license", "sleepycat license", ()),
-    ("vim", "vim license", "vim license", ()),
-    ("w3c", "w3c (?:software )?license", "w3c", ()),
-    ("zpl", "zope public license", "zope public license", ("1.1", "2.0", "2.1")),
-    ("cc0", "cc0|creative commons zero", "zero", ("1.0",)),
-    ("cc0", "cc0", "cc0", ("1.0",)),
-)
-CC_PARTS = ("", "nc", "nd", "sa", "nc nd", "nc sa")
-CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-CC_WORDS = {"nc": "non ?commercial", "nd": "no ?deriv(?:ative|ative works|atives|s)", "sa": "share ?alike"}
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -100,45 +38,23 @@ class Rule:
     tier: int
 
 
-def _version(number: str) -> str:
-    major, minor = number.split(".")
-    return f" (?:version |ver |v ?)?{major}" + (f" {minor}" if minor != "0" else "(?: 0)?")
-
-
-_GRANT = "(?:licensed|released|distributed|available|published|provided|redistributed) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a )?"
+#: An operand after the identifier, or after an operator of the same expression (``MIT OR Apache-2.0``), at most 60 characters on.
+_OPERAND = "(?:(?<=spdx license identifier (?:{0}))|(?<=spdx license identifier [a-z0-9 ]{{1,60}} (?:or|and|with) (?:{0})))"
 
 
 def rules() -> list[Rule]:
-    """All rules in priority order: by tier, longer forms first within it."""
-    named: list[tuple[str, str, str, tuple[str, ...]]] = [
-        (label, name if "|" not in name or name.startswith("(") else f"(?:{name})", key, versions)
-        for label, name, key, versions in FAMILIES
-        if key in name or label not in ("cc0",)
-    ]
-    for part in CC_PARTS:
-        words = " ".join(CC_WORDS[p] for p in part.split())
-        label = "cc-by" + ("-" + part.replace(" ", "-") if part else "")
-        named.append((label, "cc by" + (f" {part}" if part else ""), "cc by", CC_VERSIONS))
-        named.append((label, f"creative commons attribution{' ' + words if words else ''}(?: license)?", "creative commons attribution", CC_VERSIONS))
-    out: list[Rule] = []
-    for label, name, key, versions in named:
-        for v in versions:
-            tagged = f"{label}-{v}"
-            out.append(Rule(f"{_GRANT}{name}(?: license)?{_version(v)}", key, tagged, GRANT))
-            out.append(Rule(f"{name}{_version(v)}", key, tagged, VERSIONED))
-        out.append(Rule(f"{_GRANT}{name}", key, label, GRANT))
-        out.append(Rule(name, key, label, NAME))
-    for label, versions in {(n[0], n[3]) for n in named}:
-        words = label.replace("-", " ").replace(".", " ")
-        for v in versions or ("",):
-            tag = f"{words} {v.replace('.', ' ')}".strip()
-            out.append(Rule(f"spdx license identifier {tag}(?: only| or later)?", "spdx license identifier", f"{label}-{v}".rstrip("-"), TAG))
-    return sorted(set(out), key=lambda r: (r.tier, -len(r.pattern), r.pattern, r.label))
+    """All rules in priority order: by tier, then as they are written."""
+    tags = [Rule(f"(?:{p}){_OPERAND.format(p)}", "spdx license identifier", label, table.TAG) for label, p in table.TAGS]
+    others = ((table.TEXT, table.TEXTS), (table.NOTICE, table.NOTICES), (table.VERSIONED, table.VERSIONS), (table.NAME, table.NAMES))
+    return tags + [Rule(p, keyword, label, tier) for tier, listed in others for label, keyword, p in listed]
 
 
 def words_text(text: Column) -> Column:
     """The words of a text with a space around each; no words: the empty string."""
-    spaced = F.regexp_replace(F.concat(F.lit(" "), ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" ")), NOT_WORD, " ")
+    text = F.coalesce(text, F.lit(""))
+    # where every character is one byte, lower case is that of A-Z alone
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    spaced = F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), NOT_WORD, " ")
     return F.when(spaced == " ", F.lit("")).otherwise(spaced)
 
 
@@ -193,11 +109,20 @@ def _fold_in_pieces(values: Column, start: Column, advance, inner) -> Column:
     return F.flatten(F.transform(F.arrays_zip(pieces.alias("piece"), before.alias("state")), lambda z: inner(z["state"], z["piece"])))
 
 
-def _intervals(spaced: Column, rule: Column, patterns: Column, labels: Column, tiers: Column) -> Column:
+def _hits(spaced: Column, rules: list[Rule]) -> Column:
+    """Of every rule whose keyword is there: its number, what it matched and what stands between.  Patterns are literals, so each is compiled once."""
+    each = []
+    for number, rule in enumerate(rules):
+        pattern = F.lit(_pattern(rule.pattern))
+        found = F.regexp_extract_all(spaced, pattern, F.lit(0))
+        hit = F.struct(F.lit(number).alias("rule"), F.lit(rule.tier).alias("tier"), F.lit(rule.label).alias("label"), found.alias("found"), F.split(spaced, pattern, -1).alias("pieces"))
+        each.append(F.when(F.contains(spaced, F.lit(rule.keyword)), hit))
+    return F.array_compact(F.array(*each))
+
+
+def _intervals(hit: Column) -> Column:
     """Matches of one rule as (first word, -last word, tier, rule, label)."""
-    pattern = F.element_at(patterns, rule)
-    found = F.regexp_extract_all(spaced, pattern, F.lit(0))
-    pieces = F.split(spaced, pattern, -1)
+    found, pieces = hit["found"], hit["pieces"]
     # one space stands before each word, so spaces count words
     pairs = F.arrays_zip(F.transform(F.slice(pieces, F.lit(1), F.size(found)), _spaces).alias("gap"), F.transform(found, _spaces).alias("size"))
 
@@ -213,9 +138,9 @@ def _intervals(spaced: Column, rule: Column, patterns: Column, labels: Column, t
                         F.struct(
                             (s["at"] + p["gap"] - 1).alias("first"),
                             (-(s["at"] + p["gap"] + p["size"] - 1)).alias("last"),
-                            F.element_at(tiers, rule).alias("tier"),
-                            rule.alias("rule"),
-                            F.element_at(labels, rule).alias("label"),
+                            hit["tier"].alias("tier"),
+                            hit["rule"].alias("rule"),
+                            hit["label"].alias("label"),
                         )
                     ),
                 ).alias("out"),
@@ -250,21 +175,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``spans`` are the surviving matches: first word, number of words, label, tier.
     """
-    table = rules()
-    patterns, labels = F.lit([_pattern(r.pattern) for r in table]), F.lit([r.label for r in table])
-    keys, tiers = F.lit([r.keyword for r in table]), F.lit([r.tier for r in table])
-    keywords = sorted({r.keyword for r in table})
     spaced = F.col("spaced")
     rows = docs.select("doc_id", words_text(F.col("text")).alias("spaced"))
     rows = rows.withColumn("n_words", F.greatest(_spaces(spaced) - 1, F.lit(0)).cast("long"))
     rows = rows.withColumns(_base(spaced, F.col("n_words")))
     none = F.array().cast(_MATCHES)
-    gate = spaced.rlike(" (?:" + "|".join(keywords) + ") ")
-    present = F.filter(F.lit(keywords), lambda k: F.contains(spaced, k))
-    rows = rows.withColumn("present", F.when(gate, present).otherwise(F.array().cast("array<string>")))
-    numbers = F.filter(F.sequence(F.lit(1), F.lit(len(table))), lambda i: F.array_contains(F.col("present"), F.element_at(keys, i)))
-    matches = F.flatten(F.transform(numbers, lambda i: _intervals(spaced, i, patterns, labels, tiers)))
-    rows = rows.withColumn("matches", F.when(F.size("present") > 0, F.array_sort(matches)).otherwise(none))
+    gate = F.contains(spaced, F.lit(STEMS[0]))
+    for stem in STEMS[1:]:
+        gate = gate | F.contains(spaced, F.lit(stem))
+    matches = F.flatten(F.transform(_hits(spaced, rules()), _intervals))
+    rows = rows.withColumn("matches", F.when(gate, F.array_sort(matches)).otherwise(none))
     rows = rows.withColumn("kept", F.when(F.size("matches") > 0, _surviving(F.col("matches"))).otherwise(none))
     worth = F.array_max(F.transform("kept", lambda m: F.element_at(F.lit(list(CONFIDENCE)), m["tier"] + 1)))
     spans = F.transform(
