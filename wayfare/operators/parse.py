@@ -127,7 +127,8 @@ def section_ranges(headings: DataFrame, key: str = "path") -> DataFrame:
     later = Window.partitionBy(key).orderBy(F.col("line").desc()).rangeBetween(Window.unboundedPreceding, -1)
     nearest = F.array(*[F.min(F.when(F.col("level") <= n, F.col("line"))).over(later) for n in range(DEEPEST + 1)])
     following = F.element_at(nearest, F.least(F.col("level"), F.lit(DEEPEST)).cast("int") + 1)
-    return headings.select(key, "level", "line", "last_line", F.coalesce(following - 1, F.col("last_line")).alias("ends"))
+    rows = headings.select(key, "level", "line", "last_line", F.coalesce(following - 1, F.col("last_line")).alias("ends"))
+    return rows.groupBy(key, "level", "line", "last_line").agg(F.first("ends").alias("ends"))  # repeated rows once; no further shuffle
 
 
 def first_links(links: DataFrame, source: str = "path", target: str = "target", position: str = "pos") -> DataFrame:

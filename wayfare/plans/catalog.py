@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import text as tx
 from wayfare.operators import experiment, graph, judging, metrics, parse, ranking, readlist, walk
-from wayfare.plans.tables import table
+from wayfare.plans.tables import materialize, table
 from wayfare.sources.records import best_piece
 from wayfare.streaming.trace import trace_summary
 
@@ -403,25 +403,29 @@ def _scented(edges: DataFrame) -> DataFrame:
 
 @_register(
     f"""WITH RECURSIVE e AS (SELECT source, target, {_SCENT_SQL} AS scent FROM ({_EDGES_SQL})),
-    q AS (SELECT DISTINCT source AS query_id FROM e WHERE source IN ('c1', 'c2', 'c4', 'c5', 'c7')),
+    q AS (SELECT DISTINCT source AS query_id FROM e WHERE source LIKE 'c%'),
     b AS (SELECT query_id, query_id AS path, 1.0::DOUBLE AS score, 0 AS hops FROM q
           UNION SELECT query_id, target, score * scent, hops + 1 FROM b JOIN e ON source = path WHERE hops < 6 AND scent >= 0.6)
     SELECT query_id, path, round(max(score), 9) AS path_score FROM b GROUP BY ALL"""
 )
 def best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _scented(_edges(spark, sf_dir))
-    wanted = spark.createDataFrame([(f"c{i}",) for i in (1, 2, 4, 5, 7)], "path string")
-    starts = edges.select(F.col("source").alias("path")).distinct().join(wanted, "path", "left_semi").select(F.col("path").alias("query_id"), "path")
-    return walk.closure(edges.where("scent >= 0.6").select("source", "target", "scent"), starts).select("query_id", "path", _r("path_score", 9).alias("path_score"))
+    """From every customer that a link leaves, the best product of scents to each page."""
+    edges = _scented(_edges(spark, sf_dir)).where("scent >= 0.6 or source like 'c%'")
+    edges = materialize(edges, "edges")
+    starts = edges.where("source like 'c%'").select(F.col("source").alias("query_id"), F.col("source").alias("path")).distinct()
+    return walk.closure(edges.where("scent >= 0.6"), starts).select("query_id", "path", _r("path_score", 9).alias("path_score"))
 
 
-@_register()
+@_register(
+    f"""WITH RECURSIVE e AS ({_EDGES_SQL}), reach AS (SELECT source AS a, target AS b FROM e WHERE source IN (SELECT target FROM e) UNION SELECT a, target FROM reach JOIN e ON source = b)
+    SELECT CAST(coalesce(max(n), 1) AS BIGINT) AS largest_scc FROM (SELECT x.a, count(*) AS n FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
+)
 def largest_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.largest_scc(_edges(spark, sf_dir), _nodes(spark, sf_dir))
 
 
 def _walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Judgments of every page for each region's query, and the customers it starts from."""
+    """Judgments of every page for each region's query, and the customers it starts from: every one, dealt to the queries."""
     edges = _scented(_edges(spark, sf_dir))
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("q"), F.col("r_regionkey")).alias("query_id"), F.col("r_regionkey").cast("int").alias("r"))
     link = F.struct("target", "scent", F.lit(True).alias("keep"), F.lit(True).alias("in_root"))
@@ -433,7 +437,7 @@ def _walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     relevance = (F.pmod(number * 37 + F.col("r") * 11, F.lit(100)) / 100.0).alias("relevance")
     sections = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit(1).alias("first"), F.lit(9).alias("last"), relevance.alias("score")))
     judgments = rows.select("query_id", "path", relevance, sections.alias("sections"), F.coalesce("links", empty).alias("links"))
-    entries = table(spark, sf_dir, "customer").where("c_custkey <= 10").select(F.concat(F.lit("q"), F.col("c_custkey") % 5).alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("path"))
+    entries = table(spark, sf_dir, "customer").select(F.concat(F.lit("q"), F.col("c_custkey") % 5).alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("path"))
     return judgments, entries
 
 
@@ -627,12 +631,21 @@ def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.section_ranges(h).withColumn("ends", F.col("ends").cast("int"))
 
 
-@_register()
+@_register(
+    """WITH p AS (SELECT doc_id, 'src/' || source || '/' || doc_id || '.md' AS path, source FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+    SELECT p.path, 'Page ' || p.doc_id AS title, CAST(2 AS INT) AS n_sections, CAST(CASE WHEN k.path IS NULL THEN 1 ELSE 2 END AS INT) AS n_links,
+           'src/' || p.source || '/' || (p.doc_id * 7) % 100 || '.md' || coalesce(' ' || k.path, '') AS targets
+    FROM p LEFT JOIN p k ON k.doc_id = p.doc_id % 50"""
+)
 def parse_generated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as linked markdown pages, parsed back: titles, sections, resolved links."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    """Documents written as linked markdown pages, parsed back: titles, sections, resolved links.
+
+    Their texts hold no markdown, so what is parsed is what was written around them.
+    """
+    d = table(spark, sf_dir, "documents").where("text is not null and source is not null")
     target = F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.pmod(F.col("doc_id") * 7, F.lit(100)), F.lit(".md"))
     body = F.concat(F.lit("# Page "), "doc_id", F.lit("\n\n"), "text", F.lit("\n\n## More\n\nSee [next](../../"), target, F.lit(") and [["), F.pmod("doc_id", F.lit(50)), F.lit("]].\n"))
     pages = d.select(F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".md")).alias("path"), body.alias("text"))
     parsed = parse.parse_pages(pages)
-    return parsed.select("path", "title", F.size("sections").alias("n_sections"), F.size("links").alias("n_links"), F.transform("links", lambda x: x["target"]).alias("targets"))
+    targets = F.array_join(F.transform("links", lambda x: x["target"]), " ")
+    return parsed.select("path", "title", F.size("sections").alias("n_sections"), F.size("links").alias("n_links"), targets.alias("targets"))
