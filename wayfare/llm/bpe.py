@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from wayfare.llm.common import text_ids, typed_ids
 from wayfare.llm.wordtable import WordTable, gather, lists
 
 #: Texts of these characters only are split by ``_FAST_WORDS``; all others by the library's own splitter.
@@ -207,7 +208,6 @@ def load(path: str) -> WordBpe:
 
 def tokenize(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row (and ``ids, decoded`` on demand)."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = load(path)
@@ -229,5 +229,5 @@ def tokenize(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     out["decoded"] = [x.decode("utf-8") for x in decoded]
                 yield out
 
-    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
+    return typed_ids(text_ids(docs.select("doc_id", "text")).mapInPandas(run, schema), docs)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfare.plans.tables import Scratch, materialize, shared_dir
 
-__all__ = ["Scratch", "ascii_lower", "batches_of", "documents", "fresh", "id_crc", "materialize", "shared_dir", "shuffle_partitions"]
+__all__ = ["Scratch", "ascii_lower", "batches_of", "documents", "fresh", "id_crc", "materialize", "shared_dir", "shuffle_partitions", "text_ids", "typed_ids"]
 
 
 @contextmanager
@@ -34,6 +34,16 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def text_ids(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` with ids as text: a batch of integers with nulls would come to Python as floats."""
+    return rows.withColumn(key, F.col(key).cast("string"))
+
+
+def typed_ids(found: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``found`` with text ids as ``rows`` has them."""
+    return found.withColumn(key, F.col(key).cast(rows.schema[key].dataType))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from wayfare.llm.common import materialize
 
 #: Rows of a range in which neighbours are found by one sort.
 ROWS_PER_RANGE = 2_000
 MOST_RANGES = 65_536
+MOST_NAMED_RANGES = 4_096
 #: Most digests sent to every executor (32 characters each).
 BROADCAST_ROWS = 1_000_000
 
@@ -73,9 +75,10 @@ def collisions(docs: DataFrame) -> DataFrame:
 
 def _with_variant(rows: DataFrame, digest_name: str, form: Column, found: DataFrame, name: str) -> DataFrame:
     other = found.select(F.col("digest").alias("d_"), F.col("form").alias("f_"), F.col("variant").alias("v_"))
-    joined = rows.join(other, (F.col(digest_name) == F.col("d_")) & (form == F.col("f_")), "left")
+    # a join takes columns only, as the form is made by a call that Spark holds to be random
+    joined = rows.withColumn("own_form_", form).join(other, (F.col(digest_name) == F.col("d_")) & (F.col("own_form_") == F.col("f_")), "left")
     suffix = F.when(F.col("v_").isNotNull(), F.concat(F.lit("-"), F.col("v_").cast("string"))).otherwise(F.lit(""))
-    return joined.withColumn(name, F.concat(digest_name, suffix)).drop("d_", "f_", "v_")
+    return joined.withColumn(name, F.concat(digest_name, suffix)).drop("own_form_", "d_", "f_", "v_")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -100,6 +103,8 @@ def _ranges(docs: DataFrame) -> tuple[list, int]:
     if not n:
         return [], 0
     k = max(1, min(MOST_RANGES, -(-n // ROWS_PER_RANGE)))
+    if not isinstance(docs.schema["doc_id"].dataType, NumericType):
+        return _ranges_of_names(docs, n, min(k, MOST_NAMED_RANGES)), n
     cuts = [F.lit(i / k) for i in range(1, k)]
     row = docs.agg(
         F.min("doc_id").alias("low"),
@@ -108,6 +113,15 @@ def _ranges(docs: DataFrame) -> tuple[list, int]:
     return sorted({row["low"], *row["cuts"]}), n
 
 
+def _ranges_of_names(docs: DataFrame, n: int, k: int) -> list:
+    """Cuts between ids that are no numbers: quantiles of about 20 ids a range, drawn by hash, and the smallest."""
+    every = max(1, n // (20 * k))
+    ids = docs.select("doc_id").where("doc_id is not null").where(F.pmod(F.xxhash64(F.lit("cuts"), "doc_id"), F.lit(every)) == 0).distinct().orderBy("doc_id").limit(40 * k)
+    drawn = [r["doc_id"] for r in ids.collect()]
+    low = docs.agg(F.min("doc_id").alias("low")).first()["low"]
+    return sorted({low, *(drawn[i * len(drawn) // k] for i in range(k) if drawn)})
+
+
 def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``docs`` with, for each name, the value of ``columns`` in the next row by ascending id, in a circle.
 
@@ -145,6 +159,11 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return out.where("ahead_ = 0").drop("range_", "ahead_")
 
 
+def _alike(a: str, b: str, text_a: str, text_b: str) -> Column:
+    """1 if two texts of a row have the same canonical form: where their digests agree, the forms themselves are compared."""
+    return F.when(F.col(a) == F.col(b), canonical(F.col(text_a)) == canonical(F.col(text_b))).otherwise(F.lit(False)).cast("double")
+
+
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Every text, its edited text and the next text, compared by fingerprint.
 
@@ -166,6 +185,6 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         F.col("own").alias("fingerprint"),
         F.col("edited_own").alias("edited_fingerprint"),
-        (F.col("own") == F.col("edited_own")).cast("double").alias("near_edited"),
-        (F.col("own") == F.col("next_own")).cast("double").alias("near_next"),
+        _alike("own", "edited_own", "text", "edited").alias("near_edited"),
+        _alike("own", "next_own", "text", "next_text").alias("near_next"),
     )

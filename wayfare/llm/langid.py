@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import id_crc
+from wayfare.llm.common import id_crc, text_ids, typed_ids
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -31,12 +31,14 @@ _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """``max_docs_per_lang`` bounds (in expectation) the documents learned from."""
+    """``max_docs_per_lang`` bounds (in expectation) the documents learned from, ``max_languages`` the
+    languages: those with most documents (a dirty ``lang`` column may hold any number of values)."""
 
     bucket_bits: int = 15
     orders: tuple[int, ...] = (1, 2, 3)
     smoothing: float = 0.05
     max_docs_per_lang: int = 1500
+    max_languages: int = 256
     evidence: int = 100  # n-grams' worth of evidence behind a score; keeps it off 0 and 1
 
 
@@ -87,7 +89,8 @@ def train(docs: DataFrame, learn_from: Column, params: LangIdParams = LangIdPara
     sample by id, per language, of about ``max_docs_per_lang`` documents.
     """
     rows = docs.select("doc_id", "text", "lang", learn_from.alias("learn")).where("learn and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.max_languages)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return LangIdModel((), np.zeros(0), np.zeros((1 << params.bucket_bits, 0)), params)
@@ -138,8 +141,7 @@ def predict(docs: DataFrame, model: LangIdModel) -> DataFrame:
                 {"doc_id": batch["doc_id"], "lang_pred": [x[0] for x in out], "score": np.array([x[1] for x in out], dtype=float)}
             )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {id_type}, lang_pred string, score double")
+    return typed_ids(text_ids(docs.select("doc_id", "text")).mapInPandas(score, "doc_id string, lang_pred string, score double"), docs)
 
 
 def accept(docs: DataFrame, model: LangIdModel, least: float) -> DataFrame:

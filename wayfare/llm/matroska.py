@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import materialize
+from wayfare.llm.common import batches_of, materialize, text_ids, typed_ids
 
 # Element ids of the format.
 EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
@@ -360,7 +360,6 @@ def feature(media: Media, payload: bytes) -> str:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media`` with every text stored as a file, written to the shared folder."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -373,7 +372,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return materialize(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, n_bytes long, media binary"), "media")
+    with batches_of(docs.sparkSession, 1_000):
+        return materialize(typed_ids(text_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id string, n_bytes long, media binary"), docs), "media")
 
 
 PACKET_SCHEMA = (
@@ -385,7 +385,6 @@ PACKET_SCHEMA = (
 
 def packet_table(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row a file with its track, packet and cue tables, or the error that stopped the reader."""
-    key_type = media.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -398,24 +397,31 @@ def packet_table(media: DataFrame, key: str = "doc_id") -> DataFrame:
                     rows.append((k, str(e), None, [], [], []))
             yield pd.DataFrame(rows, columns=[key, "error", "doc_type", "tracks", "packets", "cues"])
 
-    return media.select(key, "media").mapInPandas(run, f"{key} {key_type}, {PACKET_SCHEMA}")
+    return typed_ids(text_ids(media.select(key, "media"), key).mapInPandas(run, f"{key} string, {PACKET_SCHEMA}"), media, key)
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests and features of stored files, from the bytes their packets point at."""
-    id_type = stored.schema["doc_id"].dataType.simpleString()
+    """Digests and features of stored files, from the bytes their packets point at; nulls for a file that cannot be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, n_bytes, data in zip(batch["doc_id"], batch["n_bytes"], batch["media"]):
-                m = parse(data)
-                payload = samples(data, m, m.tracks[0]["number"])
+                try:
+                    m = parse(bytes(data if data is not None else b""))
+                    if not m.tracks:
+                        raise MatroskaError("no track")
+                    payload = samples(data, m, m.tracks[0]["number"])
+                except MatroskaError:
+                    rows.append((doc_id, n_bytes, None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None))
+                    continue
                 rows.append(
                     (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(m, payload))
                 )
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield out.astype({"payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
 
-    return stored.select("doc_id", "n_bytes", F.col("media")).mapInPandas(
-        run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    found = text_ids(stored.select("doc_id", "n_bytes", "media")).mapInPandas(
+        run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
+    return typed_ids(found, stored)

@@ -587,3 +587,24 @@ def one_of_each(docs: DataFrame, params: MinHashParams = MinHashParams()) -> Dat
     repeats = kept.join(sent(twice), on, "left_semi").groupBy("doc_id", text_key).agg(F.min_by(whole, F.xxhash64(*own)).alias("row"))
     single = kept.join(sent(twice), on, "left_anti").select(*own)
     return single.unionByName(repeats.select("row.*"))
+
+
+#: The same links and components in DuckDB SQL, at 85 per cent.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM d WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.x
+)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id, d.doc_id = min(r.c) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+"""

@@ -7,7 +7,7 @@ where the model is fitted; every text is scored whole on the executors.
 
 Defined results: a null text scores as an empty one; with no labels (or one
 class only) every score is that class's share (0.5 with none); a null id is held
-out; several labels of one id are all learned from; a null label is skipped;
+out; several labels of one id are all learned from, on one of its texts; a null label is skipped;
 repeated rows each give a row; extra columns are ignored.
 """
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import id_crc
+from wayfare.llm.common import id_crc, text_ids, typed_ids
 
 
 @dataclass(frozen=True)
@@ -192,10 +192,16 @@ def train(docs: DataFrame, labels: DataFrame, params: FmParams = FmParams()) ->
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    # of rows that share a labelled id one is learned from, the first by the hash of its text: as many as there are labels
+    row = F.struct("text", F.col("n_chars").cast("double").alias("n_chars"))
+    picked = (
+        docs.select("doc_id", row.alias("row"), F.xxhash64("text").alias("order"))
+        .join(F.broadcast(sample.distinct()), "doc_id")
+        .groupBy("doc_id", "quality")
+        .agg(F.min_by("row", "order").alias("row"))
+    )
     got = (
-        docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
-        .join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "quality", "text", "n_chars")
+        picked.select("doc_id", "quality", "row.text", "row.n_chars")
         .mapInPandas(extract, f"doc_id {id_type}, quality int, at binary, x binary")
         .toPandas()
         .sort_values(["doc_id", "quality", "at"])
@@ -217,8 +223,8 @@ def score(docs: DataFrame, model: FmModel) -> DataFrame:
             z = np.array([raw_score(*features(t, n, held.params), held) for t, n in zip(batch["text"], batch["n_chars"])], dtype=float)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": _sigmoid(z)})
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).mapInPandas(run, f"doc_id {id_type}, score double")
+    rows = text_ids(docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")))
+    return typed_ids(rows.mapInPandas(run, "doc_id string, score double"), docs)
 
 
 def accept(docs: DataFrame, model: FmModel) -> DataFrame:

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.SQL}
+    return {"op3_source_mix": mixing.SQL, "op8_minhash": minhash.SQL}

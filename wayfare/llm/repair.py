@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import Scratch, batches_of, shuffle_partitions
+from wayfare.llm.common import Scratch, batches_of, shuffle_partitions, text_ids
 from wayfare.llm.hashing import span_hashes
 from wayfare.llm.wordtable import KeyTable, gather, lists
 
@@ -384,12 +384,11 @@ def write_shards(docs: DataFrame, path: str, params: RePairParams = RePairParams
         for batch in batches:
             for begin in range(0, len(batch), 500):
                 part = batch.iloc[begin : begin + 500]
-                # ids as objects: nulls stay nulls and integers stay whole
-                for name, ids in zip(part["doc_id"].astype(object), coder(path).encode_batch(list(part["text"]))):
+                for name, ids in zip(part["doc_id"], coder(path).encode_batch(list(part["text"]))):
                     if held and size + len(ids) + 1 > params.block_tokens:
                         yield close()
                         names, held, size, block = [], [], 0, block + 1
-                    names.append(None if pd.isna(name) else name if isinstance(name, str) else int(name))
+                    names.append(name)
                     held.append(np.concatenate([ids, end]))
                     size += len(ids) + 1
         if held:
@@ -402,10 +401,9 @@ def write_shards(docs: DataFrame, path: str, params: RePairParams = RePairParams
         .repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), text[0])
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), *text)
     )
+    files = text_ids(ordered).mapInPandas(run, "shard int, block int, doc_ids array<string>, n_tokens long, data binary")
     with batches_of(docs.sparkSession, 1_000):
-        return Scratch(docs.sparkSession, "repair").table(
-            ordered.mapInPandas(run, f"shard int, block int, doc_ids array<{element}>, n_tokens long, data binary"), "blocks"
-        )
+        return Scratch(docs.sparkSession, "repair").table(files.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{element}>")), "blocks")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
@@ -434,7 +432,9 @@ def read_shards(files: DataFrame) -> DataFrame:
                     }
                 )
 
-    decoded = files.select("shard", "block", "doc_ids", "data").mapInPandas(run, f"doc_id {element}, shard int, block int, at long, n_tokens long, ids_crc32 long")
+    named = files.select("shard", "block", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "data")
+    decoded = named.mapInPandas(run, "doc_id string, shard int, block int, at long, n_tokens long, ids_crc32 long")
+    decoded = decoded.withColumn("doc_id", F.col("doc_id").cast(element))
     with batches_of(files.sparkSession, 1):  # a file of megabytes at a time
         decoded = Scratch(files.sparkSession, "decoded").table(decoded, "documents")
     return decoded.join(base, (F.col("shard") == F.col("s_")) & (F.col("block") == F.col("b_"))).select(

@@ -8,8 +8,7 @@ subtree.  A shard added in a region of its own therefore takes rows only into
 itself.  All of it is column expressions: rows carry ids and sizes, never texts.
 
 Defined results: a null id hashes as the empty string; a null text has size 1
-and crc 0; rows that repeat an id share a shard and take successive slots (by
-crc, then size); extra columns are ignored; an empty table gives no rows.
+and crc 0; rows that repeat an id share a shard, each with a slot of its own; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,10 +98,11 @@ def with_slots(assigned: DataFrame) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each shard.
 
     Each shard is cut into hash pieces; rows are numbered within a piece and
-    pieces are offset by the counts before them, so no task holds a whole shard.
+    pieces are offset by the counts before them, so no task holds a whole shard.  The task that read a row
+    is part of the hash, so that copies of one row are in many pieces; pieces are written before rows are numbered.
     """
     pieces = shuffle_partitions(assigned.sparkSession)
-    kept = materialize(assigned.withColumn("piece", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32"), F.lit(pieces)).cast("int")), "shards")
+    kept = materialize(assigned.withColumn("piece", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", F.spark_partition_id()), F.lit(pieces)).cast("int")), "shards")
     order = Window.partitionBy("shard").orderBy("piece")
     offsets = (
         kept.groupBy("shard", "piece")
