@@ -17,16 +17,24 @@ from wayfare.llm.common import Scratch
 
 #: A language score below this counts as undecided.
 LEAST_LANGUAGE_SCORE = 0.5
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python ``BATCH_ROWS`` at a time, for this session: what a worker holds stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.  It learns from the labels of the documents given."""
+    _small_batches(spark)
     model = quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_fm.accept(docs, model)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is decided."""
+    _small_batches(spark)
     model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
     return langid.accept(docs, model, LEAST_LANGUAGE_SCORE)
 
@@ -43,6 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix, repeats included."""
+    _small_batches(spark)
     return bpe.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
