@@ -49,20 +49,29 @@ def test_mix_and_tokens(stages):
 
 
 def test_odd_rows_pass_through_every_stage(spark, tmp_path):
+    """Null and repeated ids, one id with several texts, empty and long texts, and columns of any name."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = docs.limit(1).collect()[0]
+    other = " ".join(reversed(one.text.split()))  # a text that nothing else is like
     odd = spark.createDataFrame(
-        [(None, None, None, None, None), (90001, "", "en", "s", 0), (90002, one.text, None, None, None), (90002, one.text, None, None, None), (90003, "a" * 50_000, "en", "s", 5)],
+        [(None, None, None, None, None), (90001, "", "en", "s", 0), (90002, one.text, None, None, None), (90002, one.text, None, None, None), (90002, other, None, None, None)]
+        + [(None, one.text, None, None, None), (None, other, None, None, None), (90003, "a" * 50_000, "en", "s", 5)],
         docs.schema,
     )
-    rows = docs.unionByName(odd)
+    rows = docs.unionByName(odd).withColumns({"of_": F.lit(1), "copies_": F.lit(2), "copy_": F.lit(3)})
+    columns = rows.columns
     for name, stage in c.STAGES:
         path = str(tmp_path / name)
-        stage(spark, rows, SF).write.parquet(path)
+        before = rows
+        out = stage(spark, rows, SF)
+        assert name == "tokens" or out.columns == columns
+        out.write.parquet(path)
         rows = spark.read.parquet(path)
         if name == "near_duplicates":
-            assert rows.count() == rows.select("doc_id").distinct().count()
-    assert rows.where(F.col("doc_id").isNull()).count() == 0
+            kept = [(r.doc_id, r.text) for r in rows.collect()]
+            assert before.where(F.col("text") == one.text).count() >= 4 and [i for i, t in kept if t == one.text] == [one.doc_id]
+            assert [i for i, t in kept if t == other] == [90002]
+            assert len({t for _, t in kept}) == len(kept)
 
 
 def test_an_empty_table_passes(spark, tmp_path):
