@@ -369,6 +369,23 @@ def test_streamed_trace(spark, tmp_path):
     assert (r.pops, r.followed, r.dropped, r.passed_over, r.earned) == (2, 1, 1, 1, 1)
 
 
+def test_streamed_runs_are_forgotten(spark, tmp_path):
+    """With a start time and a watermark, old runs are given out once and leave the state; late events of theirs change nothing."""
+    from wayfare import schema
+
+    source = tmp_path / "in"
+    source.mkdir()
+    ddl = schema.TRACE + ", started_at timestamp"
+    counts = streaming_counts(stream_trace(spark, str(source), ddl), ["query"], "started_at", "10 minutes")
+    q = counts.writeStream.outputMode("append").format("memory").queryName("wayfare_runs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for i, (run, hour) in enumerate((("a", 1), ("b", 2), ("a", 1), ("c", 3))):
+        (source / f"{i}.json").write_text("\n".join(json.dumps({**e, "query": run, "started_at": f"2024-01-01T0{hour}:00:00Z"}) for e in EVENTS))
+        q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert sorted((r.query, r.pops) for r in spark.table("wayfare_runs").collect()) == [("a", 2), ("b", 2)] and left == 1
+
+
 def test_ledger_and_logs(spark, tmp_path):
     path = tmp_path / "l.jsonl"
     line = {"wiki": "w", "query": "q", "condition": "c", "repeat": 1, "out": "o"}

@@ -30,11 +30,16 @@ def trace_summary(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def streaming_counts(events: DataFrame, by: list[str]) -> DataFrame:
+def streaming_counts(events: DataFrame, by: list[str], at: str | None = None, delay: str = "1 hour") -> DataFrame:
     """The summary's counts over a stream, by run.  A page has one result event a walk, so
-    results are counted; a stream cannot count distinct values exactly."""
+    results are counted; a stream cannot count distinct values exactly.
+
+    With ``at``, the column of a run's start time (the same in all its events), runs are kept until the watermark is ``delay``
+    past it, then given out for good and forgotten; without, every run is kept as long as the stream goes on.
+    """
     pruned, gone = _is("pruned"), F.coalesce(F.col("reason").isin(*DROPPED), F.lit(False))
-    return events.groupBy(*by).agg(
+    timed = events if at is None else events.withWatermark(at, delay)
+    return timed.groupBy(*([at] if at else []), *by).agg(
         F.count_if(_is("result")).alias("files"),
         F.count_if(_is("popped")).alias("pops"),
         F.count_if(_is("requested")).alias("requests"),
