@@ -118,7 +118,7 @@ def resolve_markdown(dest: str, directory: str) -> str | None:
 
 def clamp(text: str, limit: int) -> str:
     """At most ``limit`` characters, with a note where text was cut."""
-    return text if len(text) <= limit else f"{text[:limit]}\n[truncated at {limit} characters]"
+    return text if len(text) <= limit else f"{text[:limit]}\n[cut after {limit} characters]"
 
 
 # ---- columns -----------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.text import clamp, split_lines
 from wayfare.operators.judging import Mode
 
+# The limits of a request and the names in it, which its key is made of.
 CONTENT_LIMIT = 40_000
 STATE_BYTES, REQUEST_BYTES, MARGIN = 64_000, 128_000, 1_024
 PREVIEW_LIMIT, FRONTMATTER_LIMIT = 600, 1_200
@@ -53,7 +54,7 @@ def bounded_previews(previews: DataFrame, context: LinkContext = LinkContext())
         previews = previews.where(F.lit(False))
     hidden = [c for c in ("frontmatter", "headings", "leads") if not getattr(context, c)]
     previews = previews.withColumns({c: F.slice(c, 1, 0) for c in hidden})
-    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(f"\n[truncated at {n} characters]"))).otherwise(c)
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(f"\n[cut after {n} characters]"))).otherwise(c)
     cost = lambda f: F.octet_length(F.to_json(F.struct(f["key"].alias("key"), f["value"].alias("value")))) + 1
     empty = F.array().cast("array<struct<key:string,value:string>>")
     fields = F.aggregate(
