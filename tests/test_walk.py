@@ -119,3 +119,29 @@ def test_closure_runs_until_nothing_improves(spark):
     edges = spark.createDataFrame(links, "source string, target string, scent double")
     entries = spark.createDataFrame([("q", "0")], "query_id string, path string")
     assert {r.path: r.path_score for r in w.closure(edges, entries).collect()} == {str(i): 1.0 for i in range(n + 1)}
+
+
+@pytest.mark.parametrize("config", [w.WalkConfig(3, 3, 2, 0.3), w.WalkConfig(None, 3, 1, 0.3, beam=2), w.WalkConfig(6, None, 4, None), w.WalkConfig(2, 0, 8, 0.3), w.WalkConfig(40, 9, 3, 0.2, beam=5)])
+def test_grouped_walks_equal_walks_one_by_one(spark, config):
+    """Entries that link to entries, repeated links, odd scents, pages without a judgment, far more routes than a try is given."""
+    rng = random.Random(config.fanout)
+    name = lambda i: f"{'/' * (i % 7 == 0)}d{i % 3}/{i}"
+    scent = lambda: rng.choice([None, float("nan"), 1.5, 1.0, 0.5, 0.5, rng.random(), rng.random(), rng.random()])
+    judged, starts = {}, {}
+    for q in range(5):
+        n = 90 if q < 3 else 12
+        links = lambda: [(name(rng.randrange(n)), scent(), rng.choice([True, True, None, False]), rng.random() < 0.9) for _ in range(rng.randrange(9))]  # noqa: B023, E731
+        judged[f"q{q}"] = {name(i): (rng.random(), [("h", 1, 2, rng.random())] * rng.randrange(3), links()) for i in range(n) if rng.random() < (0.15 if q == 2 and i > 40 else 0.9)}
+        starts[f"q{q}"] = [name(i) for i in rng.sample(range(n), 30 if q < 3 else 2)]
+    ddl = "query_id string, path string, relevance double, sections array<struct<heading:string,first:int,last:int,score:double>>, links array<struct<target:string,scent:double,keep:boolean,in_root:boolean>>"
+    rows = spark.createDataFrame([(q, p, *x) for q, found in judged.items() for p, x in found.items()], ddl)
+    entries = spark.createDataFrame([(q, p) for q, found in starts.items() for p in [*found, found[0], None]], "query_id string, path string")
+    want = {}
+    for q, found in judged.items():
+        one = {p: w._page({"relevance": r, "sections": [dict(zip(("heading", "first", "last", "score"), s, strict=True)) for s in ss], "links": [dict(zip(("target", "scent", "keep", "in_root"), x, strict=True)) for x in ll]}) for p, (r, ss, ll) in found.items()}
+        out = w.walk(sorted(starts[q]), lambda paths: {p: one[p] for p in paths if p in one}, config)  # noqa: B023
+        for v in out.visits:
+            want[q, v.path] = (v.relevance, v.scent, v.path_score, v.depth, v.via, tuple(s["score"] for s in v.sections), tuple(tuple(vars(x).values()) for x in v.links), out.calls)
+    got = w.grouped_walk(rows, entries, config).collect()
+    assert len(got) == len(want)
+    assert {(r.query_id, r.path): (r.relevance, r.scent, r.path_score, r.depth, tuple(r.via), tuple(s.score for s in r.sections), tuple(map(tuple, r.links)), r.calls) for r in got} == want

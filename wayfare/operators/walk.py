@@ -6,8 +6,8 @@ the page's links.  Scents above 1 or below 0 are never admitted,
 so a page is closed by its best route, as in Dijkstra's search.
 
 ``explore`` is one walk as a generator: it yields the pages to judge and is sent their judgments.
-``grouped_walk`` runs one exact walk a query, in parallel over queries, on a table
-of judgments.  ``round_walk`` asks for judgments only of pages that are reached,
+``grouped_walk`` runs one exact walk a query, in parallel over queries, on judgments
+that stay tables: entries are settled by joins, and only what follows is walked.  ``round_walk`` asks for judgments only of pages that are reached,
 one distributed call a round for all queries together.  ``closure`` is the
 relational form for walks without budget, beam or depth limit.
 """
@@ -22,7 +22,7 @@ from itertools import count
 from math import isnan
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare import schema
@@ -165,6 +165,10 @@ class _State:
     closed: bool = False
 
 
+class _Short(Exception):
+    """The walk comes to routes that its table was not given."""
+
+
 class _Table:
     """The states of a walk's pages, and a queue of routes over them.
 
@@ -178,6 +182,7 @@ class _Table:
         self._serial = count()
         self.turns: Counter[int] = Counter()  # pages closed at each depth
         self.spent = 0
+        self.rest: tuple | None = None  # rank of the first route, of depth 1, that was left out
 
     def room(self) -> float:
         return float("inf") if self.config.max_files is None else self.config.max_files - self.spent
@@ -199,7 +204,15 @@ class _Table:
         """The next round: as many routes as the fanout and the budget allow.  A depth whose beam is full gives none, for good."""
         picked: list[Route] = []
         turns = Counter(self.turns)
-        while len(picked) < min(self.config.fanout, self.room()) and (route := self.head()) is not None:
+        while len(picked) < min(self.config.fanout, self.room()):
+            route = self.head()
+            if self.rest is not None and (route is None or route.rank() >= self.rest):
+                if self.config.beam is None or turns[1] < self.config.beam:
+                    raise _Short
+                self.rest = None  # the beam drops them all
+                continue
+            if route is None:
+                break
             heapq.heappop(self._queue)
             if self.config.beam is not None and turns[route.depth] >= self.config.beam:
                 out.pruned(route.via[-1], route.path, route.scent, BEAM)
@@ -270,25 +283,31 @@ def explore(
         table.states[path] = _State(Route(path), closed=True)
         out.note("popped", path=path, path_score=1.0, depth=0, via=[])
 
-    def judge(paths: list[str]) -> Generator[list[str], dict[str, Page], None]:
-        ask = [p for p in paths if table.states[p].page is None]
-        got = (yield ask) if ask else {}
-        for path in ask:
-            page = table.states[path].page = got.get(path) or Page(error="not judged", posts=0)
-            for post in range(page.posts):
-                out.note("requested", path=path, post_index=post)
-            if page.error is None:
-                out.pay(page)
-                latency = {} if page.latency_ms is None else {"latency_ms": page.latency_ms}
-                out.note("answered", path=path, relevance=page.relevance, cached=page.cached, sections=page.sections, **latency)
-
     size = max(config.fanout, 1)
     for begin in range(0, len(starts), size):
-        yield from judge(starts[begin : begin + size])
+        yield from _judge(table, starts[begin : begin + size], out)
         for path in starts[begin : begin + size]:
             table.close(path, out)
+    return (yield from _follow(table, out))
+
+
+def _judge(table: _Table, paths: list[str], out: Outcome) -> Generator[list[str], dict[str, Page], None]:
+    ask = [p for p in paths if table.states[p].page is None]
+    got = (yield ask) if ask else {}
+    for path in ask:
+        page = table.states[path].page = got.get(path) or Page(error="not judged", posts=0)
+        for post in range(page.posts):
+            out.note("requested", path=path, post_index=post)
+        if page.error is None:
+            out.pay(page)
+            latency = {} if page.latency_ms is None else {"latency_ms": page.latency_ms}
+            out.note("answered", path=path, relevance=page.relevance, cached=page.cached, sections=page.sections, **latency)
+
+
+def _follow(table: _Table, out: Outcome) -> Generator[list[str], dict[str, Page], Outcome]:
+    """The walk over what is queued."""
     while picked := table.pick(out):
-        yield from judge([r.path for r in picked])
+        yield from _judge(table, [r.path for r in picked], out)
         for route in picked:
             ahead = table.head()
             if ahead is not None and ahead.rank() < route.rank():
@@ -313,6 +332,9 @@ def walk(entries: list[str], pages: Callable[[list[str]], dict[str, Page]], conf
 # ---- distributed forms ---------------------------------------------------------
 
 _OUT = f"{schema.VISITED}, calls long"
+_STEP = f"{_OUT}, wanted boolean"
+_VISIT_COLUMNS = ["query_id", "path", "relevance", "scent", "path_score", "depth", "via", "sections", "links", "calls"]
+_LINKS = "array<struct<target:string,scent:double,keep:boolean,in_root:boolean>>"
 
 
 def _page(row: dict) -> Page:
@@ -331,24 +353,193 @@ def _page(row: dict) -> Page:
     )
 
 
-def _visit_rows(query_id, found: Outcome) -> pd.DataFrame:
-    return pd.DataFrame(
-        [
-            (query_id, v.path, v.relevance, v.scent, v.path_score, v.depth, list(v.via), v.sections, [vars(x) for x in v.links], found.calls)
-            for v in found.visits
-        ],
-        columns=["query_id", "path", "relevance", "scent", "path_score", "depth", "via", "sections", "links", "calls"],
-    )
+def _visits(query_id, found: Outcome) -> list[tuple]:
+    return [
+        (query_id, v.path, v.relevance, v.scent, v.path_score, v.depth, list(v.via), v.sections, [vars(x) for x in v.links], found.calls)
+        for v in found.visits
+    ]
 
 
-def grouped_walk(judgments: DataFrame, entries: DataFrame, config: WalkConfig) -> DataFrame:
-    """One exact walk a query over a table of judgments.
+Judge = Callable[[DataFrame], DataFrame]
+
+
+def grouped_walk(judgments: DataFrame | Judge, entries: DataFrame, config: WalkConfig) -> DataFrame:
+    """One exact walk a query.
 
     ``judgments``: ``query_id, path, relevance, sections, links`` with links of
-    ``target, scent, keep, in_root``; ``entries``: ``query_id, path``.  A walk is
-    sequential, so a query's judgments meet in one task; use ``round_walk`` where a
-    query has more of them than a task should hold.
+    ``target, scent, keep, in_root``; or a function that adds the last three to those rows of a table of
+    ``query_id, path`` (and other columns) that have a judgment.  ``entries``: ``query_id, path``.
+
+    Entries are all closed before a link is followed, in the order of their paths, so what becomes of their links
+    are joins and one running maximum a target; their pages never meet in one task.  From there each query walks in a task of its own over
+    its strongest routes.  A page that it lacks ends its try: the pages of all queries are fetched by one join and the
+    tries begin again.  A walk without budget and beam visits all that it can reach, so there a
+    query's judgments meet in one task.
     """
+    if config.max_files is None and config.beam is None and not callable(judgments):
+        return _whole_walk(judgments, entries, config)
+    judge = judgments if callable(judgments) else lambda asked: judgments.select("query_id", "path", "relevance", "sections", "links").join(asked, ["query_id", "path"]).dropDuplicates(["query_id", "path"])
+    scratch = Scratch(entries.sparkSession, "walk")
+    starts = entries.select("query_id", "path").where("query_id IS NOT NULL AND path IS NOT NULL").distinct()
+    starts = scratch.table(starts.orderBy("query_id", _components("path"), "path").withColumn("place", F.monotonically_increasing_id()), "starts")
+    first = scratch.table(_plain(judge(starts)).select("query_id", "path", "place", "relevance", "sections", "links"), "first")
+    followed, closed = _entry_links(scratch, starts, first, config)
+    steps, calls = _tries(scratch, judge, starts, first, followed, config)
+    marks = followed.groupBy("place").agg(F.collect_list("target").alias("to_"))
+    marks = marks.withColumn("closed_", F.lit(None).cast("array<string>")) if closed is None else marks.join(closed, "place", "full")
+
+    def fate(x: Column) -> Column:
+        refused = NOT_KEPT if config.threshold is None else BELOW_THRESHOLD
+        return (
+            F.when(~x["in_root"], OUT_OF_ROOT)
+            .when(x["scent"].isNull(), UNJUDGED)
+            .when(~_admitted(x, config), refused)
+            .when(F.lit(config.max_depth is not None and config.max_depth <= 0), PAST_DEPTH)
+            .when(F.array_contains("closed_", x["target"]), ALREADY_REACHED)
+            .when(F.array_contains("to_", x["target"]), None)
+            .otherwise(ALREADY_QUEUED)
+        )
+
+    links = F.transform("links", lambda x: F.struct(x["target"].alias("target"), x["scent"].alias("scent"), x["keep"].alias("keep"), x["in_root"].alias("in_root"), fate(x).alias("reason")))
+    links = F.transform(links, lambda x: F.struct(x["target"], x["scent"], x["keep"], x["in_root"], x["reason"].isNull().alias("followed"), x["reason"]))
+    visits = first.join(marks, "place", "left").select(
+        "query_id", "path", "relevance", F.lit(None).cast("double").alias("scent"), F.lit(1.0).alias("path_score"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("via"), "sections", links.alias("links"),
+    )
+    for step in steps:
+        visits = visits.unionByName(step.where("NOT wanted AND path IS NOT NULL").drop("wanted", "calls"))
+    return visits.join(calls, "query_id")
+
+
+def _components(path: str) -> Column:
+    """``components`` of a column, to order by."""
+    parts = F.filter(F.split(path, "/"), lambda c: ~c.isin("", "."))
+    return F.when(F.startswith(F.col(path), F.lit("/")), F.concat(F.array(F.lit("/")), parts)).otherwise(parts)
+
+
+def _plain(judged: DataFrame) -> DataFrame:
+    """Judgments as ``_page`` reads them: one link a target, no number for a scent that is none."""
+    names = judged.schema["links"].dataType.elementType.names
+    yes = lambda x, name: F.coalesce(x[name], F.lit(True)) if name in names else F.lit(True)
+    number = lambda x: F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    links = F.transform("links", lambda x: F.struct(x["target"].alias("target"), number(x["scent"]).alias("scent"), yes(x, "keep").alias("keep"), yes(x, "in_root").alias("in_root")))
+    sections = F.transform("sections", lambda s: F.struct(*[s[n].alias(n) for n in ("heading", "first", "last", "score")])).cast(schema.SECTION_SCORES)
+    targets = F.transform("links", lambda x: x["target"])
+    once = F.filter("links", lambda x, i: F.coalesce(F.array_position(targets, x["target"]) == i + 1, F.lit(True)))
+    none = lambda kind: F.array().cast(kind)
+    out = judged.withColumn("links", F.coalesce(links, none(_LINKS))).withColumn("sections", F.coalesce(sections, none(schema.SECTION_SCORES)))
+    return out.withColumn("links", F.when(F.size(F.array_distinct(targets)) == F.size("links"), F.col("links")).otherwise(once)).withColumn("relevance", number(F.col("relevance")))
+
+
+def _admitted(x: Column, config: WalkConfig) -> Column:
+    return x["scent"].between(0.0, 1.0) & (x["keep"] if config.threshold is None else x["scent"] >= config.threshold)
+
+
+def _entry_links(scratch: Scratch, starts: DataFrame, first: DataFrame, config: WalkConfig) -> tuple[DataFrame, DataFrame | None]:
+    """The entries' links that are followed (``query_id, target, scent, place``), and by ``place`` the other entries that links lead to, if any do.
+
+    A link is followed if it is stronger than every link to its target before it; of equal ones only the first can be."""
+    ready = config.max_depth is None or config.max_depth > 0
+    open_ = F.filter("links", lambda x: F.lit(ready) & x["in_root"] & x["target"].isNotNull() & F.coalesce(_admitted(x, config), F.lit(False)))
+    offers = first.select("query_id", "place", F.explode(open_).alias("x")).select("query_id", "place", "x.target", "x.scent")
+    best = offers.groupBy("query_id", "target", "scent").agg(F.min("place").alias("place"))
+    known = starts.select("query_id", F.col("path").alias("target"), F.lit(True).alias("closed"))
+    best = scratch.table(best.join(known, ["query_id", "target"], "left"), "offers")
+    before = Window.partitionBy("query_id", "target").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    stronger = best.where("closed IS NULL").withColumn("before", F.max("scent").over(before)).where("before IS NULL OR scent > before")
+    followed = scratch.table(stronger.select("query_id", "target", "scent", "place"), "followed")
+    reached = best.where("closed").select("query_id", "target").distinct()
+    closed = None
+    if not reached.isEmpty():
+        closed = scratch.table(offers.join(reached, ["query_id", "target"], "left_semi").groupBy("place").agg(F.collect_set("target").alias("closed_")), "closed")
+    scratch.drop(best)
+    return followed, closed
+
+
+def _tries(scratch: Scratch, judge: Judge, starts: DataFrame, first: DataFrame, followed: DataFrame, config: WalkConfig) -> tuple[list[DataFrame], DataFrame]:
+    """The walks from the routes that the entries queued: what each round of tries gave, and the calls of each query.
+
+    A try has the strongest routes of its query, and those to pages that its known pages link to; it ends as ``_Short`` where it comes to others."""
+    targets = followed.groupBy("query_id", "target").agg(F.max("scent").alias("scent"), F.max("place").alias("place"))  # the last link followed is the strongest
+    queued = targets.join(starts.select("place", F.col("path").alias("source")), "place").withColumnRenamed("target", "path")
+    queued = scratch.table(queued.select("query_id", "path", "scent", "source", "place"), "queued")
+    order = Window.partitionBy("query_id").orderBy(F.desc("scent"), _components("path"), "place", "path")
+    bounds = [x for x in (config.max_files, config.beam) if x is not None]
+    size = 2 * min(bounds) + 8 if bounds else 1 << 30
+    strongest = lambda: scratch.table(queued.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size + 1), "strongest")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _try(key[0], rows.to_dict("records"), config, size)
+
+    top = strongest()
+    asked, known, steps = scratch.table(top.where(F.col("n") <= size).select("query_id", "path"), "asked"), None, []
+    while True:
+        got = asked.join(_plain(judge(asked)).select("query_id", "path", "relevance", "sections", "links", F.lit(True).alias("found")), ["query_id", "path"], "left")
+        got = scratch.table(got, "got")
+        to = got.select("query_id", "path", F.explode("links.target").alias("target"))
+        closed = to.join(starts.select("query_id", F.col("path").alias("target")), ["query_id", "target"]).groupBy("query_id", "path").agg(F.collect_set("target").alias("closed"))
+        got = got.join(closed, ["query_id", "path"], "left")
+        before, known = known, scratch.table(got if known is None else known.unionByName(got), "known")
+        scratch.drop(before)
+        linked = known.select("query_id", F.explode("links.target").alias("path")).distinct()
+        more = queued.join(F.broadcast(linked), ["query_id", "path"], "left_semi").join(top.select("query_id", "path"), ["query_id", "path"], "left_anti")
+        routes = top.unionByName(more, allowMissingColumns=True)
+        rows = routes.unionByName(known, allowMissingColumns=True)
+        if steps:
+            rows = rows.join(steps[-1].where("wanted").select("query_id").distinct(), "query_id", "left_semi")
+        steps.append(scratch.table(rows.groupBy("query_id").applyInPandas(run, _STEP), "tries"))
+        wanted = steps[-1].where("wanted")
+        kinds = {r.more for r in wanted.select(F.isnull("path").alias("more")).distinct().collect()}
+        if not kinds:
+            break
+        scratch.drop(asked)
+        asked = scratch.table(wanted.where("path IS NOT NULL").select("query_id", "path"), "asked")
+        if True in kinds:
+            size, before = size * 8, top
+            top = strongest()
+            scratch.drop(before)
+    paid = first.groupBy("query_id").agg(F.count("*").alias("calls"))
+    for step in steps:
+        paid = paid.unionByName(step.where("NOT wanted AND path IS NULL").select("query_id", "calls"))
+    calls = scratch.table(paid.groupBy("query_id").agg(F.sum("calls").alias("calls")), "calls")
+    scratch.drop(starts, queued, top, known, asked)
+    return steps, calls
+
+
+def _try(query_id, rows: list[dict], config: WalkConfig, size: int) -> pd.DataFrame:
+    """One try: the visits and a row of the calls, or the pages that it lacks (no path: routes)."""
+    table, out, pages = _Table(config), Outcome(), {}
+    for r in rows:
+        if r["source"] is None:
+            pages[r["path"]] = r
+            for target in r["closed"] if r["closed"] is not None else []:
+                table.states[target] = _State(Route(target), closed=True)
+    routes = sorted((r for r in rows if r["source"] is not None), key=lambda r: (-r["scent"], components(r["path"]), r["place"], r["path"]))
+    for r in routes:
+        route = Route(r["path"], r["scent"], 1, r["scent"], (r["source"],))
+        table.states[route.path] = _State(route)
+        table.put(route)
+        if r["n"] == size + 1:
+            table.rest = route.rank()
+    steps, answers = _follow(table, out), None
+    lacks: list[str | None] = []
+    try:
+        while not lacks:
+            paths = steps.send(answers)
+            answers = {p: _page(pages[p]) if pages[p]["found"] is True else Page(error="no judgment", posts=0) for p in paths if p in pages}
+            lacks += [p for p in paths if p not in pages]
+    except StopIteration:
+        found = [(*v, False) for v in [*_visits(query_id, out), (query_id, *[None] * 8, out.calls)]]
+        return pd.DataFrame(found, columns=[*_VISIT_COLUMNS, "wanted"], dtype=object)
+    except _Short:
+        lacks = [None]
+    else:  # and what may be next
+        ahead = dict.fromkeys(r.path for _, _, r in heapq.nsmallest(size, table._queue) if not table.states[r.path].closed and r.path not in pages)
+        lacks = list(dict.fromkeys([*lacks, *ahead]))
+    return pd.DataFrame([(query_id, p, *[None] * 8, True) for p in lacks], columns=[*_VISIT_COLUMNS, "wanted"], dtype=object)
+
+
+def _whole_walk(judgments: DataFrame, entries: DataFrame, config: WalkConfig) -> DataFrame:
+    """Walks over all of a query's judgments, in one task a query."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["path"].notna()]
@@ -357,7 +548,7 @@ def grouped_walk(judgments: DataFrame, entries: DataFrame, config: WalkConfig) -
         one = lambda i: _page({c: v[i] for c, v in columns.items()})  # noqa: E731  only pages that are reached become objects
         starts = list(rows["entries"].iloc[0])
         found = walk(starts, lambda paths: {p: one(at[p]) if p in at else Page(error="no judgment", posts=0) for p in paths}, config)
-        return _visit_rows(key[0], found)
+        return pd.DataFrame(_visits(key[0], found), columns=_VISIT_COLUMNS)
 
     starts = entries.groupBy("query_id").agg(F.array_sort(F.collect_set("path")).alias("entries"))
     wanted = judgments.select("query_id", "path", "relevance", "sections", "links").join(starts, "query_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import text as tx
 from wayfare.operators import experiment, graph, judging, metrics, parse, ranking, readlist, walk
-from wayfare.plans.tables import materialize, table
+from wayfare.plans.tables import Scratch, materialize, table
 from wayfare.sources.records import best_piece
 from wayfare.streaming.trace import trace_summary
 
@@ -424,23 +424,46 @@ def largest_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.largest_scc(_edges(spark, sf_dir), _nodes(spark, sf_dir))
 
 
-def _walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Judgments of every page for each region's query, and the customers it starts from: every one, dealt to the queries."""
-    edges = _scented(_edges(spark, sf_dir))
-    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("q"), F.col("r_regionkey")).alias("query_id"), F.col("r_regionkey").cast("int").alias("r"))
+def _links_by_page(edges: DataFrame) -> DataFrame:
     link = F.struct("target", "scent", F.lit(True).alias("keep"), F.lit(True).alias("in_root"))
-    pages = edges.groupBy(F.col("source").alias("path")).agg(F.array_sort(F.collect_list(link)).alias("links"))
-    sinks = _nodes(spark, sf_dir).select(F.col("node").alias("path")).join(pages, "path", "left")
+    return _scented(edges).groupBy(F.col("source").alias("path")).agg(F.array_sort(F.collect_list(link)).alias("links"))
+
+
+def _judged() -> list:
+    """What the region ``r`` says of a page with ``links``."""
     empty = F.array().cast("array<struct<target:string,scent:double,keep:boolean,in_root:boolean>>")
     number = F.substring("path", 2, 20).cast("int")
-    rows = sinks.crossJoin(F.broadcast(regions))  # a region is a query: five in all
     relevance = (F.pmod(number * 37 + F.col("r") * 11, F.lit(100)) / 100.0).alias("relevance")
     sections = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit(1).alias("first"), F.lit(9).alias("last"), relevance.alias("score")))
-    judgments = rows.select("query_id", "path", relevance, sections.alias("sections"), F.coalesce("links", empty).alias("links"))
+    return [relevance, sections.alias("sections"), F.coalesce("links", empty).alias("links")]
+
+
+def _walk_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Judgments of every page for each region's query, and the customers it starts from: every one, dealt to the queries."""
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("q"), F.col("r_regionkey")).alias("query_id"), F.col("r_regionkey").cast("int").alias("r"))
+    sinks = _nodes(spark, sf_dir).select(F.col("node").alias("path")).join(_links_by_page(_edges(spark, sf_dir)), "path", "left")
+    judgments = sinks.crossJoin(F.broadcast(regions)).select("query_id", "path", *_judged())  # a region is a query: five in all
     entries = table(spark, sf_dir, "customer").select(F.concat(F.lit("q"), F.col("c_custkey") % 5).alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("path"))
     return judgments, entries
 
 
+def _walks(spark: SparkSession, sf_dir: str, config: walk.WalkConfig) -> DataFrame:
+    """Walks over the judgments of ``_walk_inputs``, each made where a walk asks for its page: links are the same for every query."""
+    _, entries = _walk_inputs(spark, sf_dir)
+    scratch = Scratch(spark, "walk-edges")
+    edges = scratch.table(_edges(spark, sf_dir), "edges")
+    nodes = _nodes(spark, sf_dir).select(F.col("node").alias("path"))
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("q"), F.col("r_regionkey")).alias("query_id"), F.col("r_regionkey").cast("int").alias("r")).distinct()
+
+    def judge(asked: DataFrame) -> DataFrame:
+        near = edges.join(asked.select(F.col("path").alias("source")).distinct(), "source", "left_semi")
+        return asked.join(nodes, "path", "left_semi").join(_links_by_page(near), "path", "left").join(F.broadcast(regions), "query_id").select(*asked.columns, *_judged())
+
+    found = walk.grouped_walk(judge, entries, config)
+    scratch.drop(edges)
+    return found
+
+
 @_register()
 def grouped_walk_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     judgments, entries = _walk_inputs(spark, sf_dir)
@@ -449,8 +472,7 @@ def grouped_walk_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def grouped_walk_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judgments, entries = _walk_inputs(spark, sf_dir)
-    return walk.grouped_walk(judgments, entries, walk.WalkConfig(max_files=None, max_depth=4, fanout=1, threshold=0.5, beam=8))
+    return _walks(spark, sf_dir, walk.WalkConfig(max_files=None, max_depth=4, fanout=1, threshold=0.5, beam=8))
 
 
 @_register()
