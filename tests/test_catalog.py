@@ -84,6 +84,16 @@ def test_walks_equal_a_naive_walk(spark, name, limits):
     assert {(r.query_id, r.path): (r.path_score, r.depth) for r in catalog.queries()[name](spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["grouped_walk_beam", "grouped_walk_budgeted"])
+def test_walks_judge_only_pages_they_ask_for(spark, monkeypatch, name):
+    """No table of every page for every query is handed over."""
+    seen = []
+    whole = catalog.walk.grouped_walk
+    monkeypatch.setattr(catalog.walk, "grouped_walk", lambda judgments, entries, config: seen.append(judgments) or whole(judgments, entries, config))
+    monkeypatch.setattr(catalog.walk, "_whole_walk", None)
+    assert catalog.queries()[name](spark, SF).columns and all(map(callable, seen)) and seen
+
+
 def test_posts_hold_every_line_once(spark):
     from wayfare.operators.request import REQUEST_BYTES
 

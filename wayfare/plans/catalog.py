@@ -466,8 +466,7 @@ def _walks(spark: SparkSession, sf_dir: str, config: walk.WalkConfig) -> DataFra
 
 @_register()
 def grouped_walk_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judgments, entries = _walk_inputs(spark, sf_dir)
-    return walk.grouped_walk(judgments, entries, walk.WalkConfig(max_files=25, max_depth=6, fanout=8, threshold=0.6))
+    return _walks(spark, sf_dir, walk.WalkConfig(max_files=25, max_depth=6, fanout=8, threshold=0.6))
 
 
 @_register()
