@@ -84,7 +84,7 @@ def test_walks_equal_a_naive_walk(spark, name, limits):
     assert {(r.query_id, r.path): (r.path_score, r.depth) for r in catalog.queries()[name](spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["grouped_walk_beam", "grouped_walk_budgeted"])
+@pytest.mark.parametrize("name", ["grouped_walk_beam", "grouped_walk_budgeted", "reading_lists"])
 def test_walks_judge_only_pages_they_ask_for(spark, monkeypatch, name):
     """No table of every page for every query is handed over."""
     seen = []
