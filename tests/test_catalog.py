@@ -94,6 +94,30 @@ def test_walks_judge_only_pages_they_ask_for(spark, monkeypatch, name):
     assert catalog.queries()[name](spark, SF).columns and all(map(callable, seen)) and seen
 
 
+def test_reading_lists_judge_entries_and_reached_pages_once(spark, monkeypatch):
+    """What is judged for a query are its own entries and some pages about its walk, not every page for every query."""
+    asked = []
+
+    def counted(judgments, entries, config):
+        if not callable(judgments):
+            asked.append(judgments.select("query_id", "path"))
+            return whole(judgments, entries, config)
+
+        def judge(pages):
+            asked.append(spark.createDataFrame(pages.select("query_id", "path").collect(), "query_id string, path string"))
+            return judgments(pages)
+
+        return whole(judge, entries, config)
+
+    whole = catalog.walk.grouped_walk
+    monkeypatch.setattr(catalog.walk, "grouped_walk", counted)
+    sf = SF.replace("sf0.001", "sf0.01")
+    rows = catalog.queries()["reading_lists"](spark, sf).collect()
+    pages = [(r.query_id, r.path) for part in asked for r in part.collect()]
+    customers = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert len(pages) == len(set(pages)) < 1.5 * customers and {(r.query_id, r.path) for r in rows} <= set(pages)
+
+
 def test_posts_hold_every_line_once(spark):
     from wayfare.operators.request import REQUEST_BYTES
 
