@@ -143,6 +143,67 @@ def test_no_frequent_pair_is_left():
     assert (repair.Block(repair.write_block(ids, starts)).document(40) == ids[120_000:]).all()
 
 
+def _recounted(ids, starts, params):
+    """Re-Pair as ``compress`` defines it, but all pairs are counted anew every round."""
+    docs = [ids[a:z].tolist() for a, z in zip(starts, starts[1:])]
+    first, rules, want = int(ids.max()) + 1, [], params.rules_per_round
+    while True:
+        uses = {}
+        for d, doc in enumerate(docs):
+            for i, pair in enumerate(zip(doc, doc[1:])):
+                if pair[0] != pair[1] or i == 0 or doc[i - 1] != pair[0] or (d, i - 1) not in uses.get(pair, [])[-1:]:
+                    uses.setdefault(pair, []).append((d, i))
+        ranked = sorted((p for p in uses if len(uses[p]) >= params.least_uses), key=lambda p: (-len(uses[p]), p))[:want]
+        ranked = [p for p in ranked if len(uses[p]) * params.spread >= len(uses[ranked[0]])]
+        if not ranked:
+            return [x for doc in docs for x in doc], rules
+        places = {at: p for p in ranked for at in uses[p]}
+        taken = {}
+        for d, i in sorted(places):
+            if (d, i - 1) not in taken:
+                taken[d, i] = places[d, i]
+        count = {p: sum(q == p for q in taken.values()) for p in ranked}
+        kept = [p for p in ranked if count[p] >= min(max(3, params.least_uses // 2), params.least_uses)]
+        if not kept:
+            want = 1
+            continue
+        want = params.rules_per_round
+        number = {p: first + len(rules) + k for k, p in enumerate(kept)}
+        rules += kept
+        for d, doc in enumerate(docs):
+            drop = {i + 1 for i in range(len(doc)) if taken.get((d, i)) in number}
+            docs[d] = [number.get(taken.get((d, i)), x) for i, x in enumerate(doc) if i not in drop]
+
+
+@pytest.mark.parametrize("kind", ["words", "few", "runs", "copies"])
+def test_grammar_is_that_of_counting_anew(kind):
+    rng = np.random.default_rng(len(kind))
+    for least, wide, spread in ((2, 3_000, 16), (8, 3_000, 16), (4, 2, 3)):
+        n = int(rng.integers(300, 900))
+        ids = {
+            "words": rng.zipf(1.3, n) % 60,
+            "few": rng.integers(0, 3, n),
+            "runs": np.repeat(rng.integers(0, 5, n // 4), rng.integers(1, 9, n // 4)),
+            "copies": np.tile(rng.integers(0, 40, 70), n // 70 + 1),
+        }[kind].astype(np.uint32)
+        starts = np.unique(np.concatenate([[0], rng.integers(1, len(ids), 9), [len(ids)]]))
+        params = repair.RePairParams(least_uses=least, rules_per_round=wide, spread=spread)
+        symbols, _, grammar, _, _ = repair.compress(ids, starts, params)
+        want = _recounted(ids, starts, params)
+        assert (symbols.tolist(), [tuple(r) for r in grammar.tolist()]) == want
+
+
+def test_pairs_are_not_counted_anew_every_round(monkeypatch):
+    """Rounds look up the places beside new symbols: little of a block is sorted, in one round or many."""
+    sorted_, unique = [], np.unique
+    monkeypatch.setattr(repair.np, "unique", lambda a, *args, **more: (sorted_.append(np.size(a)), unique(a, *args, **more))[1])
+    rng = np.random.default_rng(5)
+    words = [rng.integers(1, 3_000, rng.integers(2, 6)) for _ in range(900)]
+    ids = np.concatenate([words[i] for i in np.minimum(rng.zipf(1.25, 60_000) - 1, 899)]).astype(np.uint32)
+    repair.compress(ids, np.array([0, len(ids)]))
+    assert sum(sorted_) < len(ids) / 2
+
+
 def test_byte_coder_equals_the_library():
     library = Tokenizer.from_file(BYTES)
     texts = [t or "" for t in ODD] + _random_texts(500, 3)

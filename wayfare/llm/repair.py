@@ -16,6 +16,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -62,16 +63,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
     rules, sizes = [np.zeros((0, 2), dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
     lengths = np.ones(first, dtype=np.int64)  # of every symbol
     want = params.rules_per_round
-    while len(symbols) > 1:
-        at, pairs, counts, place = _frequent(symbols, places, params.least_uses)
-        if not len(pairs):
+    pairs = _Pairs(symbols, places, params.least_uses)
+    while True:
+        at, place, top = pairs.most_frequent(symbols, want, params.spread)
+        if not len(top):
             break
-        top = np.argsort(-counts, kind="stable")[:want]
-        top = top[counts[top] * params.spread >= counts[top[0]]]
-        rank = np.full(len(pairs), -1, dtype=np.int64)
-        rank[top] = np.arange(len(top))
-        place = rank[place]
-        at, place = at[place >= 0], place[place >= 0]
         # of overlapping places, every second of a run from its left end
         even = _offsets(at) % 2 == 0
         at, place = at[even], place[even]
@@ -81,44 +77,119 @@ def compress(ids: np.ndarray, starts: np.ndarray, params: RePairParams = RePairP
             want = 1  # these pairs take each other's places; one alone has all of its own
             continue
         want = params.rules_per_round
-        number = np.cumsum(kept) - 1
-        chosen = kept[place]
-        at, place = at[chosen], place[chosen]
-        pairs = pairs[top[kept]]
-        rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], axis=1))
+        if not kept.all():
+            chosen = kept[place]
+            at, place = at[chosen], (np.cumsum(kept) - 1)[place[chosen]]
+        top = top[kept]
+        rules.append(np.stack([(top >> np.uint64(32)).astype(np.uint32), top.astype(np.uint32)], axis=1))
         sizes.append(lengths[rules[-1]].sum(axis=1))
-        symbols[at] = (len(lengths) + number[place]).astype(np.uint32)
+        symbols[at] = (len(lengths) + place).astype(np.uint32)
         lengths = np.concatenate([lengths, sizes[-1]])
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
-        symbols = symbols[stay]
+        stay = np.flatnonzero(stay)
+        symbols = symbols.take(stay)
         places = places - np.searchsorted(at, places)
+        pairs.replaced(at, stay, symbols, places)
     return symbols, np.append(places, len(symbols)), np.concatenate(rules), np.concatenate(sizes), first
 
 
-def _frequent(symbols: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pairs that have ``least`` places or more, the pairs, their exact counts, and each place's pair.
+class _Pairs:
+    """Where the pairs stand that have ``least`` places or more, with their exact counts.
 
-    Counts by hash bucket come first: a bucket may hold several pairs, so one with too few
-    places holds no frequent pair, and only the places in the others are sorted.
+    A pair has its most places in the round that makes its symbols; later ones only take places away.  So
+    what has too few then is never looked at again, and a round looks up only the places beside new symbols.
+    Pairs of a symbol with itself are held apart: which of a run's places count depends on its left end.
     """
-    left, right = symbols[:-1], symbols[1:]
-    bits = max(10, len(symbols).bit_length())
-    bucket = left * np.uint32(0x9E3779B1)
-    bucket ^= right * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
-    bucket *= np.uint32(0xC2B2AE35)
-    bucket >>= np.uint32(32 - bits)
-    usable = np.ones(len(left), dtype=bool)
-    usable[places[(places > 0) & (places < len(symbols))] - 1] = False  # pairs over a start
-    # of a symbol's repeats every second pair from the left end of a run
-    twins = np.flatnonzero((left == right) & usable)
-    usable[twins[_offsets(twins) % 2 == 1]] = False
-    usable &= (np.bincount(bucket[usable], minlength=1 << bits) >= least)[bucket]
-    at = np.flatnonzero(usable)
-    pairs, place, counts = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
-    often = counts >= least
-    mine = often[place]
-    return at[mine], pairs[often], counts[often], (np.cumsum(often) - 1)[place[mine]]
+
+    def __init__(self, symbols: np.ndarray, places: np.ndarray, least: int):
+        self._least = least
+        self._known = np.zeros(0, dtype=np.uint64)
+        self._counts = np.zeros(0, dtype=np.int64)
+        self._twins = np.zeros(0, dtype=np.int64)  # ascending places
+        self._code = np.full(len(symbols), -1, dtype=np.int32)  # the pair that begins at each place
+        self._add(np.arange(len(symbols)), symbols, places)
+
+    def _add(self, at: np.ndarray, symbols: np.ndarray, places: np.ndarray) -> None:
+        """Take up the pairs at these ascending places: none of them is known.  No pair crosses a document's start."""
+        last = np.zeros(len(symbols), dtype=bool)
+        last[places[(places > 0) & (places < len(symbols))] - 1] = True
+        last[-1:] = True
+        at = at[~last.take(at)]
+        left, right = symbols.take(at), symbols.take(at + 1)
+        twins = left == right
+        self._twins = np.union1d(self._twins, at[twins])
+        # counts by hash bucket come first: a bucket may hold several pairs, so one with too few
+        # places holds no frequent pair, and only the places in the others are looked at
+        bits = max(10, len(at).bit_length())
+        bucket = left * np.uint32(0x9E3779B1)
+        bucket ^= right * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
+        bucket *= np.uint32(0xC2B2AE35)
+        bucket >>= np.uint32(32 - bits)
+        bucket = bucket.astype(np.intp)
+        often = (np.bincount(bucket, minlength=1 << bits) >= self._least).take(bucket)
+        often &= ~twins
+        often = np.flatnonzero(often)
+        at, bucket = at.take(often), bucket.take(often)
+        pairs = left.take(often).astype(np.uint64) << np.uint64(32) | right.take(often)
+        # one pair of each bucket is counted by it, the others are sorted
+        held = np.zeros(1 << bits, dtype=np.uint64)
+        held[bucket] = pairs
+        mine = held.take(bucket) == pairs
+        if not mine.all():
+            other = ~mine
+            found, place, counts = np.unique(pairs[other], return_inverse=True, return_counts=True)
+            self._know(at[other], found, counts, place)
+            at, bucket = at[mine], bucket[mine]
+        self._know(at, held, np.bincount(bucket, minlength=1 << bits), bucket)
+
+    def _know(self, at: np.ndarray, pairs: np.ndarray, counts: np.ndarray, place: np.ndarray) -> None:
+        """Keep the pairs that have enough places; ``place`` is the pair of each place of ``at``."""
+        often = np.flatnonzero(counts >= self._least)
+        number = np.full(len(pairs), -1, dtype=np.int32)
+        number[often] = len(self._known) + np.arange(len(often))
+        self._code[at] = number.take(place)
+        self._known = np.concatenate([self._known, pairs[often]])
+        self._counts = np.concatenate([self._counts, counts[often]])
+
+    def most_frequent(self, symbols: np.ndarray, want: int, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the ``want`` most frequent pairs, with the rank of each place's pair, and the pairs by rank;
+        of equal counts the smaller pair first, and none with less than a ``spread``-th of the first's places."""
+        even = self._twins[_offsets(self._twins) % 2 == 0]
+        doubled, twin_place, twin_counts = np.unique(symbols[even], return_inverse=True, return_counts=True)
+        pairs = np.concatenate([self._known, doubled.astype(np.uint64) << np.uint64(32) | doubled])
+        counts = np.concatenate([self._counts, twin_counts])
+        top = np.flatnonzero(counts >= max(self._least, -(-counts.max(initial=0) // spread)))
+        if len(top) > want:
+            top = top[counts[top] >= np.partition(counts[top], -want)[-want]]
+        top = top[np.lexsort((pairs[top], -counts[top]))[:want]]
+        rank = np.full(len(pairs) + 1, -1, dtype=np.int32)  # the last for places without a pair
+        rank[top] = np.arange(len(top))
+        place = rank[self._code]
+        at = np.flatnonzero(place >= 0)
+        place = place.take(at)
+        twin_place = rank[len(self._known) + twin_place]
+        even, twin_place = even[twin_place >= 0], twin_place[twin_place >= 0]
+        if len(even):
+            at, place = np.concatenate([at, even]), np.concatenate([place, twin_place])
+            order = np.argsort(at)
+            at, place = at[order], place[order]
+        return at, place, pairs[top]
+
+    def replaced(self, at: np.ndarray, stay: np.ndarray, symbols: np.ndarray, places: np.ndarray) -> None:
+        """The symbols at ``at`` and after it have become one; ``stay`` are the places that are left, ``symbols`` and
+        ``places`` those after it."""
+        changed = np.zeros(len(self._code), dtype=bool)
+        for gone in (at, at + 1, at[at > 0] - 1):
+            self._counts -= np.bincount(self._code.take(gone) + 1, minlength=len(self._counts) + 1)[1:]
+            self._code[gone] = -1
+            changed[gone] = True
+        self._twins = self._twins[~changed.take(self._twins)]
+        self._twins -= np.searchsorted(at, self._twins)
+        self._code = self._code.take(stay)
+        beside = (at - np.arange(len(at))).repeat(2)
+        beside[::2] -= 1
+        self._add(beside[np.diff(beside, prepend=-1) > 0], symbols, places)
 
 
 def _offsets(at: np.ndarray) -> np.ndarray:
@@ -260,7 +331,7 @@ def word_bounds(data: np.ndarray) -> np.ndarray:
     A word is a run of letters, digits or other characters with the space before it, or
     white space: a run's last character stands apart where something follows.
     """
-    kind = _KIND[data]
+    kind = np.frombuffer(data.tobytes().translate(_KIND.tobytes()), dtype=np.uint8)
     before, after = np.concatenate([[4], kind[:-1]]), np.concatenate([kind[1:], [4]])
     space = kind == 0
     joined = np.concatenate([[False], data[:-1] == 32])
@@ -270,6 +341,18 @@ def word_bounds(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in ascending order, a place of each (any: no stable sort is needed) and each place's number among them."""
+    order = np.argsort(values)
+    sorted_ = values.take(order)
+    new = np.ones(len(values), dtype=bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    codes = np.empty(len(values), dtype=np.int64)
+    codes[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return sorted_.take(at), order.take(at), codes
+
+
 class ByteCoder:
     """A byte-level tokenizer file as the ``tokenizers`` library applies it.
 
@@ -281,6 +364,8 @@ class ByteCoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a task has one core: the library's own threads would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._library = Tokenizer.from_file(path)
         self._special = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
         self._table = KeyTable()
@@ -319,7 +404,7 @@ class ByteCoder:
     def _plain(self, raw: list[bytes]) -> list[bool]:
         """Which texts are of known bytes only, without the signs and strings that words cannot be cut by."""
         joined = b"\0".join(raw)
-        odd = np.flatnonzero(_KIND[np.frombuffer(joined, dtype=np.uint8)] > 4)
+        odd = np.flatnonzero(np.frombuffer(joined.translate(_KIND.tobytes()), dtype=np.uint8) > 4)
         out = [b"\0" not in b for b in raw]
         at = np.cumsum([len(b) + 1 for b in raw])
         for i in np.unique(np.searchsorted(at, odd, "right")).tolist():
@@ -346,7 +431,7 @@ class ByteCoder:
         ending = data[starts] == 0
         text_of = np.cumsum(ending)[~ending]
         starts, ends = starts[~ending], ends[~ending]
-        keys, first, codes = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys, first, codes = _distinct(span_hashes(data, starts, ends))
 
         def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parts = [self._encode_words(data, starts[first[at]], ends[first[at]]) for at in np.array_split(new, -(-len(new) // 20_000))]
